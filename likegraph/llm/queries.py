@@ -7,14 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from likegraph.llm.packing import pack_documents
 from likegraph.llm.shared import table
+from likegraph.llm.token_files import read_token_files, write_token_files
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op3_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_simple8b_files": op3_simple8b_files,
 }
 
 SQL: dict[str, str] = {}
