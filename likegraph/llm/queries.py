@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from likegraph.llm.digest import fingerprints
 from likegraph.llm.packing import pack_documents
 from likegraph.llm.shared import table
 from likegraph.llm.token_files import read_token_files, write_token_files
@@ -18,9 +19,14 @@ def op3_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simple8b_files": op3_simple8b_files,
+    "op6_quartile_digest": op6_quartile_digest,
 }
 
 SQL: dict[str, str] = {}
