@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from likegraph.llm.digest import fingerprints
+from likegraph.llm.language_id import identify
 from likegraph.llm.packing import pack_documents
 from likegraph.llm.shared import table
 from likegraph.llm.token_files import read_token_files, write_token_files
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
@@ -24,6 +29,7 @@ def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_mixture": op1_language_mixture,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simple8b_files": op3_simple8b_files,
     "op6_quartile_digest": op6_quartile_digest,
