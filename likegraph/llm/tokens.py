@@ -15,7 +15,7 @@ import numpy as np
 
 #: White space other than the two usual characters: where white space of several kinds meets, one
 #: library's idea of it may differ from another's, so such texts are encoded whole.
-_ODD = re.compile("[^\\S \\n]|[\\x1c-\\x1f\\x85\\u180e\\u200b\\u2060\\ufeff]")
+_ODD = [*"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff", *map(chr, range(0x2000, 0x200C))]
 #: Where white space is longer than one character, or stands at an end.
 _DOUBLE = re.compile("[ \\n][ \\n]|^[ \\n]|[ \\n]\\Z")
 
@@ -31,7 +31,7 @@ class ChunkEncoder:
     most_chunks bounds the memory; a full store is emptied and filled again.
     """
 
-    def __init__(self, path: str, most_chunks: int = 700_000):
+    def __init__(self, path: str, most_chunks: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,11 +48,11 @@ class ChunkEncoder:
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 12, dtype=np.int64)
 
-    def _split(self, text: str) -> list[str] | None:
+    def _split(self, text: str, plain: bool) -> list[str] | None:
         """Keys of its chunks: a chunk itself if it starts with a line end, after a return mark if it starts the text, else without its space."""
         if self.style == "drop":
-            return None if _ODD.search(text) else text.split()
-        if self.style == "whole" or _ODD.search(text) or _DOUBLE.search(text):
+            return text.split() if plain or not _odd(text) else None
+        if self.style == "whole" or not plain and _odd(text) or _DOUBLE.search(text):
             return None
         keys = text.replace("\n", " \n").split(" ")
         keys[0] = "\r" + keys[0]
@@ -89,7 +89,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's ids end."""
-        split = [self._split(t) for t in texts]
+        plain = not _odd("\n".join(texts))
+        split = [self._split(t, plain) for t in texts]
         if None in split:
             parts, run = [], []
             for text, keys in zip([*texts, ""], [*split, None], strict=True):
@@ -122,6 +123,10 @@ class ChunkEncoder:
         return ids, np.concatenate([[0], ends])[last]
 
 
+def _odd(text: str) -> bool:
+    return any(c in text for c in _ODD)
+
+
 class _Index(dict):
     """Numbers keys as they come, and notes the new ones."""
 
