@@ -10,6 +10,7 @@ from likegraph.llm.language_id import identify
 from likegraph.llm.packing import pack_documents
 from likegraph.llm.shared import table
 from likegraph.llm.token_files import read_token_files, write_token_files
+from likegraph.llm.toxicity import rate
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +29,16 @@ def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simple8b_files": op3_simple8b_files,
     "op6_quartile_digest": op6_quartile_digest,
+    "op10_pu_toxicity": op10_pu_toxicity,
 }
 
 SQL: dict[str, str] = {}
