@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from likegraph.llm.brown import perplexity
 from likegraph.llm.digest import fingerprints
 from likegraph.llm.language_id import identify
 from likegraph.llm.packing import pack_documents
@@ -29,6 +30,10 @@ def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_brown_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity(table(spark, sf_dir, "documents"))
+
+
 def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +43,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simple8b_files": op3_simple8b_files,
     "op6_quartile_digest": op6_quartile_digest,
+    "op8_brown_class_ngrams": op8_brown_class_ngrams,
     "op10_pu_toxicity": op10_pu_toxicity,
 }
 
