@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from likegraph.llm.shared import slices, written
+from likegraph.llm.shared import text_slices, written
 
 BUCKETS = 256
 #: Places of the second and third byte of each triplet after its first.
@@ -24,6 +24,8 @@ TRIPLETS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 BOUND = 400
 #: A step of the length code is a factor of e ** (1 / LENGTH_STEPS).
 LENGTH_STEPS = 12
+#: Bytes counted at a time: bounds the memory that a long text takes.
+_STEP = 500_000
 
 
 def _mix(seed: int) -> np.ndarray:
@@ -43,14 +45,15 @@ def digests(texts: list[bytes]) -> np.ndarray:
     flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum(sizes)
     counts = np.zeros(n * BUCKETS, dtype=np.int64)
-    if len(flat) > 2:
-        owner, left = np.repeat(np.arange(n, dtype=np.int64) * BUCKETS, sizes), np.repeat(ends, sizes) - np.arange(len(flat))
-        first, second, third = (t[flat] for t in _ROLES)
+    for p in range(0, len(flat), _STEP):  # a step's first bytes, and up to four after them
+        e = min(p + _STEP, len(flat))
+        here = np.clip(ends, p, e) - np.clip(ends - sizes, p, e)
+        owner, left = np.repeat(np.arange(n, dtype=np.int32) * BUCKETS, here), np.repeat(ends, here) - np.arange(p, e)
+        first, second, third = (t[flat[p : e + 4]] for t in _ROLES)
         for (j, k), salt in zip(TRIPLETS, _SALTS, strict=True):
-            if len(flat) > k:
-                here = left[:-k] > k
-                bucket = (first[:-k] ^ second[j : len(flat) - k + j] ^ third[k:] ^ np.uint8(salt))[here]
-                counts += np.bincount(owner[:-k][here] + bucket, minlength=len(counts))
+            at = np.flatnonzero(left > k)
+            bucket = first[at] ^ second[at + j] ^ third[at + k] ^ np.uint8(salt)
+            counts += np.bincount(owner[at] + bucket, minlength=len(counts))
     counts = counts.reshape(n, BUCKETS)
     q = np.sort(counts, axis=1)[:, [BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
     out = np.zeros((n, 3 + BUCKETS), dtype=np.uint8)
@@ -127,9 +130,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def run(batches):
         part, held = TaskContext.get().partitionId(), None
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts, 2_000_000):
-                these, own = texts[a:b], ids.slice(a, b - a)
+            ids = batch.column(0)
+            for a, b, these in text_slices(batch.column(1), 1_000_000):
+                own = ids.slice(a, b - a)
                 if held is None:
                     yield batch_of(own.slice(0, 1), None, 2, part, these[:1])
                 else:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from likegraph.llm.shared import slices
+from likegraph.llm.shared import text_slices
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -58,11 +58,11 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", smoothing: fl
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            names = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1), 1_000_000):
                 here = sorted(set(names[a:b]))
                 number = {x: k for k, x in enumerate(here)}
-                key, owner = trigrams(texts[a:b])
+                key, owner = trigrams(texts)
                 of = np.array([number[x] for x in names[a:b]])
                 got = np.bincount(of[owner] * BUCKETS + key, minlength=len(here) * BUCKETS).reshape(len(here), BUCKETS)
                 for k, x in enumerate(here):
@@ -156,12 +156,11 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str | Colu
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in slices(texts):
+            for a, b, texts in text_slices(batch.column(batch.num_columns - 1), 1_000_000):
                 n = b - a
                 share = np.zeros((n, len(names)))
                 if names:
-                    key, owner = trigrams(texts[a:b])
+                    key, owner = trigrams(texts)
                     code, counts = np.unique(owner * BUCKETS + key, return_counts=True)
                     share = mixtures(table.value[code % BUCKETS], counts.astype(float), code // BUCKETS, n, penalty)
                 found = share.any(axis=1)

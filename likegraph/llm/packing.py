@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from likegraph.llm.shared import slices, written
+from likegraph.llm.shared import text_slices, written
 from likegraph.llm.tokens import encoder
 
 #: Rows of a plan that are broadcast; a longer plan is left to Spark's own choice of join.
@@ -103,9 +103,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def run(batches):
         encode = encoder(tokenizer).encode
         for batch in batches:
-            ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                flat, ends = encode(texts[a:b])
+            ids = batch.column(0)
+            for a, _, texts in text_slices(batch.column(1)):
+                flat, ends = encode(texts)
                 rows, start = [], 0
                 for k, stop in enumerate(ends.tolist()):
                     whole = np.append(flat[start:stop], np.uint32(end_id)).astype("<u4")

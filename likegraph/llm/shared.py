@@ -7,6 +7,9 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,17 +52,14 @@ def drop_all(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(texts: list, most_chars: int = 4_000_000):
-    """Runs of positions of texts whose characters sum to at most most_chars, one text at least."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text is not None else 0
-        if i > start and total + n > most_chars:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(texts):
-        yield start, len(texts)
+def text_slices(texts: pa.Array, most_bytes: int = 4_000_000):
+    """(from, to, texts) over a column of texts, each run of at most most_bytes or one text; only one run is made into Python strings at a time. Nulls become empty."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, done = 0, 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, done + most_bytes, side="right")))
+        yield start, stop, [t or "" for t in texts.slice(start, stop - start).to_pylist()]
+        start, done = stop, int(ends[stop - 1])
 
 
 def let_workers_import(spark: SparkSession) -> None:

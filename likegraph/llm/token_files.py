@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from likegraph.llm.shared import new_path, slices, written
+from likegraph.llm.shared import new_path, text_slices, written
 from likegraph.llm.tokens import encoder
 
 MAGIC = b"S8BTOKN1"
@@ -187,13 +187,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             return row
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts):
-                flat, ends = encode(texts[a:b])
+            for a, b, texts in text_slices(batch.column(1)):
+                flat, ends = encode(texts)
                 sizes = np.diff(ends, prepend=0) + 1
                 ids = np.insert(flat, ends, end_id)
                 held.append((ids, sizes, batch.column(0).slice(a, b - a)))
-                chars += sum(map(len, texts[a:b]))
+                chars += sum(map(len, texts))
                 if chars >= file_chars:
                     yield flush()
         if held:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likegraph.llm.language_id import held_out
-from likegraph.llm.shared import slices
+from likegraph.llm.shared import text_slices
 
 BITS = 18
 #: Lower-cases A-Z and blanks all else of ASCII that isn't a letter or digit.
@@ -120,10 +120,10 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: Column, most: int = 20
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            at, sizes = features(texts)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))], ["positive", "unlabelled", "at"])
+            for a, b, texts in text_slices(batch.column(2)):
+                at, sizes = features(texts)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))], ["positive", "unlabelled", "at"])
 
     rows = picked.mapInArrow(run, "positive boolean, unlabelled boolean, at array<int>").toArrow()
     at = [np.asarray(x.values, dtype=np.int64) if x.values is not None else np.zeros(0, np.int64) for x in rows["at"]]
@@ -140,9 +140,8 @@ def score(docs: DataFrame, model: Model, keep: list = (), text: str = "text", th
     def run(batches):
         own = Model(*shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in slices(texts):
-                got = own.score(texts[a:b])
+            for a, b, texts in text_slices(batch.column(batch.num_columns - 1)):
+                got = own.score(texts)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(got), pa.array((got >= threshold).astype(np.int32))], columns)
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, kept.schema.add("score", "double").add("predicted", "integer"))
