@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from likegraph.llm.brown import perplexity
 from likegraph.llm.digest import fingerprints
 from likegraph.llm.language_id import identify
+from likegraph.llm.minhash import near_duplicates
 from likegraph.llm.packing import pack_documents
 from likegraph.llm.shared import table
 from likegraph.llm.token_files import read_token_files, write_token_files
@@ -30,6 +31,10 @@ def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2, num=80, den=100)
+
+
 def op8_brown_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simple8b_files": op3_simple8b_files,
     "op6_quartile_digest": op6_quartile_digest,
+    "op7_minhash_bayes": op7_minhash_bayes,
     "op8_brown_class_ngrams": op8_brown_class_ngrams,
     "op10_pu_toxicity": op10_pu_toxicity,
 }

@@ -54,7 +54,10 @@ def simple8b(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nda
     best = np.full(len(bits), ESCAPE, dtype=np.uint8)
     spans = {1: bits}
     for sel in range(len(COUNTS) - 1):  # from few values to many: the last that fits stays
-        best[_most(spans, int(COUNTS[sel])) <= WIDTHS[sel]] = sel
+        fits = _most(spans, int(COUNTS[sel])) <= WIDTHS[sel]
+        if not fits.any():  # nor will more values of fewer bits
+            break
+        best[fits] = sel
     # walk
     width, live = block + 256, np.arange(blocks)
     at, stop = live * width, live * width + np.minimum(block, n - live * block)

@@ -16,8 +16,15 @@ import numpy as np
 #: White space other than the two usual characters: where white space of several kinds meets, one
 #: library's idea of it may differ from another's, so such texts are encoded whole.
 _ODD = [*"\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff", *map(chr, range(0x2000, 0x200C))]
-#: Where white space is longer than one character, or stands at an end.
-_DOUBLE = re.compile("[ \\n][ \\n]|^[ \\n]|[ \\n]\\Z")
+#: Where white space is longer than one character.
+_DOUBLE = ("  ", " \n", "\n ", "\n\n")
+#: What a text of plain chunks neither starts nor ends with.
+_ENDS = (" ", "\n", "")
+#: A key that is a word of letters whose lower case and normal form are the same everywhere, and marks that always stand apart from it.
+_WORD = re.compile("([\r\n]?)([A-Za-zÀ-ÖØ-öø-ÿĀ-įĲ-ňŊ-ž]+)([.,;:!?]*)")
+#: Byte-level vocabularies show each byte as a printable character: itself, or else the next one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b if b in _PRINTABLE else 256 + sum(k not in _PRINTABLE for k in range(b)) for b in range(256)}
 
 
 class ChunkEncoder:
@@ -31,7 +38,7 @@ class ChunkEncoder:
     most_chunks bounds the memory; a full store is emptied and filled again.
     """
 
-    def __init__(self, path: str, most_chunks: int = 1_200_000):
+    def __init__(self, path: str, most_chunks: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,6 +52,7 @@ class ChunkEncoder:
 
     def _clear(self) -> None:
         self.index = _Index()
+        self.pieces: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 12, dtype=np.int64)
 
@@ -52,7 +60,7 @@ class ChunkEncoder:
         """Keys of its chunks: a chunk itself if it starts with a line end, after a return mark if it starts the text, else without its space."""
         if self.style == "drop":
             return text.split() if plain or not _odd(text) else None
-        if self.style == "whole" or not plain and _odd(text) or _DOUBLE.search(text):
+        if self.style == "whole" or not plain and _odd(text) or text[:1] in _ENDS or text[-1:] in _ENDS or any(x in text for x in _DOUBLE):
             return None
         keys = text.replace("\n", " \n").split(" ")
         keys[0] = "\r" + keys[0]
@@ -61,6 +69,28 @@ class ChunkEncoder:
     def _chunk(self, key: str) -> str:
         return key if self.style == "drop" or key[0] == "\n" else key[1:] if key[0] == "\r" else " " + key
 
+    def _word(self, key: str) -> list[int] | None:
+        """ids of a key that is one word of Latin letters, perhaps with marks after it, straight from the model; else None."""
+        m = _WORD.fullmatch(key)
+        if m is None or self.stop is None:
+            return None
+        lead, word, marks = m.groups()
+        if self.style == "drop":
+            if lead:
+                return None
+            word = word.lower()
+        elif not lead:
+            word = " " + word
+        ids = [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(_BYTES))]
+        if lead == "\n":
+            ids = [*self._piece("\n"), *ids]
+        return [*ids, *self._piece(marks)] if marks else ids
+
+    def _piece(self, text: str) -> list[int]:
+        if text not in self.pieces:
+            self.pieces[text] = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.pieces[text]
+
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids, and how many each chunk has. Chunks are joined by a special token, where texts are cut before all else."""
         text = "".join(chunks)
@@ -78,7 +108,14 @@ class ChunkEncoder:
     def _learn(self, keys: list[str]) -> None:
         n = len(keys)
         at = len(self.index) - n
-        flat, sizes = self._encode_chunks([self._chunk(k) for k in keys])
+        parts = list(map(self._word, keys))
+        rest = [i for i, p in enumerate(parts) if p is None]
+        if rest:
+            flat, sizes = self._encode_chunks([self._chunk(keys[i]) for i in rest])
+            for i, ids in zip(rest, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
+                parts[i] = ids.tolist()
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=n)
+        flat = np.fromiter(chain.from_iterable(parts), dtype=np.uint32, count=int(sizes.sum()))
         end = self.starts[at]
         while end + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
