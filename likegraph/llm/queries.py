@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from likegraph.llm.brown import perplexity
+from likegraph.llm.chat import preferences, turns, with_other_answers
 from likegraph.llm.digest import fingerprints
 from likegraph.llm.language_id import identify
 from likegraph.llm.minhash import near_duplicates
 from likegraph.llm.packing import pack_documents
 from likegraph.llm.shared import table
+from likegraph.llm.tiling import contamination
 from likegraph.llm.token_files import read_token_files, write_token_files
 from likegraph.llm.toxicity import rate
 
@@ -27,6 +30,37 @@ def op3_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as chosen, and as rejected with the next one's last answer."""
+    convs = turns(table(spark, sf_dir, "conversations"))
+    out = preferences(convs, with_other_answers(convs))
+    mask = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["from"].cast("string"), F.lit("-"), s["to"].cast("string"))), ",").alias(c)
+    return out.select("conv_id", "n_common", "prompt", "chosen", mask("chosen_mask"), "rejected", mask("rejected_mask"))
+
+
+OP4_SQL = r"""
+with convs as (
+  select conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn, coalesce(role, ''), coalesce(text, '')) t
+  from conversations group by conv_id),
+known as (select conv_id, t, list_max(list_filter(range(1, len(t) + 1), lambda i: t[i].role = 'assistant')) k from convs),
+paired as (
+  select a.conv_id, a.t c, list_transform(range(1, len(a.t) + 1), lambda i: {'turn': a.t[i].turn, 'role': a.t[i].role, 'text': case when i = a.k then coalesce(b.t[b.k].text, '') else a.t[i].text end}) r
+  from known a left join known b on b.conv_id = a.conv_id + 1 and b.k is not null),
+cut as (select conv_id, c, r, coalesce(list_min(list_filter(range(1, len(c) + 1), lambda i: c[i].text <> r[i].text)) - 1, len(c)) n from paired),
+said as (
+  select conv_id, n, list_transform(c, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)) cs,
+    list_transform(r, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)) rs, c, r from cut),
+ends as (
+  select *, list_transform(range(1, len(c) + 1), lambda i: coalesce(list_sum(list_transform(cs[n+1:i], lambda x: length(x))), 0)) ce,
+    list_transform(range(1, len(r) + 1), lambda i: coalesce(list_sum(list_transform(rs[n+1:i], lambda x: length(x))), 0)) re from said)
+select conv_id, cast(n as int) n_common, array_to_string(cs[1:n], '') prompt, array_to_string(cs[n+1:], '') chosen,
+  array_to_string(list_transform(list_filter(range(n + 1, len(c) + 1), lambda i: c[i].role = 'assistant'), lambda i: cast(ce[i] - 11 - length(c[i].text) as bigint) || '-' || cast(ce[i] - 1 as bigint)), ',') chosen_mask,
+  array_to_string(rs[n+1:], '') rejected,
+  array_to_string(list_transform(list_filter(range(n + 1, len(r) + 1), lambda i: r[i].role = 'assistant'), lambda i: cast(re[i] - 11 - length(r[i].text) as bigint) || '-' || cast(re[i] - 1 as bigint)), ',') rejected_mask
+from ends
+"""
+
+
 def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -39,6 +73,10 @@ def op8_brown_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity(table(spark, sf_dir, "documents"))
 
 
+def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,10 +85,12 @@ QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simple8b_files": op3_simple8b_files,
+    "op4_preference_formatting": op4_preference_formatting,
     "op6_quartile_digest": op6_quartile_digest,
     "op7_minhash_bayes": op7_minhash_bayes,
     "op8_brown_class_ngrams": op8_brown_class_ngrams,
+    "op9_string_tiling": op9_string_tiling,
     "op10_pu_toxicity": op10_pu_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op4_preference_formatting": OP4_SQL}
