@@ -24,4 +24,4 @@ def running_totals(values: Column) -> Column:
 
 def running_greatest(values: Column, least: int = 0) -> Column:
     """The greatest of least and the elements up to each."""
-    return _running(values, F.greatest, least)
+    return _running(values, lambda a, b: F.greatest(a, b), least)

@@ -12,6 +12,7 @@ from likegraph.llm.digest import fingerprints
 from likegraph.llm.language_id import identify
 from likegraph.llm.minhash import near_duplicates
 from likegraph.llm.packing import pack_documents
+from likegraph.llm.secrets import report
 from likegraph.llm.shared import table
 from likegraph.llm.tiling import contamination
 from likegraph.llm.token_files import read_token_files, write_token_files
@@ -61,6 +62,10 @@ from ends
 """
 
 
+def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simple8b_files": op3_simple8b_files,
     "op4_preference_formatting": op4_preference_formatting,
+    "op5_secret_links": op5_secret_links,
     "op6_quartile_digest": op6_quartile_digest,
     "op7_minhash_bayes": op7_minhash_bayes,
     "op8_brown_class_ngrams": op8_brown_class_ngrams,
