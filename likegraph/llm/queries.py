@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from likegraph.llm.digest import fingerprints
 from likegraph.llm.language_id import identify
 from likegraph.llm.minhash import near_duplicates
 from likegraph.llm.packing import pack_documents
-from likegraph.llm.secrets import report
+from likegraph.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, KINDS, NAME, SCOPE, WORD, report
 from likegraph.llm.shared import table
 from likegraph.llm.tiling import contamination
 from likegraph.llm.token_files import read_token_files, write_token_files
@@ -66,6 +68,33 @@ def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def _op5_kind(name: str, pattern: str, group: int = 0, least: int = 1, also: str = "true") -> str:
+    """A select of the spans of one kind; RE2 has no look-behind, and these patterns need none as they take whole runs."""
+    p = re.sub(r"^\(\?<![^)]*\)", "", pattern).replace("'", "''")
+    return f"""
+select doc_id, {KINDS.index(name)} kind, cast(e - length(m[i]) as bigint) s, cast(e as bigint) e from (
+  select doc_id, m, v, unnest(range(1, len(m) + 1)) i, list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) e
+  from (select doc_id, regexp_extract_all(t, '{p}', 0) m, regexp_extract_all(t, '{p}', {group}) v, string_split_regex(t, '{p}') g from d where regexp_matches(t, '{p}')))
+where length(v[i]) >= {least} and {also.replace("$", "v[i]")}"""
+
+
+OP5_SQL = f"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+strong as ({_op5_kind("assign", ASSIGN, 2, 12)} union all {_op5_kind("access", ACCESS)} union all {_op5_kind("hex", HEX)}),
+weak as ({_op5_kind("name", NAME)} union all {_op5_kind("word", WORD, also="regexp_matches($, '[0-9]') and regexp_matches($, '[A-Z]') and regexp_matches($, '[a-z]')")} union all {_op5_kind("endpoint", ENDPOINT)}),
+facts as (
+  select w.doc_id, w.kind, w.s, w.e, bool_or(p.kind in (1, 3)) i, bool_or(p.kind in (0, 2, 4)) c, bool_or(p.kind < 3 and p.s < w.e and p.e > w.s) covered
+  from weak w join (from strong union all from weak) p on p.doc_id = w.doc_id and p.s <= w.e + {SCOPE} and p.e >= w.s - {SCOPE} group by all),
+spans as (from strong union all select doc_id, kind, s, e from facts where not covered and case kind when 3 then c when 4 then i else i and c end),
+told as (
+  select doc_id, count(*) filter (kind = 0) a, count(*) filter (kind = 1) k, count(*) filter (kind = 2) h,
+    coalesce(string_agg(said, ',' order by s, kind) filter (kind < 3), '') base, string_agg(said, ',' order by s, kind) every
+  from (select *, ['assign', 'access', 'hex', 'name', 'word', 'endpoint'][kind + 1] || ':' || s || ':' || e said from spans) group by doc_id)
+select doc_id, coalesce(a, 0) n_assign, coalesce(k, 0) n_access, coalesce(h, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(every, '') spans
+from d left join told using (doc_id)
+"""
+
+
 def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -99,4 +128,4 @@ QUERIES = {
     "op10_pu_toxicity": op10_pu_toxicity,
 }
 
-SQL = {"op4_preference_formatting": OP4_SQL}
+SQL = {"op4_preference_formatting": OP4_SQL, "op5_secret_links": OP5_SQL}
