@@ -1,12 +1,89 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline: each stage takes the documents that the one before kept, and the last packs them.
+
+Stages may get columns of any names, repeated ids and null values; rows are told apart by their place in
+the table that a stage is given, which is a Parquet table and so has the same rows in the same places each
+time it is read.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from likegraph.llm import language_id, minhash, packing, secrets, tiling
+from likegraph.llm.shared import let_workers_import, table, written
+
+#: Rows whose places are broadcast to leave them out; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def _whole(docs: DataFrame) -> list:
+    """All columns as one, so that none clashes with what an operator adds."""
+    return [F.struct(*docs.columns).alias("_doc")]
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the documents that have a language; rejects those in which it finds none (null text, no letters).
+
+    Without any language to learn from, nothing can be rejected for lacking one but text without letters,
+    so then all documents with a letter stay.
+    """
+    let_workers_import(spark)
+    model = language_id.learn(docs)
+    if not model:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language_id.predict(docs, model, keep=_whole(docs))
+    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select("_doc.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at similarity 0.8 or more, the document of the least id (then place) stays.
+
+    Documents with null text or without words are in no group and stay. Null ids come after all others.
+    """
+    let_workers_import(spark)
+    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    keys = placed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_place").alias("key"), "text")
+    groups = minhash.near_duplicates(keys, k=5, num=80, den=100, doc_id="key")
+    gone = written(groups.filter(~F.col("kept")).select(F.col("doc_id._place").alias("_place")), "gone")
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return placed.join(gone, "_place", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that hold at least 0.8 of a benchmark item's words in common runs of five words or more, in any order."""
+    let_workers_import(spark)
+    found = tiling.contamination(docs, table(spark, sf_dir, "benchmark"), keep=_whole(docs))
+    return found.filter(~F.col("contaminated")).select("_doc.*")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; its secrets are replaced by a mark and n_chars is counted anew."""
+    return secrets.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All remaining documents as sequences of at most 2048 tokens."""
+    let_workers_import(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("secret_scans", redact_secrets),
+    ("best_fit_packing", pack),
+]
 
-STAGES: list = []
+#: Neither mixtures of languages nor tokens can be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

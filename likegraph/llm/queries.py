@@ -103,6 +103,21 @@ def op7_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, num=80, den=100)
 
 
+OP7_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+sets as (select doc_id, case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end s from w),
+sh as (select doc_id, len(s) n, unnest(s) g from sets),
+pairs as (
+  select a.doc_id a, b.doc_id b, any_value(a.n) na, any_value(b.n) nb, count(*) c
+  from sh a join sh b on a.g = b.g and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2),
+half as (select a, b from pairs where 100 * c >= 80 * (na + nb - c)),
+links as (select a, b from half union all select b, a from half),
+reach as (select doc_id a, doc_id b from documents union select reach.a, links.b from reach join links on links.a = reach.b)
+select doc_id, cast(len(s) as bigint) n_shingles, component_id, doc_id = component_id kept
+from sets join (select a doc_id, min(b) component_id from reach group by 1) using (doc_id)
+"""
+
+
 def op8_brown_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity(table(spark, sf_dir, "documents"))
 
@@ -128,4 +143,4 @@ QUERIES = {
     "op10_pu_toxicity": op10_pu_toxicity,
 }
 
-SQL = {"op4_preference_formatting": OP4_SQL, "op5_secret_links": OP5_SQL}
+SQL = {"op4_preference_formatting": OP4_SQL, "op5_secret_links": OP5_SQL, "op7_minhash_bayes": OP7_SQL}
