@@ -111,9 +111,31 @@ def _pruned(pairs: DataFrame, fewest: list[tuple[int, int]]) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _exact(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b of classes) whose sets have den * intersection >= num * union."""
-    wanted = written(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "rep", "h1", "h2"), "cid"), "wanted")
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for the hash of each shingle, in 16 to 32 times as many bits, a power of two."""
+    bits = max(64, 16 << (len(shingles) - 1).bit_length())
+    out = np.zeros(bits, dtype=np.uint8)
+    out[(shingles >> np.uint64(20)).astype(np.int64) & bits - 1] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def most_alike(a: tuple[np.ndarray, int], b: tuple[np.ndarray, int], num: int, den: int) -> np.ndarray:
+    """Which rows may reach den * intersection >= num * union, by bitmaps (64-bit words) and set sizes. None that does is left out.
+
+    A bit of one alone is a shingle at least that the other lacks, which bounds the intersection.
+    """
+    (x, nx), (y, ny) = a, b
+    while x.shape[1] > y.shape[1]:  # bits are low bits of the hash, so halves fold onto each other
+        x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+    while y.shape[1] > x.shape[1]:
+        y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+    same = np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    return den * same >= num * (nx + ny - same)
+
+
+def _sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
+    """(cid, shingles, bits) of the classes in cids, from the text of one document of each."""
+    wanted = written(cids.select("cid").distinct().join(classes.select("cid", "rep", "h1", "h2"), "cid"), "wanted")
     ids = wanted.select("rep").distinct()
     if wanted.count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
@@ -123,13 +145,18 @@ def _exact(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: i
             for _, _, texts in text_slices(batch.column(0), 1_000_000):
                 flat, sizes = shingle_sets(texts, k)
                 ends = np.cumsum(sizes).tolist()
-                own = [flat[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
+                own = [flat[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True) if n]
                 h1, h2 = ([int(f(o).sum(dtype=np.uint64).view(np.int64)) for o in own] for f in (lambda o: o, lambda o: mix(o + np.uint64(1))))
-                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([o.tobytes() for o in own], pa.binary())], ["h1", "h2", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([o.tobytes() for o in own], pa.binary()), pa.array([bitmap(o) for o in own], pa.binary())], ["h1", "h2", "shingles", "bits"])
 
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(run, "h1 long, h2 long, shingles binary").join(wanted, ["h1", "h2"]).select("cid", "shingles").dropDuplicates(["cid"])
-    sets = written(sets, "sets")
+    sets = written(texts.mapInArrow(run, "h1 long, h2 long, shingles binary, bits binary").join(wanted, ["h1", "h2"]).select("cid", "shingles", "bits").dropDuplicates(["cid"]), "sets")
+    drop_written(wanted)
+    return sets
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b of classes) whose sets have den * intersection >= num * union."""
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def check(batches):
@@ -146,9 +173,54 @@ def _exact(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: i
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
-    links = written(both.mapInArrow(check, "a long, b long"), "exact")
-    drop_written(sets, wanted)
-    return links
+    return written(both.mapInArrow(check, "a long, b long"), "exact")
+
+
+def _between(members: DataFrame, classes: DataFrame, tried: DataFrame, fewest: list[tuple[int, int]], num: int, den: int) -> DataFrame:
+    """Pairs of members (key, cid, root, m) of one bucket and of different roots that neither signatures nor bitmaps rule out, less those tried.
+
+    Members of a bucket stand in blocks of bounded size, and two blocks are a row. A pair that shares
+    several buckets counts in the first.
+    """
+    parts = F.ceil(F.col("m") / BLOCK)
+    one = F.struct("cid", "root", "n", "sig", "bands", "bits")
+    blocks = members.join(classes, "cid").withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int"))
+    blocks = written(blocks.groupBy("key", "part").agg(F.collect_list(one).alias("of"), F.min("root").alias("lo"), F.max("root").alias("hi")), "blocks")
+    x, y = (blocks.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "of", "lo", "hi")]) for s in "xy")
+    met = x.join(y, "key").filter("part_x <= part_y and not (lo_x = hi_x and lo_y = hi_y and lo_x = lo_y)").select("key", "of_x", "of_y")
+
+    def opened(rows):
+        raw = [np.frombuffer(v, np.uint64) for v in rows.field("bits").to_pylist()]
+        ints = [np.array(rows.field(c)) for c in ("cid", "root", "n")]
+        return *ints, np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint8).reshape(-1, HASHES), np.array(rows.field("bands").flatten()).reshape(-1, BANDS), raw, np.array([len(r) for r in raw])
+
+    def meet(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = batch.column("key")[i].as_py()
+                (ca, ra, na, sa, ba, xa, wa), (cb, rb, nb, sb, bb, xb, wb) = (opened(batch.column(c)[i].values) for c in ("of_x", "of_y"))
+                at, bt = np.nonzero((ra[:, None] != rb[None, :]) & (den * np.minimum(na[:, None], nb[None, :]) >= num * np.maximum(na[:, None], nb[None, :])))
+                found = []
+                for j in range(0, len(at), 32768):
+                    p, q = at[j : j + 32768], bt[j : j + 32768]
+                    left = survive(sa[p], sb[q], fewest)
+                    p, q = p[left], q[left]
+                    for u, v in {*zip(wa[p].tolist(), wb[q].tolist(), strict=True)}:
+                        of = np.flatnonzero((wa[p] == u) & (wb[q] == v))
+                        for o in range(0, len(of), max(1, (1 << 20) // max(u, v))):
+                            pp, qq = p[of[o : o + max(1, (1 << 20) // max(u, v))]], q[of[o : o + max(1, (1 << 20) // max(u, v))]]
+                            ok = most_alike((np.stack([xa[z] for z in pp]), na[pp]), (np.stack([xb[z] for z in qq]), nb[qq]), num, den)
+                            pp, qq = pp[ok], qq[ok]
+                            if len(pp):
+                                first = ba[pp, (ba[pp] == bb[qq]).argmax(axis=1)] == key
+                                found.append((ca[pp[first]], cb[qq[first]]))
+                a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
+
+    known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    more = written(met.mapInArrow(meet, "a long, b long").distinct().join(known, ["a", "b"], "left_anti"), "more")
+    drop_written(blocks)
+    return more
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, miss: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,33 +249,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     stars = members.join(pivots, "key").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
     stars = stars.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
     tried = written(_pruned(stars, fewest), "stars")
-    links = _exact(docs, classes, tried, k, num, den, doc_id, text)
+    sets = _sets(docs, classes, tried.select(F.explode(F.array("a", "b")).alias("cid")), k, doc_id, text)
+    links = _exact(tried, sets, num, den)
+    drop_written(sets)
     labels = connected_components(links)
     # Buckets of several components: the rest of their pairs, between components only.
     placed = members.select("key", "cid").join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
     split = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").filter("m > 2")
-    open_ = placed.join(split.select("key", "m"), "key").join(sigs, "cid")
-    parts = F.ceil(F.col("m") / BLOCK)
-    blocks = written(
-        open_.withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int")).groupBy("key", "part").agg(F.collect_list(F.struct("cid", "root", "sig")).alias("of"), F.min("root").alias("lo"), F.max("root").alias("hi")),
-        "blocks",
-    )
-    x, y = (blocks.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "of", "lo", "hi")]) for s in "xy")
-    met = x.join(y, "key").filter("part_x <= part_y and not (lo_x = hi_x and lo_y = hi_y and lo_x = lo_y)").select("of_x", "of_y")
-
-    def meet(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (ca, ra, sa), (cb, rb, sb) = ((np.array(o.field("cid")), np.array(o.field("root")), np.frombuffer(b"".join(o.field("sig").to_pylist()), np.uint8).reshape(-1, HASHES)) for o in (batch.column(c)[i].values for c in ("of_x", "of_y")))
-                at, bt = np.nonzero((ra[:, None] != rb[None, :]) & (ca[:, None] != cb[None, :]))
-                out = [(at[j : j + 65536][s], bt[j : j + 65536][s]) for j in range(0, len(at), 65536) for s in [survive(sa[at[j : j + 65536]], sb[bt[j : j + 65536]], fewest)]]
-                a, b = (ca[np.concatenate([o[0] for o in out] or [np.zeros(0, int)])], cb[np.concatenate([o[1] for o in out] or [np.zeros(0, int)])])
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
-
-    known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = written(met.mapInArrow(meet, "a long, b long").distinct().join(known, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(_exact(docs, classes, more, k, num, den, doc_id, text)))
+    open_ = written(placed.join(split.select("key", "m"), "key"), "open")
+    if not open_.isEmpty():
+        sets = _sets(docs, classes, open_, k, doc_id, text)
+        more = _between(open_, classes.select("cid", "n", "sig", "bands").join(sets.select("cid", "bits"), "cid"), tried, fewest, num, den)
+        labels = connected_components(links.unionByName(_exact(more, sets, num, den)))
+        drop_written(sets, more)
     rooted = classes.select("h1", "h2", "n", "rep", "cid").join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = rooted.groupBy("root").agg(F.min("rep").alias("component"))
     of_class = rooted.join(named, "root").select("h1", "h2", "n", "component")
