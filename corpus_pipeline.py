@@ -12,15 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from likegraph.llm import language_id, minhash, packing, secrets, tiling
-from likegraph.llm.shared import let_workers_import, table, written
+from likegraph.llm.shared import table, written
+from likegraph.workers import let_workers_import
 
 #: Rows whose places are broadcast to leave them out; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
 
-def _whole(docs: DataFrame) -> list:
-    """All columns as one, so that none clashes with what an operator adds."""
-    return [F.struct(*docs.columns).alias("_doc")]
+def _placed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_place", F.monotonically_increasing_id())
+
+
+def _without(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """docs less the rows at places (_place): texts don't move unless very many rows go."""
+    gone = written(places.select("_place"), name)
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return _placed(docs).join(gone, "_place", "left_anti").select(*docs.columns)
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +41,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     model = language_id.learn(docs)
     if not model:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = language_id.predict(docs, model, keep=_whole(docs))
-    return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select("_doc.*")
+    found = language_id.predict(_placed(docs), model, keep=["_place"])
+    return _without(docs, found.filter(F.col("lang_pred") == language_id.UNKNOWN), "rejected")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,20 +51,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents with null text or without words are in no group and stay. Null ids come after all others.
     """
     let_workers_import(spark)
-    placed = docs.withColumn("_place", F.monotonically_increasing_id())
-    keys = placed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_place").alias("key"), "text")
+    keys = _placed(docs).select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_place").alias("key"), "text")
     groups = minhash.near_duplicates(keys, k=5, num=80, den=100, doc_id="key")
-    gone = written(groups.filter(~F.col("kept")).select(F.col("doc_id._place").alias("_place")), "gone")
-    if gone.count() <= MOST_BROADCAST:
-        gone = F.broadcast(gone)
-    return placed.join(gone, "_place", "left_anti").select(*docs.columns)
+    return _without(docs, groups.filter(~F.col("kept")).select(F.col("doc_id._place").alias("_place")), "copies")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that hold at least 0.8 of a benchmark item's words in common runs of five words or more, in any order."""
     let_workers_import(spark)
-    found = tiling.contamination(docs, table(spark, sf_dir, "benchmark"), keep=_whole(docs))
-    return found.filter(~F.col("contaminated")).select("_doc.*")
+    found = tiling.contamination(_placed(docs), table(spark, sf_dir, "benchmark"), keep=["_place"])
+    return _without(docs, found.filter("contaminated"), "contaminated")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

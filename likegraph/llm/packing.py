@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, 500_000).encode
         for batch in batches:
             ids = batch.column(0)
             for a, _, texts in text_slices(batch.column(1)):

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from likegraph.workers import let_workers_import
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors can reach.
@@ -62,13 +62,6 @@ def text_slices(texts: pa.Array, most_bytes: int = 4_000_000):
         start, done = stop, int(ends[stop - 1])
 
 
-def let_workers_import(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver has it (on a cluster: an installed or shipped copy)."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

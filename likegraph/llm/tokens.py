@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -26,6 +26,8 @@ _WORD = re.compile("([\r\n]?)([A-Za-zÀ-ÖØ-öø-ÿĀ-įĲ-ňŊ-ž]+)([.,;:!?]*
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b if b in _PRINTABLE else 256 + sum(k not in _PRINTABLE for k in range(b)) for b in range(256)}
 
+_SPACE = chr(_BYTES[32])
+
 
 class ChunkEncoder:
     """ids of texts, equal to those of encode(text, add_special_tokens=False).
@@ -35,7 +37,7 @@ class ChunkEncoder:
     white space and the word that follows. Any other file, and texts with unusual white space: encoded
     whole.
 
-    most_chunks bounds the memory; a full store is emptied and filled again.
+    most_chunks bounds the memory; a full store keeps the half of its chunks that came first.
     """
 
     def __init__(self, path: str, most_chunks: int = 900_000):
@@ -56,6 +58,12 @@ class ChunkEncoder:
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 12, dtype=np.int64)
 
+    def _shrink(self, n: int) -> None:
+        """Keeps the n chunks that came first: frequent ones come early."""
+        kept = _Index()
+        kept.update(islice(self.index.items(), n))
+        self.index = kept
+
     def _split(self, text: str, plain: bool) -> list[str] | None:
         """Keys of its chunks: a chunk itself if it starts with a line end, after a return mark if it starts the text, else without its space."""
         if self.style == "drop":
@@ -79,9 +87,11 @@ class ChunkEncoder:
             if lead:
                 return None
             word = word.lower()
-        elif not lead:
-            word = " " + word
-        ids = [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() and word[0] != " " else word.encode().decode("latin-1").translate(_BYTES))]
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        if self.style == "keep" and not lead:
+            word = _SPACE + word
+        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
         if lead == "\n":
             ids = [*self._piece("\n"), *ids]
         return [*ids, *self._piece(marks)] if marks else ids
@@ -146,8 +156,8 @@ class ChunkEncoder:
         n = sum(map(len, split))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=n)
         new, self.index.new = self.index.new, []
-        if len(self.index) > self.most_chunks > len(new):
-            self._clear()
+        if len(self.index) > self.most_chunks and len(self.index) - len(new) > self.most_chunks // 4:
+            self._shrink(min(self.most_chunks // 2, len(self.index) - len(new)))
             return self._of_keys(split)
         if new:
             self._learn(new)
@@ -194,8 +204,8 @@ def _style(spec: dict) -> str:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One for each process and file."""
+def encoder(path: str, most_chunks: int = 900_000) -> ChunkEncoder:
+    """One for each process and file; a store of 900,000 chunks takes about 200 MB."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = ChunkEncoder(path, most_chunks)
     return _encoders[path]
