@@ -51,46 +51,52 @@ def simple8b(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.nda
     need[n:] = 65
     bits[:, :block] = need.reshape(blocks, block)
     bits = bits.ravel()
-    best = np.full(len(bits), ESCAPE, dtype=np.uint8)
+    best = np.full(len(bits), 255, dtype=np.uint8)
     spans = {1: bits}
     for sel in range(len(COUNTS) - 1):  # from few values to many: the last that fits stays
         fits = _most(spans, int(COUNTS[sel])) <= WIDTHS[sel]
         if not fits.any():  # nor will more values of fewer bits
             break
-        best[fits] = sel
-    # walk
+        best += fits.view(np.uint8)  # what fits so many values fits fewer, so this counts up to the last
+    best[best == 255] = ESCAPE
     width, live = block + 256, np.arange(blocks)
     at, stop = live * width, live * width + np.minimum(block, n - live * block)
-    order, sels, owner = [], [], []
+    wrote, order, sels, owner, where = np.zeros(blocks, dtype=np.int64), [], [], [], []
     while len(live):
         s = best[at]
         order.append(at)
         sels.append(s)
         owner.append(live)
+        where.append(wrote[live])
+        wrote[live] += 1 + (s == ESCAPE)
         at = at + COUNTS[s]
         more = at < stop
         at, stop, live = at[more], stop[more], live[more]
+    firsts = np.cumsum(wrote) - wrote
     at, s, own = np.concatenate(order), np.concatenate(sels), np.concatenate(owner)
-    by = np.argsort(at, kind="stable")
-    at, s, own = at[by], s[by], own[by]
-    long = 1 + (s == ESCAPE)
-    place = np.cumsum(long) - long
-    words = np.zeros(int(long.sum()), dtype=np.uint64)
-    source = (at // width) * block + at % width
+    place = firsts[own] + np.concatenate(where)
+    words = np.zeros(int(wrote.sum()), dtype=np.uint64)
+    source = own * (block - width) + at
     for sel in np.unique(s):
         k = np.flatnonzero(s == sel)
         word = np.full(len(k), np.uint64(sel) << np.uint64(60), dtype=np.uint64)
         if sel == ESCAPE:
             words[place[k] + 1] = flat[source[k]]
         elif WIDTHS[sel]:
+            at_k = source[k]
             for i in range(COUNTS[sel]):
-                word |= flat[source[k] + i] << np.uint64(i * WIDTHS[sel])
+                word |= flat[at_k + i] << np.uint64(i * WIDTHS[sel])
         words[place[k]] = word
-    return words, place[np.searchsorted(own, np.arange(blocks))]
+    return words, firsts
+
+
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
+    if int(values.max(initial=0)) < 1 << 16:
+        return _SHORT[values]
     if int(values.max(initial=0)) < 1 << 52:
         return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     high = np.frexp((values >> np.uint64(32)).astype(np.float64))[1]
@@ -123,17 +129,19 @@ def from_simple8b(words: np.ndarray, firsts: np.ndarray, n: int, block: int = BL
         head = np.arange(len(words))
     sel = sel[head]
     # a block's last word may claim more values than are left, so each block counts anew
-    owner = np.searchsorted(firsts, head, side="right") - 1
+    first = np.searchsorted(head, firsts)
+    per = np.diff(np.append(first, len(head)))
     run = np.cumsum(COUNTS[sel]) - COUNTS[sel]
-    start = run - run[np.searchsorted(owner, owner)] + owner * block
+    start = run - np.repeat(run[first] - np.arange(len(first)) * block, per)
     out = np.zeros(n + 256, dtype=np.uint64)
     for s in np.unique(sel):
         k = np.flatnonzero(sel == s)
         if s == ESCAPE:
             out[start[k]] = words[head[k] + 1]
         elif WIDTHS[s]:
+            word, to, low = words[head[k]], start[k], np.uint64((1 << int(WIDTHS[s])) - 1)
             for i in range(COUNTS[s]):
-                out[start[k] + i] = (words[head[k]] >> np.uint64(i * WIDTHS[s])) & np.uint64((1 << int(WIDTHS[s])) - 1)
+                out[to + i] = (word >> np.uint64(i * WIDTHS[s])) & low
     return out[:n]
 
 
