@@ -8,8 +8,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Workers live on from stage to stage; with these, what one stage has freed goes back to the system before the next.
+MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "8388608"}
+
+
 def let_workers_import(spark: SparkSession) -> None:
     """Python workers look for this package where the driver has it (on a cluster: an installed or shipped copy)."""
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env.update({k: v for k, v in MEMORY.items() if k not in env})
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
