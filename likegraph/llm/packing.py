@@ -101,11 +101,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        encode = encoder(tokenizer, 500_000).encode
+        coder = encoder(tokenizer, 500_000)
         for batch in batches:
             ids = batch.column(0)
-            for a, _, texts in text_slices(batch.column(1)):
-                flat, ends = encode(texts)
+            for a, _, texts in text_slices(batch.column(1), 2_000_000):
+                flat, ends = coder.encode(texts)
                 rows, start = [], 0
                 for k, stop in enumerate(ends.tolist()):
                     whole = np.append(flat[start:stop], np.uint32(end_id)).astype("<u4")
@@ -113,6 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                     start = stop
                 at, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        coder.rest()
 
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

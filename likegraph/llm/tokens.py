@@ -58,6 +58,13 @@ class ChunkEncoder:
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.starts = np.zeros(1 << 12, dtype=np.int64)
 
+    def rest(self, chunks: int = 150_000) -> None:
+        """Gives back most of the memory; the chunks that came first are still known."""
+        if len(self.index) > chunks:
+            self._shrink(chunks)
+            self.ids = self.ids[: self.starts[chunks]].copy()
+            self.starts = self.starts[: chunks + 1].copy()
+
     def _shrink(self, n: int) -> None:
         """Keeps the n chunks that came first: frequent ones come early."""
         kept = _Index()
