@@ -11,9 +11,17 @@ from pyspark.sql import SparkSession
 #: Workers live on from stage to stage; with these, what one stage has freed goes back to the system before the next.
 MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "8388608"}
 
+#: Rows hold whole texts, so an Arrow batch of the default 10,000 would take hundreds of MB on either side.
+ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
 
 def let_workers_import(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver has it (on a cluster: an installed or shipped copy)."""
+    """Python workers look for this package where the driver has it (on a cluster: an installed or shipped copy).
+
+    Also sets what bounds their memory, where the session has left it at the default.
+    """
+    if spark.conf.get(ROWS[0]) == ROWS[1]:
+        spark.conf.set(ROWS[0], ROWS[2])
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env.update({k: v for k, v in MEMORY.items() if k not in env})
