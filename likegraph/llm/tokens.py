@@ -159,13 +159,13 @@ class ChunkEncoder:
             return np.concatenate([p[0] for p in parts]), np.cumsum(np.concatenate([np.diff(p[1], prepend=0) for p in parts]))
         return self._of_keys(split)
 
-    def _of_keys(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def _of_keys(self, split: list[list[str]], again: bool = True) -> tuple[np.ndarray, np.ndarray]:
         n = sum(map(len, split))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=n)
         new, self.index.new = self.index.new, []
-        if len(self.index) > self.most_chunks and len(self.index) - len(new) > self.most_chunks // 4:
+        if again and len(self.index) > self.most_chunks:  # once only: texts at hand may have more chunks than that
             self._shrink(min(self.most_chunks // 2, len(self.index) - len(new)))
-            return self._of_keys(split)
+            return self._of_keys(split, False)
         if new:
             self._learn(new)
         first = self.starts[at]
