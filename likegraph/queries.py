@@ -88,6 +88,10 @@ def _agreement(which: int) -> Query:
     return lambda spark, d: evaluate.agreement_rate(distance.get_strongest_matches(_emb(spark, d)), _truth(spark, d))[which]
 
 
+def _partners(rows: DataFrame) -> DataFrame:
+    return _rounded(rows, "weight", "var").withColumn("bodyid", F.coalesce(F.col("bodyid").cast("string"), F.lit("median")))
+
+
 def _radar(g, t):
     kinds = t.filter(F.col("bodyid") % 2 == 0).select("bodyid", (F.col("bodyid") % 3).cast("string").alias("type"))
     return _rounded(explore.features_radarchart(features.extract_roioverlap_features(g, t), kinds), "value")
@@ -135,8 +139,8 @@ QUERIES: dict[str, Query] = {
     "cluster_diameter": lambda spark, d: _rounded(evaluate.cluster_diameter(_truth(spark, d), _emb(spark, d)), "dist"),
     "max_differences": lambda spark, d: _rounded(explore.find_max_differences(_conn(spark, d), 1, 2), "v1", "v2", "diff"),
     "max_range_features": lambda spark, d: _long(explore.find_max_variance(_conn(spark, d))),
-    "partner_slots_in": _graph(lambda g, t: _rounded(explore.connection_differences(g, t)[0], "weight", "var")),
-    "partner_slots_out": _graph(lambda g, t: _rounded(explore.connection_differences(g, t)[1], "weight", "var")),
+    "partner_slots_in": _graph(lambda g, t: _partners(explore.connection_differences(g, t)[0])),
+    "partner_slots_out": _graph(lambda g, t: _partners(explore.connection_differences(g, t)[1])),
     "heatmap_long": _graph(lambda g, t: _rounded(explore.features_compareheatmap(features.extract_roioverlap_features(g, t)), "value")),
     "radar_table": _graph(_radar),
     "scatter_join": _scatter,

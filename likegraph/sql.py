@@ -109,8 +109,8 @@ cols as (select partner, hastype, unnest(range(1, max(n) + 1)) slot from (select
 fil as (select *, row_number() over (partition by bodyid, partner, hastype order by weight desc, pid desc) slot from ent),
 ful as (select t.bodyid, c.partner, c.hastype, cast(c.slot as int) slot, cast(coalesce(weight, 0) as double) weight from targets t cross join cols c left join fil f on f.bodyid = t.bodyid and f.partner = c.partner and f.hastype = c.hastype and f.slot = c.slot),
 sta as (select partner, hastype, slot, var_samp(weight) v, median(weight) m from ful group by all)""",
-        select="""select bodyid, partner, hastype, slot, round(weight, 6) weight, round(v, 6) var from ful join sta using (partner, hastype, slot)
-union all select null, partner, hastype, slot, round(m, 6), round(v, 6) from sta""",
+        select="""select cast(bodyid as varchar) bodyid, partner, hastype, slot, round(weight, 6) weight, round(v, 6) var from ful join sta using (partner, hastype, slot)
+union all select 'median', partner, hastype, slot, round(m, 6), round(v, 6) from sta""",
     )
 
 
