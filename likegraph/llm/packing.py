@@ -11,7 +11,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                     start = stop
                 at, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        coder.rest()
+        coder.rest(60_000)
 
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
@@ -131,9 +130,9 @@ def packed(cuts: DataFrame, capacity: int = 2048) -> DataFrame:
     counts = cuts.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     histogram = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = spark.createDataFrame(
-        pd.DataFrame(best_fit_plan(histogram, capacity), columns=["length", "_from", "_to", "_bin", "_per", "_at"], dtype="int64"), "length long, _from long, _to long, _bin long, _per long, _at long"
-    )
+    columns = np.array(best_fit_plan(histogram, capacity), dtype=np.int64).reshape(-1, 6).T
+    # an Arrow table goes to the JVM as it is, with no Python worker between
+    plan = spark.createDataFrame(pa.table(list(columns), names=["length", "_from", "_to", "_bin", "_per", "_at"]))
     ranked = cuts.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece")) - 1)
     bases = counts.select("length", "_part", "_before")
     if len(histogram) * parts <= MOST_BROADCAST:
