@@ -154,6 +154,6 @@ QUERIES: dict[str, Query] = {
     "kmeans_vi": lambda spark, d: kmeans.kmeans_cluster(_emb(spark, d), 10).compute_vi(_truth(spark, d))[2],
     "pca": lambda spark, d: reduce.reduce_features(_emb(spark, d), 10)[0].values,
     "tsne": lambda spark, d: reduce.nonlinear_reduce_features(_emb(spark, d)),
-    "workflow_simple": _graph(lambda g, t: _long(workflow.cblast_workflow_simple(g, t, 5, iterations=2))),
-    "workflow": _graph(lambda g, t: _long(workflow.cblast_workflow(g, t, 5, iterations=2))),
+    "workflow_simple": _graph(lambda g, t: _long(workflow.refining_workflow_simple(g, t, 5, iterations=2))),
+    "workflow": _graph(lambda g, t: _long(workflow.refining_workflow(g, t, 5, iterations=2))),
 }

@@ -191,6 +191,6 @@ def test_workflows(spark):
     edges = [(a, b, int(rng.integers(3, 20)), {"F": {"post": 4}}) for a in range(1, 31) for b in range(1, 31) if a != b and (a + b) % 3 == 0]
     g = graph(spark, nodes, edges)
     for mode in ("conn", "pro"):
-        out = workflow.cblast_workflow_simple(g, list(range(1, 13)), 4, premode=mode, iterations=2, cluster_neighbors=mode == "conn")
+        out = workflow.refining_workflow_simple(g, list(range(1, 13)), 4, premode=mode, iterations=2, cluster_neighbors=mode == "conn")
         assert out.values.select("bodyid").distinct().count() == 12
-    assert workflow.cblast_workflow(g, list(range(1, 13)), 100, iterations=2, customtypes={1: "a"}).values.count() > 0
+    assert workflow.refining_workflow(g, list(range(1, 13)), 100, iterations=2, customtypes={1: "a"}).values.count() > 0
