@@ -20,7 +20,8 @@ MOST_BROADCAST = 500_000
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_place", F.monotonically_increasing_id())
+    """What operators read, by the row's place: _place, doc_id, text. No column of docs can clash with theirs."""
+    return docs.select(F.monotonically_increasing_id().alias("_place"), "doc_id", "text")
 
 
 def _without(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
@@ -28,7 +29,8 @@ def _without(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
     gone = written(places.select("_place"), name)
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    return _placed(docs).join(gone, "_place", "left_anti").select(*docs.columns)
+    rows = docs.select(F.monotonically_increasing_id().alias("_place"), F.struct(*docs.columns).alias("_row"))
+    return rows.join(gone, "_place", "left_anti").select("_row.*")
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 _BLOCK = 64
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once: what a lambda refers to from outside would be worked out anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _running(values: Column, op, zero) -> Column:
     fold = lambda xs: F.aggregate(xs, F.lit(zero).cast("long"), op)
-    blocks = F.ceil(F.size(values) / _BLOCK).cast("int")
-    each = F.transform(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0))), lambda b: fold(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
-    before = F.aggregate(each, F.array(F.lit(zero).cast("long")), lambda acc, x: F.array_append(acc, op(F.element_at(acc, -1), x)))
-    return F.transform(values, lambda _, i: op(F.element_at(before, F.floor(i / _BLOCK).cast("int") + 1), fold(F.slice(values, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK + 1))))
+    block = lambda i: F.floor(i / _BLOCK).cast("int")
+    each = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / _BLOCK).cast("int") - 1, F.lit(0))), lambda b: fold(F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))))
+    before = lambda e: F.aggregate(e, F.array(F.lit(zero).cast("long")), lambda acc, x: F.array_append(acc, op(F.element_at(acc, -1), x)))
+    return let(values, lambda v: let(before(each(v)), lambda b: F.transform(v, lambda _, i: op(F.element_at(b, block(i) + 1), fold(F.slice(v, block(i) * _BLOCK + 1, i % _BLOCK + 1))))))
 
 
 def running_totals(values: Column) -> Column:

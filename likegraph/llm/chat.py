@@ -26,8 +26,9 @@ def _rendered(x: Column) -> Column:
 
 def _mask(part: Column, learned: str) -> Column:
     """[from, to) in code points of the rendered part: what the learned role says, with its end mark."""
-    ends = running_totals(F.transform(part, lambda x: F.length(_rendered(x)).cast("long")))
-    spans = F.transform(part, lambda x, i: F.struct(x["role"].alias("role"), (F.element_at(ends, i + 1) - F.length(F.concat(x["text"], F.lit(CLOSE)))).cast("long").alias("from"), (F.element_at(ends, i + 1) - len(CLOSE) + len(CLOSE.rstrip())).cast("long").alias("to")))
+    totals = running_totals(F.transform(part, lambda x: F.length(_rendered(x)).cast("long")))
+    span = lambda x, end: F.struct(x["role"].alias("role"), (end - F.length(F.concat(x["text"], F.lit(CLOSE)))).cast("long").alias("from"), (end - len(CLOSE) + len(CLOSE.rstrip())).cast("long").alias("to"))
+    spans = F.zip_with(part, totals, span)
     return F.transform(F.filter(spans, lambda s: s["role"] == learned), lambda s: F.struct(s["from"], s["to"]))
 
 

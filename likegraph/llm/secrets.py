@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from likegraph.llm.arrays import running_greatest, running_totals
+from likegraph.llm.arrays import let, running_greatest, running_totals
 from likegraph.llm.shared import written
 
 SCOPE = 200
@@ -35,14 +35,16 @@ _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 def _spans(text: Column, pattern: str, kind: int, value_group: int = 0, least: int = 1, also: tuple[str, ...] = ()) -> Column:
     """Matches of pattern as (start, kind, end): the text is split at them, and what lies between gives their places."""
     p = F.lit(pattern)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    value = F.regexp_extract_all(text, p, F.lit(value_group)) if value_group else found
-    steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, m: (F.length(gap) + F.length(m)).cast("long"))
-    ends = running_totals(steps)
-    places = F.zip_with(F.arrays_zip(found.alias("m"), value.alias("v")), ends, lambda x, end: F.struct((end - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("v")))
-    good = F.filter(places, lambda x: reduce(lambda a, r: a & x["v"].rlike(r), also, F.length(x["v"]) >= least))
-    spans = F.transform(good, lambda x: F.struct(x["start"], x["kind"], x["end"]))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+    every = lambda group: F.regexp_extract_all(text, p, F.lit(group))
+    good = lambda x: reduce(lambda a, r: a & x["v"].rlike(r), also, F.length(x["v"]) >= least)
+
+    def placed(found: Column) -> Column:
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, m: (F.length(gap) + F.length(m)).cast("long"))
+        both = F.arrays_zip(found.alias("m"), (every(value_group) if value_group else found).alias("v"), running_totals(steps).alias("end"))
+        places = F.transform(both, lambda x: F.struct((x["end"] - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["v"].alias("v")))
+        return F.transform(F.filter(places, good), lambda x: F.struct(x["start"], x["kind"], x["end"]))
+
+    return F.when(text.rlike(pattern), let(every(0), placed)).otherwise(F.array().cast(_SPAN))
 
 
 def marked(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -103,13 +105,13 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """docs with each reported span (overlapping ones as one) replaced by mark; n_chars, if there, is counted anew. Null text stays null."""
-    found = find_secrets(docs, text)
-    spans = F.col("_spans")
+    """docs with each reported span (overlapping ones as one) replaced by mark; n_chars, if there, is counted anew. Null text stays null, and columns may have any names."""
+    found = find_secrets(docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text")), "_text")
+    spans, old = F.col("_spans"), F.col("_text")
     reach = F.concat(F.array(F.lit(0).cast("long")), running_greatest(F.transform(spans, lambda s: s["end"])))
-    cut = F.transform(spans, lambda s, i: F.when(s["start"] >= F.element_at(reach, i + 1), F.concat(F.substring(F.col(text), F.element_at(reach, i + 1) + 1, s["start"] - F.element_at(reach, i + 1)), F.lit(mark))).otherwise(F.lit("")))
-    rest = F.substring(F.col(text), F.element_at(reach, -1) + 1, F.length(F.col(text)))
-    out = found.withColumn(text, F.when(F.size(spans) > 0, F.concat(F.array_join(cut, ""), rest)).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    cut = lambda r: F.transform(spans, lambda s, i: F.when(s["start"] >= F.element_at(r, i + 1), F.concat(F.substring(old, F.element_at(r, i + 1) + 1, s["start"] - F.element_at(r, i + 1)), F.lit(mark))).otherwise(F.lit("")))
+    rest = lambda r: F.substring(old, F.element_at(r, -1) + 1, F.length(old))
+    some = F.size(spans) > 0
+    out = found.withColumn("_new", F.when(some, let(reach, lambda r: F.concat(F.array_join(cut(r), ""), rest(r)))).otherwise(old))
+    new = {text: F.col("_new"), "n_chars": F.when(some, F.length("_new").cast("long")).otherwise(F.col("_doc")["n_chars"]) if "n_chars" in docs.columns else None}
+    return out.select(*[(new[c] if c in new else F.col("_doc")[c]).alias(c) for c in docs.columns])

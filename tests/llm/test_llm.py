@@ -469,7 +469,7 @@ def test_toxicity(spark):
 def test_pipeline(spark, docs, tmp_path):
     bench = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     extra = spark.createDataFrame([(900, "abc " + bench + " abd", "aa", "s", 1), (901, "abc abd token=abcdefghijklmnop abe", "aa", "s", 34), (902, "123", "aa", "s", 3)], SCHEMA).withColumn("score", F.lit(1))
-    docs.unionByName(extra).withColumn("_doc", F.lit("clash")).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.unionByName(extra).withColumns({c: F.lit("clash") for c in ("_doc", "_place", "_strong", "_spans", "_rid", "coverage", "kept", "lang_pred")}).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
     seen = {}
