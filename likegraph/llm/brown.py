@@ -3,7 +3,7 @@ of class transitions and of word emissions.
 
 Counts cover every training token. The many rare words stay in tables: a dictionary of bounded size holds
 the frequent ones, which make up most of a text, and only what it lacks is joined with the counts, where by
-construction no word is hot.
+construction no word is hot. Classes are two bytes a word, for all words above a count.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likegraph.llm.language_id import held_out
-from likegraph.llm.shared import text_slices, written
+from likegraph.llm.shared import drop_written, text_slices, written
 
 #: Stands for the end of a text, which no word can equal.
 END = b""
@@ -64,8 +64,32 @@ def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     return dict(sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
 
 
+def numbered(vocabulary: DataFrame, what: str = "vocabulary") -> DataFrame:
+    """vocabulary as a table with at, a number of partition and place that is stored, most frequent words first in each partition."""
+    order = vocabulary.sortWithinPartitions(F.col("word") != F.lit(END), F.desc("n"))
+    return written(order.withColumn("at", F.monotonically_increasing_id()), what)
+
+
+def placed_tail(counts: DataFrame, dictionary: dict[bytes, int], least: int) -> tuple[DataFrame, int]:
+    """counts (word, n) of numbered words with place: that of each word of at least ``least`` that dictionary lacks, from its size on without gaps, and null for all others. Also how many have one."""
+    cut = min((n for w, n in dictionary.items() if w != END), default=None)
+    held = (F.col("word") == F.lit(END)) | (F.lit(False) if cut is None else F.col("n") >= cut)
+    takes = ~held & (F.col("n") >= least)
+    part = F.shiftright("at", 33)
+    sizes = sorted((r["p"], r["d"], r["k"]) for r in counts.groupBy(part.alias("p")).agg(F.count_if(held).alias("d"), F.count_if(takes).alias("k")).collect())
+    starts, total = [], 0
+    for p, d, k in sizes:
+        starts.append((p, len(dictionary) + total - d))
+        total += k
+    if not total:
+        return counts.select("word", "n", F.lit(None).cast("int").alias("place")), 0
+    first = F.broadcast(counts.sparkSession.createDataFrame(starts, "part long, start long"))
+    place = F.when(takes, F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int")
+    return counts.withColumn("part", part).join(first, "part").select("word", "n", place.alias("place")), total
+
+
 def encoded(docs: DataFrame, dictionary: dict[bytes, int], keep: list[str | Column], text: str = "text") -> DataFrame:
-    """docs as places of their words in dictionary (-1 for others, which tail has with their counts): rid, keep, ids binary, tail."""
+    """docs as places of their words in dictionary (-1 for others, which tail has with where they stand): rid, keep, ids binary, tail."""
     shared = docs.sparkSession.sparkContext.broadcast(list(dictionary))
     kept = docs.select(*keep)
     names = [*kept.columns, "rid", "ids", "tail"]
@@ -75,23 +99,44 @@ def encoded(docs: DataFrame, dictionary: dict[bytes, int], keep: list[str | Colu
         if not store:
             store["at"] = {w: i for i, w in enumerate(shared.value)}
         at, rid = store["at"], TaskContext.get().partitionId() << 40
-        tails = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+        tails = pa.list_(pa.struct([("word", pa.binary()), ("at", pa.binary())]))
         for batch in batches:
             for a, b, texts in text_slices(batch.column(batch.num_columns - 1), 1_000_000):
                 ids, tail = [], []
                 for t in texts:
                     own = words(t)
-                    got = [at.get(w, -1) for w in own]
-                    ids.append(np.array(got, dtype="<i4").tobytes())
-                    rest = Counter(w for w, k in zip(own, got, strict=True) if k < 0) if -1 in got else {}
-                    tail.append([{"word": w, "n": n} for w, n in rest.items()])
+                    got = np.array([at.get(w, -1) for w in own], dtype="<i4")
+                    ids.append(got.tobytes())
+                    rest: dict[bytes, list[int]] = {}
+                    for i in np.flatnonzero(got < 0).tolist():
+                        rest.setdefault(own[i], []).append(i)
+                    tail.append([{"word": w, "at": np.array(i, dtype="<i4").tobytes()} for w, i in rest.items()])
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(range(rid, rid + b - a), pa.int64()), pa.array(ids, pa.binary()), pa.array(tail, tails)], names)
                 rid += b - a
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "rid long, ids binary, tail array<struct<word: binary, n: int>>"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "rid long, ids binary, tail array<struct<word: binary, at: binary>>"])
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
+def completed(rows: DataFrame) -> DataFrame:
+    """rows (ids, placed: array of place and at) with the places of placed in ids, and without placed."""
+    names = [c for c in rows.columns if c not in ("ids", "placed")]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for ids, placed in zip(batch.column("ids").to_pylist(), batch.column("placed").to_pylist(), strict=True):
+                if placed:
+                    own = np.frombuffer(ids, dtype="<i4").copy()
+                    at = [x["at"] for x in placed]
+                    own[np.frombuffer(b"".join(at), dtype="<i4")] = np.repeat([x["place"] for x in placed], [len(x) // 4 for x in at])
+                    ids = own.tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.binary())], [*names, "ids"])
+
+    return rows.select(*names, "placed", "ids").mapInArrow(run, rows.select(*names, "ids").schema)
+
+
 def _stream(ids: pa.Array, end: int) -> np.ndarray:
     """All documents' places in a row, an end before the first and after each."""
     sizes = np.fromiter((len(x) // 4 for x in ids.to_pylist()), dtype=np.int64, count=len(ids))
@@ -160,79 +205,179 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     return of[:n]
 
 
-def train(rows: DataFrame, dictionary: dict[bytes, int], sums: dict, classes: int = 48, exchanged: int = 1000, assigned: int = 20_000, alpha: float = 5.0) -> dict:
-    """The model, from encoded training rows and the counts' sums.
+def classes_for(many: int) -> int:
+    """How many classes many words are put into: 48 for 20,000, growing with the fourth root."""
+    return max(48, round(4 * many**0.25))
+
 
-    Exchange clusters the ``exchanged`` most frequent words; of the others, the ``assigned`` most frequent
-    join the class whose transitions fit their neighbours best. All further words are the class of rare
-    ones, whose emissions are discounted for words not seen (as one kind of token, as in the base score).
+def reassigned(rows: DataFrame, of: np.ndarray, table: np.ndarray, end: int, many: int) -> np.ndarray:
+    """of, with each of the first many words in the class whose transitions (table) fit the classes of its neighbours best.
+
+    The counts of words by neighbour classes are summed in blocks of words, dealt by remainder so that
+    each holds its part of the frequent ones; two bytes a word come back.
+    """
+    side = len(table)
+    blocks = min(many, max(1024, -(-many // 4096)))
+    width = -(-many // blocks) * 2 * side
+    shared = rows.sparkSession.sparkContext.broadcast((of, np.log(table / table.sum(axis=0))[:, :-1], np.log(table / table.sum(axis=1, keepdims=True)).T[:, :-1]))
+
+    def gather(batches):
+        cls, held, size = shared.value[0], [], 0
+
+        def out():
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(codes, np.arange(blocks + 1) * width)
+            own = np.flatnonzero(np.diff(cuts))
+            codes, n = (codes % width).astype("<i4"), n.astype("<i4")
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in own], pa.binary()) for x in (codes, n))], ["block", "code", "n"])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                s = _stream(batch.column(0).slice(i, 512), end)
+                c = cls[s].astype(np.int64)
+                at = (s % blocks) * width + s // blocks * 2 * side
+                moves = (s >= 0) & (s < many)
+                held += [(at[1:] + c[:-1])[moves[1:]], (at[:-1] + side + c[1:])[moves[:-1]]]
+                size += 2 * len(s)
+                if size > 4_000_000:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    def choose(batches):
+        _, into, outof = shared.value
+        block, sums = None, np.zeros(width)
+
+        def out():
+            near = sums.reshape(-1, 2, side)
+            best = (near[:, 0] @ into + near[:, 1] @ outof).argmax(axis=1).astype("<i2")
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([best.tobytes()], pa.binary())], ["block", "of"])
+
+        for batch in batches:
+            for i, b in enumerate(batch.column(0).to_pylist()):
+                if b != block:
+                    if block is not None:
+                        yield out()
+                    block, sums = b, np.zeros(width)
+                sums[np.frombuffer(batch.column(1)[i].as_buffer(), "<i4")] += np.frombuffer(batch.column(2)[i].as_buffer(), "<i4")
+        if block is not None:
+            yield out()
+
+    parts = rows.select("ids").mapInArrow(gather, "block int, code binary, n binary").repartition("block").sortWithinPartitions("block")
+    got, new = parts.mapInArrow(choose, "block int, of binary").toArrow(), of.copy()
+    for b, best in zip(got["block"].to_pylist(), got["of"].to_pylist(), strict=True):
+        places = np.arange(b, many, blocks)
+        new[places] = np.frombuffer(best, "<i2")[: len(places)]
+    return new
+
+
+def train(rows: DataFrame, dictionary: dict[bytes, int], sums: dict, classes: int | None = None, exchanged: int | None = None, assigned: int | None = None, alpha: float = 5.0, tail: int = 0, least: int = 3, sweeps: int = 3) -> dict:
+    """The model, from encoded training rows and the counts' sums. Places below len(dictionary) are its words, tail more are other words.
+
+    Every word of at least ``least`` (or the ``assigned`` most frequent, if given) has a class. Exchange of
+    the ``exchanged`` most frequent words gives the first classes; then sweeps over all words that have a
+    class, themselves included, move each to where its neighbours fit best, as long as that raises the
+    likelihood. All further words are the class of rare ones, whose emissions are discounted for words
+    not seen (as one kind of token, as in the base score).
     """
     n = np.fromiter(dictionary.values(), dtype=float, count=len(dictionary))
     end = list(dictionary).index(END) if END in dictionary else -1
-    top, many = min(exchanged, len(n)), min(assigned, len(n))
     if not len(n):
-        return {"of": np.zeros(0, int), "move": np.zeros((1, 1)), "say": np.zeros(0), "end": -1, "rare": 0, "rare_n": 0.0, "discount": 0.5, "rare_v": 0}
+        return {"of": np.zeros(0, int), "move": np.zeros((1, 1)), "say": np.zeros(0), "in_class": np.ones(1), "end": -1, "rare": 0, "rare_n": 0.0, "discount": 0.5, "rare_v": 0}
+    if assigned is None:
+        many = len(n) + tail if tail else int((n >= least).sum())
+    else:
+        many = min(assigned, len(n))
+    classes = classes or classes_for(many)
+    side = classes + 1
+    top = min(exchanged or max(1000, 4 * classes), many, len(n))
 
     def pairs(ids):
         s = _stream(ids, end)
         s = np.where((s < 0) | (s >= top), top, s)
         return s[:-1] * (top + 1) + s[1:]
 
-    bigrams = _counted(rows, pairs, (top + 1) ** 2).reshape(top + 1, top + 1)
-    of_top = exchange(bigrams, classes)
-    known = np.append(of_top, classes)
-    one = np.zeros((top + 1, classes + 1))
-    one[np.arange(top + 1), known] = 1
-    table = one.T @ bigrams @ one + 0.1
-    side = classes + 1
+    def transitions(of):
+        def moves(ids):
+            c = of[_stream(ids, end)].astype(np.int64)
+            return c[:-1] * side + c[1:]
 
-    def contexts(ids):
-        s = _stream(ids, end)
-        cls = known[np.where((s < 0) | (s >= top), top, s)]
-        mid = np.flatnonzero((s >= top) & (s < many))
-        mid = mid[(mid > 0) & (mid < len(s) - 1)]
-        w = (s[mid] - top) * 2 * side
-        return np.concatenate([w + cls[mid - 1], w + side + cls[mid + 1]])
-
-    of = np.full(len(n), classes)
-    of[:top] = of_top
-    if many > top:
-        near = _counted(rows, contexts, (many - top) * 2 * side).reshape(many - top, 2, side)
-        into, outof = np.log(table / table.sum(axis=0)), np.log(table / table.sum(axis=1, keepdims=True))
-        of[top:many] = (near[:, 0] @ into + near[:, 1] @ outof.T)[:, :classes].argmax(axis=1)
-    every = np.append(of, classes)  # place -1: rare
-
-    def moves(ids):
-        c = every[_stream(ids, end)]
-        return c[:-1] * side + c[1:]
-
-    seen = _counted(rows, moves, side * side).reshape(side, side).astype(float)
+        return _counted(rows, moves, side * side).reshape(side, side).astype(float)
+
+    bigrams = _counted(rows, pairs, (top + 1) ** 2).reshape(top + 1, top + 1)
+    of = np.full(len(n) + tail + 1, classes, dtype=np.int16)  # the last, place -1: rare
+    of[:top] = exchange(bigrams, classes)
+    one = np.zeros((top + 1, side))
+    one[np.arange(top + 1), np.append(of[:top], classes)] = 1
+    seen, reached = one.T @ bigrams @ one, -np.inf
+    for _ in range(sweeps if many else 0):
+        moved = reassigned(rows, of, seen + 0.1, end, many)
+        found = transitions(moved)
+        value = _phi(found).sum() - _phi(found.sum(axis=1)).sum() - _phi(found.sum(axis=0)).sum()
+        if value <= reached:
+            break
+        of, seen, reached = moved, found, value
+    if not np.isfinite(reached):
+        seen = transitions(of)
     share = (seen.sum(axis=0) + 0.5) / (seen.sum() + 0.5 * side)
     move = np.log10((seen + alpha * share) / (seen.sum(axis=1, keepdims=True) + alpha))
-    common = of < classes
-    in_class = np.bincount(of[common], weights=n[common], minlength=classes)
-    rare_n, rare_v = sums["n"] - n[common].sum(), sums["v"] - int(common.sum())
-    discount = sums["n1"] / (sums["n1"] + 2 * sums["n2"]) if sums["n1"] else 0.5
-    discount = min(max(discount, 0.05), 0.95)
-    say = np.where(common, np.log10(n / np.append(in_class, 1)[of]), np.log10(np.maximum(n - discount, 1e-9) / max(rare_n, 1)))
-    return {"of": every, "move": move, "say": say, "end": end, "rare": classes, "rare_n": float(rare_n), "discount": discount, "rare_v": rare_v}
+    in_class = np.maximum(seen.sum(axis=0), 1)
+    rare_n, rare_v = sums["n"] - seen.sum(axis=0)[:classes].sum(), sums["v"] - int((of < classes).sum())
+    discount = discounted(sums)
+    own = of[: len(n)]
+    say = np.where(own < classes, np.log10(n / in_class[own]), np.log10(np.maximum(n - discount, 1e-9) / max(rare_n, 1)))
+    return {"of": of, "move": move, "say": say, "in_class": in_class, "end": end, "rare": classes, "rare_n": float(rare_n), "discount": discount, "rare_v": rare_v}
+
+
+def discounted(sums: dict) -> float:
+    """What is taken from the count of each rare word."""
+    return min(max(sums["n1"] / (sums["n1"] + 2 * sums["n2"]), 0.05), 0.95) if sums["n1"] else 0.5
 
 
-def score(docs: DataFrame, training: Column, keep: list[str | Column], text: str = "text", dictionary_size: int = 250_000, **options) -> DataFrame:
+def score(docs: DataFrame, training: Column, keep: list[str | Column], text: str = "text", dictionary_size: int = 250_000, least: int = 3, assigned: int | None = None, **options) -> DataFrame:
     """Every document under a model of those that training (a condition on kept columns' sources) holds for.
 
     Returns keep, n_tokens, n_known, train_tokens, base_score, score. Null text counts as empty (one end).
-    Without training documents nothing is known, and score is that of rare words alone.
+    Without training documents nothing is known, and score is that of rare words alone. Words that the
+    dictionary lacks get their places in the texts by a join, so its size doesn't bound the model.
     """
-    counts = written(vocabulary(docs.filter(training), text), "vocabulary")
+    counts = numbered(vocabulary(docs.filter(training), text))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first().asDict()
-    dictionary = frequent(counts, dictionary_size)
-    rows = written(encoded(docs, dictionary, [*keep, training.alias("__training")], text), "encoded")
-    model = train(rows.filter("__training"), dictionary, sums, **options)
-    below = sums["n"] + 0.5 * (sums["v"] + 1)
+    dictionary = frequent(counts.select("word", "n"), dictionary_size)
+    placed, tail_size = placed_tail(counts, dictionary, least if assigned is None else 1 << 62)
+    below, discount = sums["n"] + 0.5 * (sums["v"] + 1), discounted(sums)
+    short = written(encoded(docs, dictionary, [*keep, training.alias("__training")], text), "encoded")
+    c, k = F.col("c"), F.col("k")
+    tail = short.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.word").alias("word"), F.col("t.at").alias("at"), (F.length("t.at") / 4).cast("int").alias("k"))
+    if END not in dictionary:  # no training document: ends are joined like words
+        tail = tail.unionByName(short.select("rid", F.lit(END).alias("word"), F.lit(None).cast("binary").alias("at"), F.lit(1).alias("k")))
+    rare = c.isNotNull() & F.col("place").isNull()
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    rest = (
+        tail.join(placed.withColumnRenamed("n", "c"), "word", "left")
+        .groupBy("rid")
+        .agg(
+            F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "at"))).alias("placed"),
+            total(F.when(c.isNotNull(), k)).alias("__known"),
+            F.sum(k * F.log10((F.coalesce(c, F.lit(0)) + 0.5) / below)).alias("__base"),
+            total(F.when(F.col("place").isNotNull(), k * F.log10(c)).when(rare, k * F.log10(F.greatest(c - discount, F.lit(1e-9))))).alias("__said"),
+            total(F.when(rare, k)).alias("__rare"),
+            total(F.when(c.isNull(), k)).alias("__unseen"),
+        )
+    )
+    sides = ("__known", "__base", "__said", "__rare", "__unseen")
+    whole = short.drop("tail").join(rest, "rid", "left").drop("rid")
+    whole = whole.withColumns({x: F.coalesce(x, F.lit(0)).cast("double") for x in sides})
+    rows = written(completed(whole), "coded")
+    drop_written(short)
+    model = train(rows.filter("__training"), dictionary, sums, assigned=assigned, tail=tail_size, least=least, **options)
     base = np.log10((np.fromiter(dictionary.values(), dtype=float, count=len(dictionary)) + 0.5) / below)
+    rare_n = max(model["rare_n"], 1.0)
+    unseen = discount * max(model["rare_v"], 1) / rare_n if model["rare_n"] else 1.0
     shared = docs.sparkSession.sparkContext.broadcast((model, base))
-    names = [f.name for f in rows.schema if f.name not in ("ids", "tail", "__training")]
+    names = [f.name for f in rows.schema if f.name not in ("ids", "__training", *sides)]
     kinds = ", ".join(f"`{x}` {rows.schema[x].dataType.simpleString()}" for x in names)
 
     def run(batches):
@@ -241,35 +386,20 @@ def score(docs: DataFrame, training: Column, keep: list[str | Column], text: str
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 ids = part.column("ids").to_pylist()
+                known, of_base, of_model, n_rare, n_unseen = (part.column(x).to_numpy() for x in sides)
                 sizes = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
+                of_model = of_model - n_rare * np.log10(rare_n) + n_unseen * np.log10(unseen)
                 if m["end"] >= 0:
-                    s = _stream(part.column("ids"), m["end"])
-                    known = s >= 0
+                    s, size = _stream(part.column("ids"), m["end"]), len(log_base)
                     owner = np.repeat(np.arange(len(ids)), sizes + 1)
-                    cls = m["of"][s]
-                    of_model = m["move"][cls[:-1], cls[1:]] + np.where(known, np.append(m["say"], 0.0)[s], 0.0)[1:]
-                    of_base = np.where(known, np.append(log_base, 0.0)[s], 0.0)[1:]
-                    sums_of = [np.bincount(owner, weights=x, minlength=len(ids)) for x in (known[1:], of_base, of_model)]
-                else:
-                    sums_of = [np.zeros(len(ids))] * 3
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(sizes + 1), pa.array(sums_of[0].astype(np.int64)), pa.array(sums_of[1]), pa.array(sums_of[2])], [*names, "n_tokens", "_known", "_base", "_score"])
-
-    first = rows.select(*names, "ids").mapInArrow(run, f"{kinds}, n_tokens long, _known long, _base double, _score double")
-    rare_n, discount = max(model["rare_n"], 1.0), model["discount"]
-    unseen = discount * max(model["rare_v"], 1) / rare_n if model["rare_n"] else 1.0
-    c, k = F.coalesce("c", F.lit(0)), F.col("t.n")
-    tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.word").alias("word"), "t")
-    if END not in dictionary:  # no training document: ends are joined like words
-        tail = tail.unionByName(rows.select("rid", F.lit(END).alias("word"), F.struct(F.lit(END).alias("word"), F.lit(1).alias("n")).alias("t")))
-    rest = (
-        tail.join(counts.select("word", F.col("n").alias("c")), "word", "left")
-        .select("rid", F.when(c > 0, k).otherwise(0).alias("known"), (k * F.log10((c + 0.5) / below)).alias("base"), (k * F.when(c > 0, F.log10(F.greatest(c - discount, F.lit(1e-9)) / rare_n)).otherwise(F.log10(F.lit(unseen)))).alias("score"))
-        .groupBy("rid")
-        .agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
-    )
-    added = lambda x: F.col(f"_{x}") + F.coalesce(F.col(f"__r.{x}"), F.lit(0))
-    joined = first.join(rest.alias("__r"), "rid", "left")
-    return joined.select(*[x for x in names if x != "rid"], "n_tokens", added("known").cast("long").alias("n_known"), F.lit(int(sums["n"])).cast("long").alias("train_tokens"), added("base").alias("base_score"), added("score").alias("score"))
+                    cls, held = m["of"][s], (s >= 0) & (s < size)
+                    own = np.where(held, s, size)
+                    said = np.where(s < size, np.append(m["say"], 0.0)[own], -np.log10(m["in_class"])[cls])
+                    sums_of = [np.bincount(owner, weights=x, minlength=len(ids)) for x in (held[1:], np.append(log_base, 0.0)[own][1:], m["move"][cls[:-1], cls[1:]] + said[1:])]
+                    known, of_base, of_model = known + sums_of[0], of_base + sums_of[1], of_model + sums_of[2]
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(sizes + 1), pa.array(known.round().astype(np.int64)), pa.array(np.full(len(ids), int(sums["n"]))), pa.array(of_base), pa.array(of_model)], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return rows.select(*names, *sides, "ids").mapInArrow(run, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(docs: DataFrame) -> DataFrame:

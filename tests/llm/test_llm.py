@@ -389,6 +389,19 @@ def test_model_is_a_distribution(docs):
     assert np.allclose(said[said > 0], 1)
 
 
+def test_words_outside_the_dictionary_have_classes(spark, tmp_path):
+    """The size of the dictionary, which holds the frequent words only, changes no score, and classes grow with the vocabulary."""
+    r = random.Random(5)
+    one, two = ([f"{c}{i}" for i in range(300)] for c in "ab")
+    texts = [" ".join(w for _ in range(60) for w in (one[int(r.random() ** 3 * 300)], two[int(r.random() ** 3 * 300)])) for _ in range(120)]
+    spark.createDataFrame(list(enumerate([*texts, "never met", None])), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    small, large = (brown.score(d, F.col("doc_id") < 100, keep=["doc_id"], dictionary_size=n, classes=4, exchanged=10).toPandas().set_index("doc_id").sort_index() for n in (25, 10**6))
+    assert np.allclose(small.score, large.score) and np.allclose(small.base_score, large.base_score) and (small.n_known == large.n_known).all()
+    assert small.score[100:120].sum() > small.base_score[100:120].sum() + 20 * 120 * 0.25
+    assert brown.classes_for(20_000) == 48 and brown.classes_for(10**7) > 200
+
+
 def test_exchange_raises_likelihood():
     r = np.random.default_rng(4)
     table = r.poisson(1, (13, 13)) + 20 * (np.arange(13)[:, None] % 3 == (np.arange(13)[None, :] + 1) % 3)
