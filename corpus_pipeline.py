@@ -1,8 +1,7 @@
 """A corpus pipeline: each stage takes the documents that the one before kept, and the last packs them.
 
-Stages may get columns of any names, repeated ids and null values; rows are told apart by their place in
-the table that a stage is given, which is a Parquet table and so has the same rows in the same places each
-time it is read.
+Stages may get columns of any names, repeated ids and null values; rows are told apart by a number that a
+stage writes beside them once, as the place of a row in a scan changes with the plan that reads it.
 """
 
 from __future__ import annotations
@@ -19,17 +18,25 @@ from likegraph.workers import let_workers_import
 MOST_BROADCAST = 500_000
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """What operators read, by the row's place: _place, doc_id, text. No column of docs can clash with theirs."""
-    return docs.select(F.monotonically_increasing_id().alias("_place"), "doc_id", "text")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs as a table with a number for each row, and that column's name, which docs doesn't have."""
+    at, taken = "_place", {c.lower() for c in docs.columns}
+    while at in taken:
+        at = "_" + at
+    return written(docs.withColumn(at, F.monotonically_increasing_id()), "numbered"), at
 
 
-def _without(docs: DataFrame, places: DataFrame, name: str) -> DataFrame:
-    """docs less the rows at places (_place): texts don't move unless very many rows go."""
+def _placed(docs: DataFrame, at: str) -> DataFrame:
+    """What operators read, by the row's number: _place, doc_id, text. No column of docs can clash with theirs."""
+    return docs.select(F.col(at).alias("_place"), "doc_id", "text")
+
+
+def _without(docs: DataFrame, at: str, places: DataFrame, name: str) -> DataFrame:
+    """docs less their number at and the rows whose number is in places (_place): texts don't move unless very many rows go."""
     gone = written(places.select("_place"), name)
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    rows = docs.select(F.monotonically_increasing_id().alias("_place"), F.struct(*docs.columns).alias("_row"))
+    rows = docs.select(F.col(at).alias("_place"), F.struct(*[c for c in docs.columns if c != at]).alias("_row"))
     return rows.join(gone, "_place", "left_anti").select("_row.*")
 
 
@@ -43,8 +50,9 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     model = language_id.learn(docs)
     if not model:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = language_id.predict(_placed(docs), model, keep=["_place"])
-    return _without(docs, found.filter(F.col("lang_pred") == language_id.UNKNOWN), "rejected")
+    rows, at = _numbered(docs)
+    found = language_id.predict(_placed(rows, at), model, keep=["_place"])
+    return _without(rows, at, found.filter(F.col("lang_pred") == language_id.UNKNOWN), "rejected")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,16 +61,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents with null text or without words are in no group and stay. Null ids come after all others.
     """
     let_workers_import(spark)
-    keys = _placed(docs).select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_place").alias("key"), "text")
+    rows, at = _numbered(docs)
+    keys = _placed(rows, at).select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_place").alias("key"), "text")
     groups = minhash.near_duplicates(keys, k=5, num=80, den=100, doc_id="key")
-    return _without(docs, groups.filter(~F.col("kept")).select(F.col("doc_id._place").alias("_place")), "copies")
+    return _without(rows, at, groups.filter(~F.col("kept")).select(F.col("doc_id._place").alias("_place")), "copies")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that hold at least 0.8 of a benchmark item's words in common runs of five words or more, in any order."""
     let_workers_import(spark)
-    found = tiling.contamination(_placed(docs), table(spark, sf_dir, "benchmark"), keep=["_place"])
-    return _without(docs, found.filter("contaminated"), "contaminated")
+    rows, at = _numbered(docs)
+    found = tiling.contamination(_placed(rows, at), table(spark, sf_dir, "benchmark"), keep=["_place"])
+    return _without(rows, at, found.filter("contaminated"), "contaminated")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -504,6 +504,20 @@ def test_pipeline(spark, docs, tmp_path):
     assert set(packed.doc_id.dropna()) == set(seen["secret_scans"].doc_id.dropna())
 
 
+def test_stages_outlast_other_splits(spark, tmp_path):
+    """The rows that a stage rejects are the same when a later plan cuts the files otherwise."""
+    rows = [(i, None if i % 7 == 0 else f"some words {i}", "aa", "s", 1) for i in range(200)]
+    spark.createDataFrame(rows, SCHEMA).repartition(16).write.parquet(str(tmp_path / "d"))
+    now = spark.read.parquet(str(tmp_path / "d"))
+    out = corpus_pipeline.identify_languages(spark, now, str(tmp_path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        got = sorted(r["doc_id"] for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [i for i in range(200) if i % 7]
+
+
 def test_queries_have_their_columns(spark):
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
