@@ -42,6 +42,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def kept_bytes(sig: np.ndarray) -> np.ndarray:
+    """A byte of each hash of a signature, uniform whatever the size of the set: least values of large sets have like top bytes."""
+    return (mix(sig.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+
+
 def fewest_matches(threshold: float, miss: float = 1e-6, values: int = 256) -> list[tuple[int, int]]:
     """(hashes compared, matches) after each batch: with fewer matches, the posterior probability that the similarity reaches threshold is under miss.
 
@@ -91,7 +96,7 @@ def _signed(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
                     for r in range(ROWS):
                         rows = mix(rows * np.uint64(0x9E3779B97F4A7C15) + sig[r::ROWS][:BANDS])
                     bands.append(rows.view(np.int64))
-                    sigs.append((sig >> np.uint32(24)).astype(np.uint8).tobytes())
+                    sigs.append(kept_bytes(sig).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n", "h1", "h2", "bands", "sig"])
 
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, h1 long, h2 long, bands array<long>, sig binary")

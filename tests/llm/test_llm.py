@@ -339,6 +339,22 @@ def test_bayes_and_bitmaps():
     assert sizes.tolist() == [2, 2, 1, 0] and (sets[:2] == sets[2:4]).all()
 
 
+def test_unrelated_sets_are_pruned(spark):
+    """Of pairs of 1,000 shingles, all near copies stay and all unrelated ones go, as a document's kept signatures tell."""
+    r = random.Random(12)
+    texts = []
+    for i in range(12):
+        w = [f"w{i}x{j}" for j in range(1000)]
+        texts += [" ".join(w), " ".join([*w[:950], *(f"v{j}" for j in range(50))])]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sigs = np.array([np.frombuffer(x["sig"], np.uint8) for x in minhash._signed(d, 1, "doc_id", "text").orderBy("doc_id").collect()])
+    fewest = minhash.fewest_matches(0.8)
+    assert len(minhash.survive(sigs[0::2], sigs[1::2], fewest)) == 12
+    others = [(i, j) for i in range(24) for j in range(24) if i // 2 != j // 2]
+    a, b = np.array(r.sample(others, 200)).T
+    assert len(minhash.survive(sigs[a], sigs[b], fewest)) == 0
+
+
 def test_components(spark):
     r = random.Random(9)
     for links in ([], [(1, 2), (2, 3), (5, 4), (4, 4), (None, 3)], [(0, i) for i in range(1, 50)], [(i, i + 1) for i in range(40)], [(r.randrange(60), r.randrange(60)) for _ in range(50)]):
