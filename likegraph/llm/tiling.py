@@ -100,40 +100,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list = ("doc_id",
     """docs' columns named in keep, with best_item, coverage, items and contaminated.
 
     items are those with at least threshold of their words under tiles, ascending; best_item has the
-    greatest coverage (ties: the least id; null if none is met). The benchmark is taken in blocks of about
+    greatest coverage (ties: the least id; null if none is met). A document is contaminated by any item of that
+    coverage, also by one without an id, which items can't name. The benchmark is taken in blocks of about
     block_chars characters, each a pass over the rows, so its size is not bounded by memory. Items of
-    fewer than least words meet nothing, nor do null texts; items without an id are left out; equal items
-    count each. Names in keep must not clash with the added ones.
+    fewer than least words meet nothing, nor do null texts; equal items count each. Names in keep must not clash with the added ones.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("text is not null")
     kind = items.schema["item_id"].dataType
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     kept = docs.select(*keep)
     schema = kept.schema
-    for name, t in (("best_item", kind), ("coverage", T.DoubleType()), ("items", T.ArrayType(kind))):
+    for name, t in (("best_item", kind), ("coverage", T.DoubleType()), ("items", T.ArrayType(kind)), ("contaminated", T.BooleanType())):
         schema = schema.add(name, t)
     columns = schema.names
-    rows = docs.select(*keep, F.lit(None).cast(kind).alias("best_item"), F.lit(0.0).alias("coverage"), F.array().cast(T.ArrayType(kind)).alias("items"), F.col(text).alias("__text"))
+    rows = docs.select(*keep, F.lit(None).cast(kind).alias("best_item"), F.lit(0.0).alias("coverage"), F.array().cast(T.ArrayType(kind)).alias("items"), F.lit(False).alias("contaminated"), F.col(text).alias("__text"))
     for k in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").toPandas()
-        shared = spark.sparkContext.broadcast((own["item_id"].tolist(), own["text"].tolist()))
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
+        shared = spark.sparkContext.broadcast((own["item_id"].to_pylist(), own["text"].to_pylist()))
         last, names = k == blocks - 1, [*columns, "__text"]
 
         def run(batches, shared=shared, last=last, names=names):
             block = Block(*shared.value, least)
             for batch in batches:
                 for a, b, texts in text_slices(batch.column(batch.num_columns - 1), 1_000_000):
-                    best, most, over = (batch.column(c).slice(a, b - a).to_pylist() for c in names[-4:-1])
+                    best, most, over, hit = (batch.column(c).slice(a, b - a).to_pylist() for c in names[-5:-1])
                     for i, met in enumerate(block.coverages(texts)):
                         for j, c in met:
-                            if c > most[i] or c == most[i] and (best[i] is None or block.ids[j] < best[i]):
-                                best[i], most[i] = block.ids[j], c
-                        over[i] = sorted([*over[i], *(block.ids[j] for j, c in met if c >= threshold)])
+                            own = block.ids[j]
+                            if c > most[i] or c == most[i] and own is not None and (best[i] is None or own < best[i]):
+                                best[i], most[i] = own, c
+                        over[i] = sorted([*over[i], *(block.ids[j] for j, c in met if c >= threshold and block.ids[j] is not None)])
+                        hit[i] = hit[i] or any(c >= threshold for _, c in met)
                     types = batch.schema
-                    got = [pa.array(x, types.field(c).type) for x, c in zip((best, most, over), names[-4:-1], strict=True)]
-                    plain = [batch.column(c).slice(a, b - a) for c in range(batch.num_columns - 4)]
+                    got = [pa.array(x, types.field(c).type) for x, c in zip((best, most, over, hit), names[-5:-1], strict=True)]
+                    plain = [batch.column(c).slice(a, b - a) for c in range(batch.num_columns - 5)]
                     yield pa.RecordBatch.from_arrays([*plain, *got] if last else [*plain, *got, batch.column(batch.num_columns - 1).slice(a, b - a)], names[:-1] if last else names)
 
         rows = rows.mapInArrow(run, schema if last else T.StructType([*schema.fields, T.StructField("__text", T.StringType())]))
-    return rows.withColumn("contaminated", F.size("items") > 0)
+    return rows

@@ -475,6 +475,17 @@ def test_tiling(spark):
     assert tiling.contamination(d.limit(0), b).count() == 0
 
 
+def test_tiling_of_items_without_id(spark):
+    item, other = (" ".join(f"{c}{i}" for i in range(20)) for c in "wv")
+    d = spark.createDataFrame([(1, "so " + item), (2, other), (3, "clean text of quite other words")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, item), ((1 << 53) + 1, other), (None, other)], "item_id long, text string")
+    for chars in (20_000_000, 60):
+        got = {x["doc_id"]: x for x in tiling.contamination(d, b, block_chars=chars).collect()}
+        assert [got[i]["contaminated"] for i in (1, 2, 3)] == [True, True, False]
+        assert got[1]["best_item"] is None and got[1]["coverage"] == 1 and got[1]["items"] == []
+        assert got[2]["best_item"] == (1 << 53) + 1 and got[2]["items"] == [(1 << 53) + 1]
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     words = [f"w{i}" for i in range(500)]
