@@ -62,6 +62,17 @@ def text_slices(texts: pa.Array, most_bytes: int = 4_000_000):
         start, done = stop, int(ends[stop - 1])
 
 
+def beside(kept: list[str], added: list[str]) -> list[str]:
+    """Names for kept columns beside added ones: one that clashes (whatever its case) gets underscores in front."""
+    taken, out = {n.lower() for n in added}, []
+    for name in kept:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -22,18 +22,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = np.arange(256, dtype=np.uint64)
 _BYTES[65:91] += np.uint64(32)  # A-Z count as a-z
 _BYTES = mix(_BYTES + np.uint64(_M))
-_powers: dict[str, np.ndarray] = {}
+_held: dict[str, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The multiplier and its inverse to the powers 0..n, modulo 2 ** 64."""
-    if len(_powers.get("up", ())) <= n:
+    if len(_held.get("up", ())) <= n:
         size = max(n + 1, 1 << 20)
         for name, base in (("up", _M), ("down", pow(_M, -1, 1 << 64))):
             row = np.full(size, np.uint64(base), dtype=np.uint64)
             row[0] = 1
-            _powers[name] = np.cumprod(row, dtype=np.uint64)
-    return _powers["up"][: n + 1], _powers["down"][: n + 1]
+            _held[name] = np.cumprod(row, dtype=np.uint64)
+    return _held["up"][: n + 1], _held["down"][: n + 1]
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +42,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     blank = np.concatenate([[True], _SPACE[flat], [True]])
     edge = np.flatnonzero(blank[1:] != blank[:-1])
     start, end = edge[0::2], edge[1::2]
-    up, down = _power(len(flat))
+    up, down = powers(len(flat))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[flat] * up[:-1], dtype=np.uint64)])
     hashed = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
     ends = np.cumsum(np.fromiter((len(t.encode("utf-8", "surrogatepass")) + 1 if not t.isascii() else len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
