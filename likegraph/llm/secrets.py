@@ -29,6 +29,9 @@ KINDS = ("assign", "access", "hex", "name", "word", "endpoint")
 #: What a kind may be: an identifier, a secret or an endpoint.
 IDENTIFIERS, SECRETS = (1, 3), (0, 2, 4)
 
+#: Code points of a piece that a redaction cuts at a time.
+_PIECE = 16_384
+
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -77,18 +80,22 @@ def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     return rows.join(found, "_rid", "left").withColumn("_linked", F.coalesce("_linked", F.array().cast(_SPAN)))
 
 
+def _with_links(rows: DataFrame, scope: int) -> DataFrame:
+    """rows (of marked) with _spans: _strong and the weak ones that are linked. Rows are written once, numbered, so that patterns run once; only those with weak spans take part in the join."""
+    held = written(rows.withColumn("_rid", F.monotonically_increasing_id()), "marked")
+    none = held.filter(F.size("_weak") == 0).withColumn("_spans", F.col("_strong"))
+    some = linked(held.filter(F.size("_weak") > 0), scope).withColumn("_spans", F.array_sort(F.concat("_strong", "_linked")))
+    columns = [*(c for c in rows.columns if c != "_weak"), "_spans"]
+    return none.select(*columns).unionByName(some.select(*columns))
+
+
 def find_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
     """docs with _strong and _spans (all), arrays of (start, kind, end) in code points by start, then kind.
 
-    Null text counts as empty. Rows keep their number, whether or not ids repeat; only rows with weak
-    spans take part in the join. Columns of docs must not start with the names used here.
+    Null text counts as empty; an empty table gives an empty one. Rows keep their number, whether or not
+    ids repeat or are null. Columns of docs must not start with the names used here.
     """
-    rows = marked(docs, text)
-    some = written(rows.filter(F.size("_weak") > 0).withColumn("_rid", F.monotonically_increasing_id()), "weak")
-    none = rows.filter(F.size("_weak") == 0).withColumn("_spans", F.col("_strong"))
-    out = linked(some, scope).withColumn("_spans", F.array_sort(F.concat("_strong", "_linked")))
-    columns = [*docs.columns, "_strong", "_spans"]
-    return none.select(*columns).unionByName(out.select(*columns))
+    return _with_links(marked(docs, text), scope)
 
 
 def said(spans: Column) -> Column:
@@ -98,20 +105,45 @@ def said(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    found = find_secrets(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans: a row for each row of docs, also where ids are null or repeat. Null text counts as empty, and other columns are not read."""
+    rows = marked(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).drop("text")
+    found = _with_links(rows, SCOPE)
     count = lambda k: F.size(F.filter("_strong", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(said(F.col("_strong")).cast("binary"), 256).alias("base_sha256"), said(F.col("_spans")).alias("spans"))
 
 
+def _cut(text: Column, spans: Column, mark: str) -> Column:
+    """text with each run of overlapping spans replaced by mark.
+
+    The text is taken apart into pieces of _PIECE code points first, and each piece is cut by its own spans:
+    a cut costs no more than a piece, wherever in the text it is.
+    """
+    ends = F.transform(spans, lambda s: s["end"])
+    reach = lambda e: F.concat(F.array(F.lit(0).cast("long")), running_greatest(e))
+    # what each span adds to those before it, and whether it begins a mark
+    taken = lambda r: F.filter(
+        F.transform(spans, lambda s, i: F.struct(F.greatest(s["start"], F.element_at(r, i + 1)).alias("from"), s["end"].alias("to"), (s["start"] >= F.element_at(r, i + 1)).alias("new"))), lambda c: c["to"] > c["from"]
+    )
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+    def cut(piece: Column, low: Column, own: Column) -> Column:
+        until = lambda o, i: F.when(i == 0, low).otherwise(F.greatest(F.element_at(o, F.greatest(i, F.lit(1)))["to"], low))
+        kept = lambda o: F.transform(o, lambda c, i: F.concat(F.substring(piece, until(o, i) - low + 1, F.greatest(c["from"] - until(o, i), F.lit(0))), F.when(c["new"] & (c["from"] >= low), F.lit(mark)).otherwise(F.lit(""))))
+        tail = lambda o: F.substring(piece, F.element_at(o, -1)["to"] - low + 1, F.lit(_PIECE))
+        return F.when(F.size(own) == 0, piece).otherwise(let(own, lambda o: F.concat(F.array_join(kept(o), ""), F.when(F.element_at(o, -1)["to"] < low + _PIECE, tail(o)).otherwise(F.lit("")))))
+
+    def each(all_taken: Column) -> Column:
+        low = lambda i: (i * _PIECE).cast("long")
+        own = lambda i: F.filter(all_taken, lambda c: (c["to"] > low(i)) & (c["from"] < low(i) + _PIECE))
+        return F.array_join(F.transform(pieces, lambda p, i: cut(p, low(i), own(i))), "")
+
+    return let(reach(ends), lambda r: let(taken(r), each))
+
+
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[REDACTED]") -> DataFrame:
-    """docs with each reported span (overlapping ones as one) replaced by mark; n_chars, if there, is counted anew. Null text stays null, and columns may have any names."""
+    """docs with each reported span (overlapping ones as one) replaced by mark; n_chars, if there, is counted anew. Null text stays null, columns may have any names, and repeated rows stay as many."""
     found = find_secrets(docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("_text")), "_text")
-    spans, old = F.col("_spans"), F.col("_text")
-    reach = F.concat(F.array(F.lit(0).cast("long")), running_greatest(F.transform(spans, lambda s: s["end"])))
-    cut = lambda r: F.transform(spans, lambda s, i: F.when(s["start"] >= F.element_at(r, i + 1), F.concat(F.substring(old, F.element_at(r, i + 1) + 1, s["start"] - F.element_at(r, i + 1)), F.lit(mark))).otherwise(F.lit("")))
-    rest = lambda r: F.substring(old, F.element_at(r, -1) + 1, F.length(old))
-    some = F.size(spans) > 0
-    out = found.withColumn("_new", F.when(some, let(reach, lambda r: F.concat(F.array_join(cut(r), ""), rest(r)))).otherwise(old))
+    some = F.size("_spans") > 0
+    out = found.withColumn("_new", F.when(some, _cut(F.col("_text"), F.col("_spans"), mark)).otherwise(F.col("_text")))
     new = {text: F.col("_new"), "n_chars": F.when(some, F.length("_new").cast("long")).otherwise(F.col("_doc")["n_chars"]) if "n_chars" in docs.columns else None}
     return out.select(*[(new[c] if c in new else F.col("_doc")[c]).alias(c) for c in docs.columns])
