@@ -12,12 +12,13 @@ from math import lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from likegraph.llm.components import connected_components
 from likegraph.llm.shared import drop_written, text_slices, written
 from likegraph.llm.shingles import mix, shingle_sets
+from likegraph.spread import dealt, hot_keys, joined, met
 
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
@@ -161,8 +162,12 @@ def _sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int, doc_id:
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b of classes) whose sets have den * intersection >= num * union."""
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
+    """The pairs (a, b of classes; a written table) whose sets have den * intersection >= num * union."""
+    total = pairs.count()
+    hot = [hot_keys(pairs.groupBy(x).agg(F.count("*").alias("_n")), total) for x in "ab"]
+    both = dealt(dealt(pairs, hot[0], ["a"], "_pa"), hot[1], ["b"], "_pb")
+    for x, h in zip("ab", hot, strict=True):
+        both = met(both, sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"s{x}")), h, [x], part=f"_p{x}")
 
     def check(batches):
         for batch in batches:
@@ -178,21 +183,31 @@ def _exact(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
-    return written(both.mapInArrow(check, "a long, b long"), "exact")
+    return written(both.select("sa", "sb", "a", "b").mapInArrow(check, "a long, b long"), "exact")
 
 
 def _between(members: DataFrame, classes: DataFrame, tried: DataFrame, fewest: list[tuple[int, int]], num: int, den: int) -> DataFrame:
-    """Pairs of members (key, cid, root, m) of one bucket and of different roots that neither signatures nor bitmaps rule out, less those tried.
+    """Pairs of members (key, cid, root; a written table) of one bucket and of different roots that neither signatures nor bitmaps rule out, less those tried.
 
-    Members of a bucket stand in blocks of bounded size, and two blocks are a row. A pair that shares
-    several buckets counts in the first.
+    Members of a bucket stand in blocks of bounded size: those of a root that has many there among
+    themselves, all others mixed. Two blocks that may hold different roots are a row, with a key of its own.
+    A pair that shares several buckets counts in the first.
     """
-    parts = F.ceil(F.col("m") / BLOCK)
+    per_root = written(members.groupBy("key", "root").agg(F.count("*").alias("_n")), "roots")
+    rest = per_root.groupBy("key").agg(F.sum(F.when(F.col("_n") < BLOCK, F.col("_n")).otherwise(0)).alias("rest"))
+    # blocks are named by root (-1: mixed) and number
+    parts = per_root.join(rest, "key").select("key", "root", F.when(F.col("_n") < BLOCK, F.lit(-1).cast("long")).otherwise(F.col("root")).alias("of_root"), F.greatest(F.ceil(F.when(F.col("_n") < BLOCK, F.col("rest")).otherwise(F.col("_n")) / BLOCK), F.lit(1)).alias("parts"))
+    placed = joined(members, parts, ["key", "root"], per_root, members.count())
+    placed = placed.withColumn("part", F.pmod(F.xxhash64(F.when(F.col("of_root") < 0, F.col("root")).otherwise(F.col("cid"))), F.col("parts"))).select("key", "cid", "root", "of_root", "part")
+    placed = written(placed, "placed")
+    names = placed.groupBy("key", "of_root", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    names = written(names.withColumns({"i": F.row_number().over(Window.partitionBy("key").orderBy("of_root", "part")), "last": F.count("*").over(Window.partitionBy("key"))}), "names")
+    others = names.select("key", F.col("i").alias("j"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"))
+    wanted = names.select("key", "i", "lo", "hi", F.explode(F.sequence("i", F.col("last").cast("int"))).alias("j")).join(others, ["key", "j"]).filter("not (lo = hi and lo_y = hi_y and lo = lo_y)").select("key", "i", "j")
     one = F.struct("cid", "root", "n", "sig", "bands", "bits")
-    blocks = members.join(classes, "cid").withColumn("part", F.pmod(F.xxhash64("cid"), parts).cast("int"))
-    blocks = written(blocks.groupBy("key", "part").agg(F.collect_list(one).alias("of"), F.min("root").alias("lo"), F.max("root").alias("hi")), "blocks")
-    x, y = (blocks.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "of", "lo", "hi")]) for s in "xy")
-    met = x.join(y, "key").filter("part_x <= part_y and not (lo_x = hi_x and lo_y = hi_y and lo_x = lo_y)").select("key", "of_x", "of_y")
+    blocks = placed.join(classes, "cid").join(names.select("key", "of_root", "part", "i"), ["key", "of_root", "part"]).groupBy("key", "i").agg(F.collect_list(one).alias("of"))
+    blocks = written(blocks, "blocks")
+    met_ = wanted.join(blocks.withColumnRenamed("of", "of_x"), ["key", "i"]).join(blocks.select("key", F.col("i").alias("j"), F.col("of").alias("of_y")), ["key", "j"]).select("key", "of_x", "of_y")
 
     def opened(rows):
         raw = [np.frombuffer(v, np.uint64) for v in rows.field("bits").to_pylist()]
@@ -223,8 +238,8 @@ def _between(members: DataFrame, classes: DataFrame, tried: DataFrame, fewest: l
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
 
     known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = written(met.mapInArrow(meet, "a long, b long").distinct().join(known, ["a", "b"], "left_anti"), "more")
-    drop_written(blocks)
+    more = written(met_.mapInArrow(meet, "a long, b long").distinct().join(known, ["a", "b"], "left_anti"), "more")
+    drop_written(blocks, placed, names, per_root)
     return more
 
 
@@ -242,33 +257,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     signed = written(_signed(docs, k, doc_id, text), "signed")
     fewest = fewest_matches(num / den, miss)
     # Equal sets: partial sums first, so a set that a third of all rows have is a row for each task.
-    heads = signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    heads = signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = written(heads.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    many = classes.count()
     bands = classes.select("cid", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    members = written(bands.join(shared, "key"), "members")
+    shared = written(bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "shared")
+    by_key = shared.select("key", F.col("m").alias("_n"))
+    members = written(joined(bands, shared, ["key"], by_key, many * BANDS), "members")
     weight = members.groupBy("cid").agg(F.sum(F.col("m") - 1).alias("w"))
     weighed = members.join(weight, "cid")
     pivots = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("cid")).alias("k"))).alias("p")).select("key", (-F.col("p.k")).alias("b"))
     sigs = classes.select("cid", "sig")
-    stars = members.join(pivots, "key").filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct()
-    stars = stars.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
-    tried = written(_pruned(stars, fewest), "stars")
+    stars = written(joined(members, pivots, ["key"], by_key, many * BANDS).filter("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "stars")
+    with_b = joined(stars, sigs.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), ["b"])
+    tried = written(_pruned(with_b.join(sigs.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a"), fewest), "tried")
     sets = _sets(docs, classes, tried.select(F.explode(F.array("a", "b")).alias("cid")), k, doc_id, text)
     links = _exact(tried, sets, num, den)
-    drop_written(sets)
+    drop_written(sets, stars)
     labels = connected_components(links)
     # Buckets of several components: the rest of their pairs, between components only.
-    placed = members.select("key", "cid").join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    placed = written(members.select("key", "cid").join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root")), "rooted")
     split = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").filter("m > 2")
-    open_ = written(placed.join(split.select("key", "m"), "key"), "open")
+    open_ = written(joined(placed, split.select("key"), ["key"], by_key, many * BANDS), "open")
     if not open_.isEmpty():
         sets = _sets(docs, classes, open_, k, doc_id, text)
         more = _between(open_, classes.select("cid", "n", "sig", "bands").join(sets.select("cid", "bits"), "cid"), tried, fewest, num, den)
         labels = connected_components(links.unionByName(_exact(more, sets, num, den)))
         drop_written(sets, more)
-    rooted = classes.select("h1", "h2", "n", "rep", "cid").join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    drop_written(members, placed, open_, shared, tried)
+    rooted = written(classes.select("h1", "h2", "n", "docs", "rep", "cid").join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "roots")
     named = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    of_class = rooted.join(named, "root").select("h1", "h2", "n", "component")
-    out = signed.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_class = joined(rooted, named, ["root"], total=many).select("h1", "h2", "n", "component")
+    rows = signed.select("doc_id", "n", "h1", "h2")
+    linked = joined(rows.filter("n > 0"), of_class, ["h1", "h2", "n"], rooted.select("h1", "h2", "n", F.col("docs").alias("_n")))
+    out = linked.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
