@@ -2,7 +2,8 @@
 
 A linear model over hashed words, trained in numpy. Its risk is that of a classifier of both classes,
 rewritten for positives and unlabelled rows by the class prior; the part that stands for the negatives is
-kept from falling below zero, where the model would only be learning its examples by heart.
+kept from falling below zero, where the model would only be learning its examples by heart. Unlabelled rows
+are all documents that may be used, in every step.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from likegraph.llm.language_id import held_out
-from likegraph.llm.shared import text_slices
+from likegraph.llm.shared import beside, drop_written, text_slices, written
 
 BITS = 18
 #: Lower-cases A-Z and blanks all else of ASCII that isn't a letter or digit.
@@ -48,94 +50,212 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 12, batch: int = 512, rate: float = 0.02, decay: float = 2e-5, screen: float = 4.0, seed: int = 0) -> Model:
-    """Non-negative risk: prior E_P[l(g)] + max(0, E_U[l(-g)] - prior E_P[l(-g)]), l the logistic loss.
+def chosen_words(in_p: np.ndarray, in_u: np.ndarray, positives: int, unlabelled: int, screen: float = 4.0, least: int = 5) -> np.ndarray:
+    """The buckets that get a weight: their share of the positives is screen standard errors from that of the unlabelled rows, and least positives hold them or would by the share of all. A rare word that one example holds says nothing of others."""
+    rate_p, rate_u = in_p / max(positives, 1), (in_u + 1) / (unlabelled + 1)
+    far = np.abs(rate_p - rate_u) >= screen * np.sqrt(rate_u * np.maximum(1 - rate_u, 1e-9) / max(positives, 1))
+    return np.flatnonzero(far & (np.maximum(in_p, positives * rate_u) >= least))
 
-    Only words whose share of the positives is screen standard errors from that of the unlabelled rows
-    get a weight: a rare word that one example holds says nothing of others.
 
-    Where a batch's second part is below zero, the step goes up that part alone. Adam in numpy; the
-    weights returned are the mean of the last half of the steps.
+def risk(sums: dict, prior: float, w: np.ndarray, decay: float, round_off: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk at w and its gradient, from sums over all rows.
+
+    prior E_P[l(g)] + max(0, E_U[l(-g)] - prior E_P[l(-g)]) + decay / 2 |w|^2, l the logistic loss; the bias,
+    which is last in w, is not decayed. The corner of the maximum is rounded off within round_off, or steps
+    over all rows would go to and fro across it.
+    """
+    held = np.append(w[:-1], 0.0)
+    positive = prior * sums["p_loss"] / sums["p"]
+    negative = sums["u_loss_neg"] / sums["u"] - prior * sums["p_loss_neg"] / sums["p"]
+    d_negative = sums["u_grad"] / sums["u"] - prior * sums["p_grad"] / sums["p"]
+    d_positive = prior * (sums["p_grad"] - sums["p_words"]) / sums["p"]
+    value = positive + round_off * np.logaddexp(0, negative / round_off) + decay / 2 * held @ held
+    return value, d_positive + _sigmoid(negative / round_off) * d_negative + decay * held
+
+
+def fit(totals, words: int, prior: float, rounds: int = 60, decay: float = 3e-4, round_off: float = 5e-3, tolerance: float = 1e-3, memory: int = 10, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights and, last, the bias that make the risk least, by limited-memory quasi-Newton steps over all rows.
+
+    totals(w) gives the sums of ``risk``. It ends when the gradient is tolerance times what it was at first,
+    or after so many rounds.
+    """
+    w = np.zeros(words + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    if start is not None:
+        w = start
+    value, grad = risk(totals(w), prior, w, decay, round_off)
+    begun, pairs = np.linalg.norm(grad), []
+    for _ in range(rounds):
+        if np.linalg.norm(grad) <= tolerance * begun:
+            break
+        move, kept = grad.copy(), []
+        for s, y in reversed(pairs):
+            kept.append(s @ move / (s @ y))
+            move -= kept[-1] * y
+        if pairs:
+            s, y = pairs[-1]
+            move *= s @ y / (y @ y)
+        for (s, y), a in zip(pairs, reversed(kept), strict=True):
+            move += s * (a - y @ move / (s @ y))
+        step = 1.0 if pairs else 1.0 / max(float(np.linalg.norm(move)), 1e-12)
+        while step > 1e-4:
+            trial = w - step * move
+            now = risk(totals(trial), prior, trial, decay, round_off)
+            if now[0] <= value - 1e-4 * step * (grad @ move):
+                break
+            step /= 4
+        else:
+            if not pairs:
+                break
+            pairs = []
+            continue
+        s, y = trial - w, now[1] - grad
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y)][-memory:]
+        w, (value, grad) = trial, now
+    return w
+
+
+def most_positive(p: np.ndarray, u: np.ndarray, least: float = 0.2) -> float:
+    """The greatest class prior that histograms of scores allow (bins from low to high, of positives and of unlabelled rows).
+
+    Above any score, unlabelled rows are at least the prior times as many as positives, of which least are
+    to be there. Each share is taken a standard error to the safe side.
     """
-    rng, dim = np.random.default_rng(seed), 1 << BITS
-    w, m, v, mean = np.zeros(dim + 1), np.zeros(dim + 1), np.zeros(dim + 1), np.zeros(dim + 1)
-    w[dim] = np.log(prior / (1 - prior))
-    if not positive or not unlabelled:
-        return Model(w[:dim], float(w[dim]))
-    in_p, in_u = (np.bincount(np.concatenate(x), minlength=dim) for x in (positive, unlabelled))
-    rate_p, rate_u = in_p / len(positive), (in_u + 1) / (len(unlabelled) + 1)
-    use = (np.abs(rate_p - rate_u) >= screen * np.sqrt(rate_u * np.maximum(1 - rate_u, 1e-9) / len(positive))) & (in_p + in_u >= 5)
-    positive, unlabelled = ([r[use[r]] for r in x] for x in (positive, unlabelled))
-    per_epoch = max(1, -(-len(unlabelled) // batch))
-    p_batch, step, kept = max(16, min(len(positive), batch // 2)), 0, 0
-
-    def logits(rows):
-        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        owner, at = np.repeat(np.arange(len(rows)), sizes), np.concatenate(rows)
-        return np.bincount(owner, weights=w[at], minlength=len(rows)) + w[dim], owner, at
-
-    for _ in range(epochs):
-        order = rng.permutation(len(unlabelled))
-        for k in range(per_epoch):
-            us = [unlabelled[i] for i in order[k * batch : (k + 1) * batch]]
-            ps = [positive[i] for i in rng.integers(0, len(positive), p_batch)]
-            (gu, ou, au), (gp, op, ap) = logits(us), logits(ps)
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            du, dp = _sigmoid(gu) / len(us), -prior * _sigmoid(gp) / len(ps)  # of the second part
-            if negative >= 0:
-                dp = dp + prior * (_sigmoid(gp) - 1) / len(ps)
-            else:
-                du, dp = -du, -dp
-            grad = np.bincount(au, weights=du[ou], minlength=dim + 1) + np.bincount(ap, weights=dp[op], minlength=dim + 1)
-            grad[dim] += du.sum() + dp.sum()
-            step += 1
-            m += 0.1 * (grad - m)
-            v += 0.001 * (grad * grad - v)
-            w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
-            w[:dim] *= 1 - decay * rate * 1000
-            if step > epochs * per_epoch // 2:
-                mean += w
-                kept += 1
-    mean /= max(1, kept)
-    return Model(mean[:dim], float(mean[dim]))
+    over_p, over_u = (np.cumsum(x[::-1]) / max(x.sum(), 1) for x in (p, u))
+    use = over_p >= least
+    error = lambda share, n: np.sqrt(share * (1 - share) / max(n, 1))
+    return float(((over_u + error(over_u, u.sum())) / np.maximum(over_p - error(over_p, p.sum()), 1e-9))[use].min())
+
+
+_BINS = 1024
+
+
+def _histograms(rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many positives and how many unlabelled rows have a score in each of _BINS bins of -32 to 32 before the sigmoid."""
+    shared = rows.sparkSession.sparkContext.broadcast(w)
+
+    def run(batches):
+        own, sums = shared.value, np.zeros((2, _BINS), dtype=np.int64)
+        for batch in batches:
+            at = batch.column(2)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy()))
+            g = np.bincount(owner, weights=own[at.flatten().to_numpy()], minlength=batch.num_rows) + own[-1]
+            place = np.clip((g + 32) / 64 * _BINS, 0, _BINS - 1).astype(np.int64)
+            for k in (0, 1):
+                sums[k] += np.bincount(place[batch.column(k).to_numpy(zero_copy_only=False)], minlength=_BINS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(_BINS), pa.int32()), pa.array(sums[0]), pa.array(sums[1])], ["i", "p", "u"])
+
+    got = rows.mapInArrow(run, "i int, p long, u long").groupBy("i").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).orderBy("i").toArrow()
+    return got["p"].to_numpy(), got["u"].to_numpy()
+
+
+def _gathered(rows: DataFrame, w: np.ndarray) -> dict:
+    """The sums of ``risk`` over rows (positive, unlabelled, at), each task's first: as many numbers come to the driver as there are weights."""
+    shared, size = rows.sparkSession.sparkContext.broadcast(w), len(w)
+
+    def run(batches):
+        own = shared.value
+        grads, losses = np.zeros((2, size)), np.zeros(3)
+        for batch in batches:
+            at = batch.column(2)
+            n, words = np.diff(at.offsets.to_numpy()), at.flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), n)
+            g = np.bincount(owner, weights=own[words], minlength=batch.num_rows) + own[-1]
+            p, u = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            losses += [np.logaddexp(0, -g[p]).sum(), np.logaddexp(0, g[p]).sum(), np.logaddexp(0, g[u]).sum()]
+            for k, which in enumerate((p, u)):
+                s = _sigmoid(g) * which
+                grads[k] += np.bincount(words, weights=s[owner], minlength=size)
+                grads[k, -1] += s.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(size + 3), pa.int32()), pa.array(np.append(grads[0], losses)), pa.array(np.append(grads[1], np.zeros(3)))], ["i", "p", "u"])
+
+    got = rows.mapInArrow(run, "i int, p double, u double").groupBy("i").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
+    p, u = np.zeros(size + 3), np.zeros(size + 3)
+    p[got["i"].to_numpy()], u[got["i"].to_numpy()] = got["p"].to_numpy(), got["u"].to_numpy()
+    return {"p_grad": p[:size], "u_grad": u[:size], "p_loss": p[size], "p_loss_neg": p[size + 1], "u_loss_neg": p[size + 2]}
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: Column, most: int = 20_000, prior: float | None = None, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
-    """Trains on at most about ``most`` confirmed toxic documents and ``most`` of all documents as unlabelled, both picked by a hash of the id.
+    """Trains on at most about ``most`` confirmed toxic documents, picked by a hash of the id, and on all documents as unlabelled.
 
     train_rows says which rows may be used, by the column doc_id. The class prior, unless given, is the
-    share of toxic rows among the labelled ones that may be used. Labels other than 1 are not used as
+    share of toxic rows among the labelled ones that may be used, or less if scores show that so many can't
+    be among the unlabelled ones: labelled rows may be chosen otherwise than at random. Labels other than 1 are not used as
     negatives. Without any confirmed toxic document the model scores the prior (0.5 without labels) for
-    all. A document with several labels is toxic if one says so.
+    all. A document with several labels is toxic if one says so; rows of null id or text are unlabelled
+    ones, and repeated rows count each.
+
+    Words are counted over all rows; then each row is its few words that have a weight, in a table that
+    every step's sums are taken over. What comes to the driver is bounded by the buckets.
     """
     names = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).alias("toxic")).filter(train_rows & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     seen = names.agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("p")).first()
-    if prior is None:
+    given = prior is not None
+    if not given:
         prior = min(max((seen["p"] or 0) / seen["n"], 1e-3), 0.9) if seen["n"] else 0.5
+    none = Model(np.zeros(1 << BITS), float(np.log(prior / (1 - prior))))
+    if not seen["p"]:
+        return none
+    picked = F.xxhash64("doc_id", F.lit(3)) / 2.0**64 + 0.5 < min(1.0, most / seen["p"])
+    positive = names.filter((F.col("toxic") == 1) & picked).select("doc_id").distinct().withColumn("positive", F.lit(True))
     usable = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(train_rows)
-    of = lambda n: F.xxhash64("doc_id", F.lit(3)) / 2.0**64 + 0.5 < min(1.0, most / max(n, 1))
-    # at most about ``most`` ids, whatever the input
-    positive = names.filter((F.col("toxic") == 1) & of(seen["p"] or 0)).select("doc_id").distinct().withColumn("positive", F.lit(True))
-    picked = usable.withColumn("unlabelled", of(usable.count())).join(F.broadcast(positive), "doc_id", "left").filter("unlabelled or positive").select(F.coalesce("positive", F.lit(False)), F.coalesce("unlabelled", F.lit(False)), "text")
+    usable = usable.join(F.broadcast(positive), "doc_id", "left").select(F.coalesce("positive", F.lit(False)).alias("positive"), F.lit(True).alias("unlabelled"), "text")
 
-    def run(batches):
+    def count(batches):
+        sums, rows = np.zeros((2, 1 << BITS), dtype=np.int64), np.zeros(2, dtype=np.int64)
         for batch in batches:
+            p = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, texts in text_slices(batch.column(2)):
                 at, sizes = features(texts)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))], ["positive", "unlabelled", "at"])
+                sums[1] += np.bincount(at, minlength=1 << BITS)
+                sums[0] += np.bincount(at[np.repeat(p[a:b], sizes)], minlength=1 << BITS)
+            rows += [p.sum(), len(p)]
+        at = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), *(pa.array(np.append(s[at], n)) for s, n in zip(sums, rows, strict=True))], ["i", "p", "u"])
 
-    rows = picked.mapInArrow(run, "positive boolean, unlabelled boolean, at array<int>").toArrow()
-    at = [np.asarray(x.values, dtype=np.int64) if x.values is not None else np.zeros(0, np.int64) for x in rows["at"]]
-    is_p, is_u = rows["positive"].to_pylist(), rows["unlabelled"].to_pylist()
-    order = sorted(range(len(at)), key=lambda i: (len(at[i]), at[i].tobytes()))  # by content: as rows come in any order
-    return train([at[i] for i in order if is_p[i]], [at[i] for i in order if is_u[i]], prior)
+    got = usable.mapInArrow(count, "i int, p long, u long").groupBy("i").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
+    i, p, u = (got[c].to_numpy() for c in ("i", "p", "u"))
+    positives, rows = (int(x[i < 0].sum()) for x in (p, u))
+    if not positives:
+        return none
+    in_p, in_u = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS, dtype=np.int64)
+    in_p[i[i >= 0]], in_u[i[i >= 0]] = p[i >= 0], u[i >= 0]
+    words = chosen_words(in_p, in_u, positives, rows)
+    number = np.full(1 << BITS, -1, dtype=np.int32)
+    number[words] = np.arange(len(words))
+    shared = docs.sparkSession.sparkContext.broadcast(number)
+
+    def project(batches):
+        for batch in batches:
+            for a, b, texts in text_slices(batch.column(2)):
+                at, sizes = features(texts)
+                at = shared.value[at]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[at >= 0], minlength=len(sizes)))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[at >= 0], pa.int32()))], ["positive", "unlabelled", "at"])
+
+    short = written(usable.mapInArrow(project, "positive boolean, unlabelled boolean, at array<int>"), "words")
+    fixed = {"p": positives, "u": rows, "p_words": np.append(in_p[words], positives).astype(float)}
+    totals = lambda x: fixed | _gathered(short, x)
+    w = fit(totals, len(words), prior)
+    allowed = most_positive(*_histograms(short, w))
+    if allowed < prior and not given:
+        w = fit(totals, len(words), allowed, start=w + np.append(np.zeros(len(words)), np.log(allowed / (1 - allowed)) - np.log(prior / (1 - prior))))
+    drop_written(short)
+    weights = np.zeros(1 << BITS)
+    weights[words] = w[:-1]
+    return Model(weights, float(w[-1]))
 
 
 def score(docs: DataFrame, model: Model, keep: list = (), text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs' columns named in keep, with score and predicted (1 from the threshold on). Null text counts as empty."""
+    """docs' columns named in keep, with score and predicted (1 from the threshold on).
+
+    Null text counts as empty; repeated rows each have their row, an empty table gives none, and long texts
+    are read whole. A kept column whose name clashes with an added one gets underscores in front.
+    """
     shared, kept = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias)), docs.select(*keep)
-    columns = [*kept.columns, "score", "predicted"]
+    inner = [f"c{k}" for k in range(len(kept.columns))]
+    columns = [*inner, "score", "predicted"]
 
     def run(batches):
         own = Model(*shared.value)
@@ -144,10 +264,16 @@ def score(docs: DataFrame, model: Model, keep: list = (), text: str = "text", th
                 got = own.score(texts)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(got), pa.array((got >= threshold).astype(np.int32))], columns)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, kept.schema.add("score", "double").add("predicted", "integer"))
+    plain = kept.toDF(*inner).schema
+    out = docs.select(*keep, F.col(text).alias("__text")).toDF(*inner, "__text").mapInArrow(run, T.StructType([*plain.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return out.toDF(*beside(kept.columns, ["score", "predicted"]), "score", "predicted")
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learns from the rows outside the held-out fold and scores every document: doc_id, held_out, score, predicted."""
+    """Learns from the rows outside the held-out fold and scores every document: doc_id, held_out, score, predicted.
+
+    Null ids are in no fold; null and empty texts score the bias alone; repeated rows are scored each; empty
+    documents or labels give no rows, or the prior for all.
+    """
     fold = held_out(parts=4, part=2)
     return score(docs, learn(docs, labels, ~fold), keep=["doc_id", fold.alias("held_out")])

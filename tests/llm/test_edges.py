@@ -1,11 +1,13 @@
 """Short, long, repeated, null and clashing inputs of the text operators."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from likegraph.llm import secrets, tiling
+from likegraph.llm import language_id, secrets, tiling, toxicity
 from likegraph.workers import let_workers_import
 from tests.llm.test_llm import brute_tiles
 
@@ -104,3 +106,106 @@ def test_redaction_by_pieces(spark, monkeypatch, piece):
     assert secrets.redacted(d.limit(0)).count() == 0 and secrets.report(d.limit(0)).count() == 0
     repeats = secrets.report(spark.createDataFrame([(None, texts[3])] * 2 + [(1, None)] * 2, "doc_id long, text string")).collect()
     assert len(repeats) == 4 and repeats.count(repeats[0]) == 2
+
+
+def best_set(p, counts, penalty):
+    """By trying every set of languages, with many rounds of expectation-maximisation."""
+    best = (-np.inf, None, None)
+    for n in range(1, p.shape[1] + 1):
+        for langs in itertools.combinations(range(p.shape[1]), n):
+            own, w = p[:, langs], np.full(n, 1 / n)
+            for _ in range(3000):
+                r = own * w
+                w = (r * (counts / r.sum(axis=1))[:, None]).sum(axis=0) / counts.sum()
+            value = (counts * np.log(own @ w)).sum() - penalty * (n - 1)
+            if value > best[0] + 1e-6:
+                best = (value, langs, w)
+    return best
+
+
+def test_mixtures_by_every_set():
+    """Proportions, penalty and choice of languages, against every set of three to five languages; many documents at once give what each gives alone."""
+    r = np.random.default_rng(1)
+    p = r.dirichlet(np.ones(80) * 0.4, 5).T + 1e-6
+    truth = [[1, 0, 0, 0, 0], [0.6, 0.4, 0, 0, 0], [0, 0.3, 0, 0.7, 0], [0.4, 0.3, 0.3, 0, 0], [0.9, 0, 0, 0, 0.1], [0.3, 0, 0.3, 0, 0.4]]
+    for langs in (3, 4, 5):
+        docs = [r.multinomial(n, p[:, :langs] @ (np.array(t[:langs]) / sum(t[:langs]) if sum(t[:langs]) else np.ones(langs) / langs)).astype(float) for t in truth for n in (12, 60, 700)]
+        at = [np.flatnonzero(c) for c in docs]
+        owner = np.repeat(np.arange(len(docs)), [len(a) for a in at])
+        together = language_id.mixtures(p[:, :langs], np.concatenate([c[a] for c, a in zip(docs, at)]), owner, len(docs) + 1, at=np.concatenate(at), rows=500)
+        assert not together[-1].any()
+        for k, (c, a) in enumerate(zip(docs, at)):
+            alone = language_id.mixtures(p[a, :langs], c[a], np.zeros(len(a), int), 1)[0]
+            assert alone == pytest.approx(together[k], abs=1e-9)
+            value, chosen, w = best_set(p[a, :langs], c[a], 6.0)
+            found = np.flatnonzero(alone)
+            mine = (c[a] * np.log(p[a, :langs] @ alone)).sum() - 6.0 * (len(found) - 1)
+            assert mine >= value - 0.01 and tuple(found) == chosen
+            assert alone[found] == pytest.approx(w, abs=0.02)
+
+
+def test_one_language_and_a_hundred(spark):
+    r = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocab = {f"l{k:03d}": ["".join(r.choice(letters) for _ in range(r.randint(3, 8))) for _ in range(150)] for k in range(100)}
+    rows = [(i, " ".join(r.choice(vocab[lang]) for _ in range(120)), lang) for i, lang in enumerate(list(vocab) * 3)]
+    d = spark.createDataFrame([*rows, (1000, None, "l000"), (1001, "", "l000"), (None, rows[0][1], None)], "doc_id long, text string, lang string").withColumn("Score", F.lit("own")).repartition(4)
+    model = language_id.learn(d)
+    assert sorted(model) == sorted(vocab)
+    out = language_id.predict(d, model, ["doc_id", "lang", "Score"])
+    assert out.columns == ["doc_id", "lang", "_Score", "lang_pred", "score", "mixture"]
+    got = out.collect()
+    assert all(x["lang_pred"] == x["lang"] for x in got if x["doc_id"] is not None and x["doc_id"] < 1000)
+    assert {x["lang_pred"] for x in got if x["doc_id"] in (1000, 1001)} == {"und"}
+    both = spark.createDataFrame([(1, rows[3][1] + " " + rows[50][1])], "doc_id long, text string")
+    assert {k for k, v in language_id.predict(both, model).first()["mixture"].items() if v > 0.2} == {rows[3][2], rows[50][2]}
+    one = language_id.predict(d, {"l000": model["l000"]}, ["doc_id"]).collect()
+    assert {x["lang_pred"] for x in one} == {"l000", "und"} and all(x["score"] in (0, 1) for x in one)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.learn(d, most_languages=50)
+
+
+def test_risk_by_hand():
+    """The risk and its gradient from sums, against the formula over rows and against differences."""
+    r = np.random.default_rng(3)
+    p, u, w = r.integers(0, 2, (9, 4)).astype(float), r.integers(0, 2, (30, 4)).astype(float), r.normal(0, 1, 5)
+    loss = lambda g: np.log1p(np.exp(-g))
+
+    def sums(w):
+        gp, gu = (x @ w[:-1] + w[-1] for x in (p, u))
+        grad = lambda x, g: np.append(x.T @ (1 / (1 + np.exp(-g))), (1 / (1 + np.exp(-g))).sum())
+        return {"p": 9, "u": 30, "p_loss": loss(gp).sum(), "p_loss_neg": loss(-gp).sum(), "u_loss_neg": loss(-gu).sum(), "p_grad": grad(p, gp), "u_grad": grad(u, gu), "p_words": np.append(p.sum(axis=0), 9)}
+
+    def brute(w, prior):
+        gp, gu = (x @ w[:-1] + w[-1] for x in (p, u))
+        return prior * loss(gp).mean() + 0.01 * np.logaddexp(0, (loss(-gu).mean() - prior * loss(-gp).mean()) / 0.01) + 0.005 * (w[:-1] ** 2).sum()
+
+    value, grad = toxicity.risk(sums(w), 0.2, w, 0.01, 0.01)
+    assert value == pytest.approx(brute(w, 0.2))
+    for k in range(5):
+        step = np.eye(5)[k] * 1e-5
+        assert grad[k] == pytest.approx((brute(w + step, 0.2) - brute(w - step, 0.2)) / 2e-5, abs=1e-6)
+    found = toxicity.fit(sums, 4, 0.2, decay=0.01, round_off=0.01, tolerance=1e-6)
+    assert all(brute(found, 0.2) <= brute(found + r.normal(0, 0.1, 5), 0.2) + 1e-9 for _ in range(300))
+
+
+def test_toxicity_of_odd_rows(spark):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(30)) + (" vile nasty" if i % 8 == 0 else "")) for i in range(800)]
+    rows += [rows[8], rows[8], (None, rows[16][1]), (900, None), (901, ""), (902, " ".join(r.choice(words) for _ in range(200_000)))]
+    labels = [(i, int(i % 8 == 0)) for i in range(0, 800, 2)] + [(8, 1), (8, 0), (None, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"toxic": F.lit(7), "positive": F.lit("x"), "Predicted": F.lit(2.5)}).repartition(6)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    model = toxicity.learn(d, lab, F.col("doc_id") % 5 != 0)
+    out = toxicity.score(d, model, ["doc_id", "Predicted"])
+    assert out.columns == ["doc_id", "_Predicted", "score", "predicted"]
+    got = out.collect()
+    assert len(got) == len(rows) and len({x["score"] for x in got if x["doc_id"] == 8}) == 1
+    right = [x["predicted"] == (x["doc_id"] % 8 == 0) for x in got if x["doc_id"] is not None and x["doc_id"] < 800]
+    assert sum(right) / len(right) > 0.98
+    assert all(x["predicted"] == 0 for x in got if x["doc_id"] in (900, 901, 902))
+    assert [x["predicted"] for x in got if x["doc_id"] is None] == [1]
+    # rows in other partitions give the same model, whatever order they come in
+    again = toxicity.learn(d.repartition(3, "text"), lab, F.col("doc_id") % 5 != 0)
+    assert again.bias == pytest.approx(model.bias, abs=1e-6) and again.weights == pytest.approx(model.weights, abs=1e-6) and model.weights.any()
