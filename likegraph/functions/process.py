@@ -26,7 +26,7 @@ def combine(frames: list[tuple[FeatureFrame, float, str]]) -> FeatureFrame:
         part = f.values.select("bodyid", block.alias("block"), "feature", (F.col("value") * w).alias("value"))
         rows = part if rows is None else rows.unionByName(part)
         defaults |= {(f"{name}.{b}" if name and b else name or b): v * w for b, v in f.defaults.items()}
-    return FeatureFrame(used[0][0].bodies, rows, defaults)
+    return FeatureFrame(used[0][0].bodies, rows, defaults, tuple(t for f, _, _ in used for t in f.held))
 
 
 def _each(function: Callable[[Column], Column], at_zero: float, wgt_in: float, wgt_out: float) -> Process:

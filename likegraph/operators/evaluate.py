@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from likegraph.operators.distance import compute_distance_matrix
+from likegraph.operators.distance import apart_pairs, farthest_pairs
 from likegraph.operators.frames import FeatureFrame
 
 
@@ -49,19 +49,17 @@ def report_diffs(partition1: DataFrame, partition2: DataFrame, features1: Featur
     """
 
     def apart(p, q, features):
+        if features is not None:
+            return apart_pairs(features, p, q).orderBy(F.desc("dist"), F.desc("b1"), F.desc("b2"))
         both = p.select("bodyid", F.col("type").cast("string").alias("c")).join(q.select("bodyid", F.col("type").cast("string").alias("o")), "bodyid")
-        if features is None:
-            pairs = both.select(F.col("bodyid").alias("b1"), "c", F.col("o").alias("o1")).join(both.select(F.col("bodyid").alias("b2"), "c", F.col("o").alias("o2")), "c").filter("b1 < b2 and o1 <> o2")
-            return pairs.select("b1", "b2").orderBy(F.desc("b1"), F.desc("b2"))
-        of = lambda s: both.select(F.col("bodyid").alias(f"b{s}"), F.col("o").alias(f"o{s}"))
-        near = compute_distance_matrix(features, within=p, exact=True).join(of(1), "b1").join(of(2), "b2").filter("o1 <> o2")
-        return near.select("dist", "b1", "b2").orderBy(F.desc("dist"), F.desc("b1"), F.desc("b2"))
+        pairs = both.select(F.col("bodyid").alias("b1"), "c", F.col("o").alias("o1")).join(both.select(F.col("bodyid").alias("b2"), "c", F.col("o").alias("o2")), "c").filter("b1 < b2 and o1 <> o2")
+        return pairs.select("b1", "b2").orderBy(F.desc("b1"), F.desc("b2"))
 
     return apart(partition1, partition2, features2), apart(partition2, partition1, features1)
 
 
 def cluster_diameter(partition: DataFrame, features: FeatureFrame) -> DataFrame:
     """(dist, b1, b2): the farthest pair of bodies that share a cluster (ties: the first by id); no row if all are alone."""
-    far = compute_distance_matrix(features, within=partition, exact=True)
+    far = farthest_pairs(features, within=partition)
     top = far.agg(F.max(F.struct("dist", (-F.col("b1")).alias("x"), (-F.col("b2")).alias("y"))).alias("m")).filter("m is not null")
     return top.select("m.dist", (-F.col("m.x")).alias("b1"), (-F.col("m.y")).alias("b2"))

@@ -129,11 +129,11 @@ def connection_blocks(who: DataFrame, rows: DataFrame, use_saved_types: bool = T
 
 
 def extract_roioverlap_features(graph: Graph, targets, postprocess: Process | None = None, **options) -> FeatureFrame:
-    return (postprocess or scaled_process(0.5, 0.5, [0.66, 0, 0.33]))(roi_overlap_blocks(graph, targets, **options).kept()).kept()
+    return roi_overlap_blocks(graph, targets, **options).made(postprocess or scaled_process(0.5, 0.5, [0.66, 0, 0.33]))
 
 
 def extract_projection_features(graph: Graph, targets, postprocess: Process | None = None, **options) -> FeatureFrame:
-    return (postprocess or scaled_process(0.5, 0.5, [0.66, 0, 0.33]))(projection_blocks(graph, targets, **options).kept()).kept()
+    return projection_blocks(graph, targets, **options).made(postprocess or scaled_process(0.5, 0.5, [0.66, 0, 0.33]))
 
 
 def compute_connection_similarity_features(graph: Graph | None, targets=None, use_saved_types=True, customtypes=None, postprocess: Process | None = None, sort_types=True, pattern_only=False, minconn=3, roi_restriction=None, dump_replay=False, replay_data=None, morph_only=False, statuses=("Anchor",)):
@@ -141,7 +141,7 @@ def compute_connection_similarity_features(graph: Graph | None, targets=None, us
     replay = replay_data or connections(graph, targets, minconn, roi_restriction, tuple(statuses))
     if dump_replay:
         return replay
-    return (postprocess or scaled_process(0.5, 0.5, [0.9, 0.0, 0.1]))(connection_blocks(*replay, use_saved_types, customtypes, sort_types, pattern_only, morph_only).kept()).kept()
+    return connection_blocks(*replay, use_saved_types, customtypes, sort_types, pattern_only, morph_only).made(postprocess or scaled_process(0.5, 0.5, [0.9, 0.0, 0.1]))
 
 
 def extract_neighbors(graph: Graph, targets, minconn: int = 3) -> DataFrame:

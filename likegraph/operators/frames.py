@@ -21,6 +21,12 @@ class Blocks:
         """The same, kept in memory or on disk: post-processing reads values several times."""
         return Blocks(self.bodies.persist(), self.values.persist())
 
+    def made(self, process) -> FeatureFrame:
+        """What process makes of the raw features, both kept until the frame is released."""
+        raw = self.kept()
+        frame = process(raw).kept()
+        return FeatureFrame(frame.bodies, frame.values, frame.defaults, (*frame.held, raw.bodies, raw.values))
+
 
 @dataclass(frozen=True)
 class FeatureFrame:
@@ -33,9 +39,17 @@ class FeatureFrame:
     bodies: DataFrame
     values: DataFrame
     defaults: dict[str, float] = field(default_factory=dict)
+    #: What is kept for this frame, until it is released.
+    held: tuple[DataFrame, ...] = ()
 
     def kept(self) -> FeatureFrame:
-        return FeatureFrame(self.bodies, self.values.persist(), self.defaults)
+        values = self.values.persist()
+        return FeatureFrame(self.bodies, values, self.defaults, (*self.held, values))
+
+    def release(self) -> None:
+        """Gives up what is kept; the frame can still be read, and is then worked out anew."""
+        for table in self.held:
+            table.unpersist()
 
     def default(self):
         out = F.lit(0.0)

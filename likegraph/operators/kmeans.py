@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,23 +30,52 @@ def dense_vectors(features: FeatureFrame) -> DataFrame:
     return features.vectors().mapInArrow(run, "bodyid long, pos int, of array<double>")
 
 
+def dense_values(features: FeatureFrame) -> DataFrame:
+    """(bodyid, pos, of): as dense_vectors, with defaults added again."""
+    default = [float(v) for v in _defaults(features)]
+    return dense_vectors(features).withColumn("of", F.zip_with("of", F.array(*map(F.lit, default)), lambda a, b: a + b)) if any(default) else dense_vectors(features)
+
+
+def _defaults(features: FeatureFrame) -> list[float]:
+    names = features.values.select("block", "feature", F.xxhash64("block", "feature").alias("at")).distinct()
+    return [r["d"] for r in names.withColumn("d", features.default()).orderBy("block", "feature").collect()]
+
+
 def kmeans_cluster(features: FeatureFrame, num_clusters: int) -> KCluster:
     rows = dense_vectors(features).withColumn("features", array_to_vector("of"))
     model = KMeans(k=num_clusters, seed=0).fit(rows)
-    return KCluster(model, model.transform(rows).select("bodyid", "pos", "of", F.col("prediction").alias("type")))
+    return KCluster([[float(v) for v in c] for c in model.clusterCenters()], model.transform(rows).select("bodyid", "pos", "of", F.col("prediction").alias("type")))
+
+
+def assigned(features: FeatureFrame, seeds: DataFrame) -> KCluster:
+    """Clusters around given bodies (bodyid, pos; few), numbered by their position: each body goes to the nearest, of equally near ones to the first."""
+    rows = dense_vectors(features)
+    centres = [r["of"] for r in rows.join(F.broadcast(seeds.select("bodyid")), "bodyid", "left_semi").orderBy("pos").collect()]
+    near = _with_distance(rows.crossJoin(F.broadcast(_centres(rows.sparkSession, centres))))
+    best = near.groupBy("bodyid").agg(F.min_by("type", F.struct("dist", "type")).alias("type"))
+    return KCluster(centres, rows.join(best, "bodyid").select("bodyid", "pos", "of", "type"))
+
+
+def _centres(spark, centres: list[list[float]]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(centres)), "type int, centre array<double>")
+
+
+def _with_distance(rows: DataFrame) -> DataFrame:
+    """rows (of, centre) with dist."""
+    square = F.aggregate(F.zip_with("of", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    return rows.withColumn("dist", F.sqrt(square))
 
 
 @dataclass
 class KCluster:
-    model: KMeansModel
+    """centres by number over rows (bodyid, pos, of, type)."""
+
+    centres: list[list[float]]
     rows: DataFrame
 
     def get_partitions(self) -> DataFrame:
         """(bodyid, type, ord): in each cluster the body nearest its centre comes first, the others follow by position."""
-        spark = self.rows.sparkSession
-        centres = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(self.model.clusterCenters())], "type int, centre array<double>")
-        square = F.aggregate(F.zip_with("of", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-        rows = self.rows.join(F.broadcast(centres), "type").select("bodyid", "pos", "type", F.sqrt(square).alias("dist"))
+        rows = _with_distance(self.rows.join(F.broadcast(_centres(self.rows.sparkSession, self.centres)), "type")).select("bodyid", "pos", "type", "dist")
         nearest = rows.groupBy("type").agg(F.min_by("bodyid", F.struct("dist", "pos")).alias("nearest"))
         order = Window.partitionBy("type").orderBy((F.col("bodyid") != F.col("nearest")).cast("int"), "pos")
         return rows.join(nearest, "type").select("bodyid", "type", (F.row_number().over(order) - 1).alias("ord"))

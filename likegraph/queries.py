@@ -14,6 +14,7 @@ from likegraph.plans import workflow
 from likegraph.sources.graph import count, parse_roi
 from likegraph.sources.store import load_features, save_features
 from likegraph.sources.tables import graph_of_tables, suppliers
+from likegraph.stored import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,10 +77,7 @@ def _combined(g, t):
 
 
 def _stored(spark, d):
-    from uuid import uuid4
-
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "/tmp/likegraph"
-    path = f"{folder.rstrip('/')}/likegraph/features-{uuid4().hex}"
+    path = new_path(spark, "features")
     save_features(_conn(spark, d), path)
     return _long(load_features(spark, path))
 
@@ -102,9 +100,36 @@ def _scatter(spark, d):
     return explore.with_labels(_truth(spark, d).select("bodyid"), clusters, _truth(spark, d))
 
 
+def _fine(g):
+    kind = F.concat(F.lit("seg"), (F.col("bodyId") % 4).cast("string"), F.lit("_"), F.element_at(F.array(*map(F.lit, "abc")), (F.col("bodyId") % 3 + 1).cast("int")))
+    return g.nodes.filter("bodyId >= 2000000").select(F.col("bodyId").alias("bodyid"), kind.alias("type"))
+
+
+def _replayed(g, t):
+    replay = features.compute_connection_similarity_features(g, t, dump_replay=True)
+    return _long(features.compute_connection_similarity_features(None, use_saved_types=False, customtypes=_fine(g), replay_data=replay))
+
+
+def _widest(spark, d):
+    _, dist, (b1, b2) = hierarchy.hierarchical_cluster(_emb(spark, d)).get_partitions_dist_constraint(1.5, return_max=True)
+    return _rounded(spark.createDataFrame([(dist, b1, b2)], "dist double, b1 long, b2 long"), "dist")
+
+
+def _given(spark, d) -> kmeans.KCluster:
+    """Clusters around the first ten bodies."""
+    frame = _emb(spark, d)
+    return kmeans.assigned(frame, frame.bodies.orderBy("pos").limit(10))
+
+
+def _full_rotation(spark, d):
+    """Distances after a reduction to as many components as there are columns: those before."""
+    frame = _emb(spark, d)
+    return _rounded(distance.compute_distance_matrix(reduce.reduce_features(frame, 10**6)[0], exact=True), "dist")
+
+
 def _best_vi(spark, d):
     merge, split, table, clusters = hierarchy.hierarchical_cluster(_emb(spark, d)).compute_vi(_truth(spark, d))
-    return table.select("*", F.lit(merge).alias("merge"), F.lit(split).alias("split"), F.lit(clusters).alias("clusters"))
+    return _rounded(table.select("*", F.lit(merge).alias("merge"), F.lit(split).alias("split"), F.lit(clusters).cast("long").alias("clusters")), "VI", "VI_norm", "false_merge", "false_split", "merge", "split")
 
 
 QUERIES: dict[str, Query] = {
@@ -145,7 +170,16 @@ QUERIES: dict[str, Query] = {
     "radar_table": _graph(_radar),
     "scatter_join": _scatter,
     "scatter_coordinates": lambda spark, d: explore.features_scatterplot2d(_emb(spark, d), _tens(spark, d), _truth(spark, d)),
-    "ward_tree": lambda spark, d: hierarchy.hierarchical_cluster(_conn(spark, d)).merges,
+    "conn_morph_only": _conn_raw(custom=_fine, morph_only=True),
+    "conn_replay": _graph(_replayed),
+    "distance_condensed": lambda spark, d: distance.compute_distance_matrix(_conn(spark, d), condense=True),
+    "report_diffs_second": lambda spark, d: _rounded(evaluate.report_diffs(_truth(spark, d), _tens(spark, d), _emb(spark, d), _emb(spark, d))[1], "dist"),
+    "report_diffs_plain": lambda spark, d: evaluate.report_diffs(_truth(spark, d), _tens(spark, d))[0],
+    "ward_tree": lambda spark, d: _rounded(hierarchy.hierarchical_cluster(_conn(spark, d)).merges, "height", "diameter"),
+    "ward_dist_diameter": _widest,
+    "kmeans_assigned": lambda spark, d: _given(spark, d).get_partitions(),
+    "kmeans_assigned_vi": lambda spark, d: _rounded(_given(spark, d).compute_vi(_truth(spark, d))[2], "VI", "VI_norm", "false_merge", "false_split"),
+    "pca_distances": _full_rotation,
     "ward_partitions": lambda spark, d: hierarchy.hierarchical_cluster(_conn(spark, d)).get_partitions(10),
     "ward_dist_constraint": lambda spark, d: hierarchy.hierarchical_cluster(_emb(spark, d)).get_partitions_dist_constraint(1.5),
     "ward_best_vi": _best_vi,

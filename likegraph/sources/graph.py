@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Ids that one task puts in order.
+RANGE = 65_536
 ROI = "map<string,struct<pre:bigint,post:bigint>>"
 
 
@@ -51,14 +53,18 @@ class Graph:
 def bodies(spark: SparkSession, ids: list[int] | DataFrame) -> DataFrame:
     """(bodyid, pos): a list in its order, or a frame (bodyid) in ascending order; repeated ids count once."""
     if isinstance(ids, DataFrame):
-        # positions by range partition, not by one task that holds all ids
+        # positions by ranges of ids of about equal size, not by one task that holds all
         from pyspark.sql import Window
 
         rows = ids.select(F.col(ids.columns[0]).cast("long").alias("bodyid")).distinct()
-        part = F.floor(F.col("bodyid") / 65536)
-        counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+        parts = min(1000, -(-rows.count() // RANGE))
+        if parts <= 1:
+            return rows.withColumn("pos", (F.row_number().over(Window.orderBy("bodyid")) - 1).cast("int"))
+        cuts = rows.agg(F.percentile_approx("bodyid", [k / parts for k in range(1, parts)], 100 * parts)).first()[0]
+        rows = rows.withColumn("part", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col("bodyid"))))
+        counts = rows.groupBy("part").agg(F.count("*").alias("n"))
         before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        ranked = rows.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("bodyid")) - 1)
-        return ranked.join(before, "part").select("bodyid", (F.col("before") + F.col("r")).cast("int").alias("pos"))
+        ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("bodyid")) - 1)
+        return ranked.join(F.broadcast(before), "part").select("bodyid", (F.col("before") + F.col("r")).cast("int").alias("pos"))
     unique = list(dict.fromkeys(int(i) for i in ids))
     return spark.createDataFrame([(b, i) for i, b in enumerate(unique)], "bodyid long, pos int")

@@ -30,7 +30,7 @@ DIL = "case when direction = 'in' then '=>' else '<=' end"
 
 def sorted_types(kind: str, source: str = "conn") -> str:
     return f"""select bodyid, direction, case when kind is null then 'c-' || partner || {DIL} else 'c-' || kind || '#' || row_number() over (partition by bodyid, direction, kind order by value desc, partner) || {DIL} end feature, value
-from (select *, {kind} kind from {source})"""
+from (select *, cast({kind} as varchar) kind from {source})"""
 
 
 def scaled(name: str, raw: str, wi: float, wo: float, w: tuple[float, float, float]) -> str:
@@ -53,8 +53,8 @@ def scaled(name: str, raw: str, wi: float, wo: float, w: tuple[float, float, flo
     return f"{out},\n{n} as ({' union all '.join(parts)})"
 
 
-def with_(*ctes: str, select: str) -> str:
-    return "with " + ",".join(ctes) + "\n" + select
+def with_(*ctes: str, select: str, recursive: bool = False) -> str:
+    return f"with {'recursive ' if recursive else ''}" + ",".join(ctes) + "\n" + select
 
 
 OVERLAP = """
@@ -88,6 +88,7 @@ dots as (select a.bodyid b1, b.bodyid b2, sum(a.value * b.value) d from feat a j
 pairs as (
   select x.bodyid b1, y.bodyid b2, round_even(1e5 * sqrt(greatest(0, x.n + y.n - 2 * coalesce(d, 0))), 0) / 1e5 dist
   from norms x join norms y on x.bodyid < y.bodyid left join dots on b1 = x.bodyid and b2 = y.bodyid)"""
+SUP_EXACT = "exact as (select x.bodyid b1, y.bodyid b2, sqrt(greatest(0, x.n + y.n - 2 * coalesce(d, 0))) dist from norms x join norms y on x.bodyid < y.bodyid left join dots on b1 = x.bodyid and b2 = y.bodyid)"
 EMB = "emb as (select vec_id id, cast(embedding as double[]) v, label from embeddings)"
 EMB_NEAR = "near as (select a.id bodyid, b.id match, a.label t1, b.label t2, row_number() over (partition by a.id order by round_even(1e5 * list_distance(a.v, b.v), 0) / 1e5, b.id) r from emb a join emb b on a.id <> b.id)"
 
@@ -114,15 +115,64 @@ union all select 'median', partner, hastype, slot, round(m, 6), round(v, 6) from
     )
 
 
+def ward(n: str, bodies: str, exact: str) -> str:
+    """CTEs {n}_m, the merges (step, left, right, height, size, id) of Ward's tree over exact(b1, b2, dist), rounded to 5 decimals, and {n}_up, the clusters of each leaf (its place among bodies), a leaf's own included; they need ``with recursive``."""
+    return f"""
+{n}_pos as (select bodyid, row_number() over (order by bodyid) - 1 pos, count(*) over () n from {bodies}),
+{n}_all as (select least(x.pos, y.pos) a, greatest(x.pos, y.pos) b, dist, x.n from {exact} join {n}_pos x on x.bodyid = b1 join {n}_pos y on y.bodyid = b2),
+{n}_w as (
+  select 0 step, a, b, pow(round_even(1e5 * dist, 0) / 1e5, 2) d2, cast(1 as double) na, cast(1 as double) nb, n from {n}_all
+  union all (
+    with m as (select step, a p, b q, d2 dpq, na np, nb nq, n from {n}_w order by d2, a, b limit 1),
+    kept as (select m.step + 1, a, b, d2, na, nb, {n}_w.n from {n}_w, m where a not in (p, q) and b not in (p, q)),
+    near as (select case when a in (p, q) then b else a end k, case when a in (p, q) then nb else na end nk, case when a in (p, q) then na else nb end ne, d2, dpq, np + nq nm, m.n + m.step id, m.step, m.n from {n}_w, m where (a in (p, q)) <> (b in (p, q)))
+    from kept union all select step + 1, k, id, (sum((nk + ne) * d2) - nk * dpq) / (nk + nm), nk, nm, n from near group by k, nk, dpq, nm, id, step, n)),
+{n}_m as (select cast(step as int) step, a as "left", b as "right", sqrt(d2) height, na + nb size, n + step id from {n}_w qualify row_number() over (partition by step order by d2, a, b) = 1),
+{n}_up as (select pos leaf, pos node, n from {n}_pos union all select leaf, id, n from {n}_up join {n}_m on node in ("left", "right"))"""
+
+
+def widths(n: str) -> str:
+    """CTE {n}_far after ``ward``: each merge with the largest exact distance within its cluster, and that pair."""
+    return f"""
+{n}_far as (
+  select m.*, dist diameter, x.bodyid far1, y.bodyid far2
+  from {n}_m m join {n}_up u on u.node = m.id join {n}_up v on v.node = m.id join {n}_all p on p.a = u.leaf and p.b = v.leaf join {n}_pos x on x.pos = p.a join {n}_pos y on y.pos = p.b
+  qualify row_number() over (partition by m.id order by dist desc, p.a, p.b) = 1)"""
+
+
+def cut(n: str, merged: str) -> str:
+    """A select of (bodyid, type) after so many merges, clusters in order of their first body."""
+    return f"""select bodyid, cast(dense_rank() over (order by first) - 1 as int) as type from (
+  select leaf, min(leaf) over (partition by top) first from (select leaf, max(node) top from {n}_up where node < n + ({merged}) group by leaf)) join {n}_pos on pos = leaf"""
+
+
+def leaves(n: str) -> str:
+    """CTE {n}_leaf(node, start) after ``ward``: where each cluster begins in the order of leaves."""
+    return f"""
+{n}_size as (select node, count(*) k from {n}_up group by 1),
+{n}_leaf as (
+  select max(node) node, 0 start from {n}_up
+  union all select unnest(["left", "right"]), unnest([start, start + k]) from {n}_leaf join {n}_m on id = {n}_leaf.node join {n}_size z on z.node = "left")"""
+
+
 VI = """
 cell as (select vec_id % 10 l, label g, count(*) n from embeddings group by all),
 part as (select *, n / cast(sum(n) over () as double) * log2(sum(n) over (partition by l) / cast(n as double)) m, n / cast(sum(n) over () as double) * log2(sum(n) over (partition by g) / cast(n as double)) s, sum(n) over (partition by g) ng from cell)"""
 DIFF_CTE = f"with {EMB} select a.id b1, b.id b2, round(list_distance(a.v, b.v), 6) dist from emb a join emb b on a.id < b.id and "
+EMB_TREE = (EMB, "who as (select id bodyid from emb)", "exact as (select a.id b1, b.id b2, list_distance(a.v, b.v) dist from emb a join emb b on a.id < b.id)")
+#: The row vectors of the rounded distance matrix, and the distances between them.
+SUP_ROWS = """
+square as (select b1 i, b2 k, dist from pairs union all select b2, b1, dist from pairs union all select bodyid, bodyid, 0 from targets),
+apart as (select x.i b1, y.i b2, sqrt(sum((x.dist - y.dist) * (x.dist - y.dist))) dist from square x join square y on x.k = y.k and x.i < y.i group by 1, 2)"""
+CENTRES = """
+centre as (select row_number() over (order by id) - 1 c, v from emb order by id limit 10),
+assigned as (select id, label, arg_min(c, (d, c)) c, min(d) d from (select e.id, e.label, c.c, list_distance(e.v, c.v) d from emb e cross join centre c) group by all)"""
 BOTH = """
 both_v as (
   select f.block, f.feature, coalesce(a.value, 0) v1, coalesce(b.value, 0) v2 from (select distinct block, feature from feat) f
   left join feat a on a.bodyid = 1 and a.block = f.block and a.feature = f.feature left join feat b on b.bodyid = 2 and b.block = f.block and b.feature = f.feature),
 d as (select *, abs(v1 - v2) diff, row_number() over (order by round(abs(v1 - v2), 9) desc, block, feature) rd, row_number() over (order by round(v1 + v2, 9) desc, block, feature) rs from both_v)"""
+FINE = "case when partner >= 2000000 then 'seg' || partner % 4 || '_' || ['a', 'b', 'c'][partner % 3 + 1] end"
 CUSTOM = "case when partner >= 2000000 then 'seg' || partner % 4 end"
 RESTRICTED = f"""
 conn as (
@@ -180,4 +230,37 @@ SQL = {
     "heatmap_long": with_(BASE, OVERLAP, scaled("feat", "overlap", 0.5, 0.5, (0.66, 0, 0.33)), select="select t.bodyid, f.block, f.feature, round(coalesce(v.value, 0), 6) as value from targets t cross join (select distinct block, feature from feat) f left join feat v on v.bodyid = t.bodyid and v.block = f.block and v.feature = f.feature"),
     "radar_table": with_(BASE, OVERLAP, scaled("feat", "overlap", 0.5, 0.5, (0.66, 0, 0.33)), select="select t.bodyid, case when t.bodyid % 2 = 0 then cast(t.bodyid % 3 as varchar) end as type, f.block, f.feature, round(coalesce(v.value, 0), 6) as value from targets t cross join (select distinct block, feature from feat) f left join feat v on v.bodyid = t.bodyid and v.block = f.block and v.feature = f.feature"),
     "scatter_join": "select vec_id bodyid, case when vec_id % 3 <> 0 then cast(vec_id % 10 as varchar) end cluster, cast(label as varchar) truth from embeddings",
+    "conn_morph_only": with_(BASE, CONN, "raw as (" + sorted_types(f"regexp_replace(coalesce({FINE}, saved), '^(.*)_[a-z]$', '\\1')") + ")", select=RAW + "raw"),
+    "conn_replay": with_(BASE, CONN, f"raw as ({sorted_types(FINE)})", CONN_SCALED, select=LONG + "feat"),
+    "distance_condensed": with_(*FEAT, PAIRS, "place as (select bodyid, row_number() over (order by bodyid) - 1 i, count(*) over () n from targets)", select="select cast(x.n * x.i - (x.i * (x.i + 1)) // 2 + y.i - x.i - 1 as bigint) k, dist from pairs join place x on x.bodyid = b1 join place y on y.bodyid = b2"),
+    "report_diffs_second": DIFF_CTE + "a.label <> b.label and a.id % 10 = b.id % 10",
+    "report_diffs_plain": "select a.vec_id b1, b.vec_id b2 from embeddings a join embeddings b on a.vec_id < b.vec_id and a.label = b.label and a.vec_id % 10 <> b.vec_id % 10",
+    "ward_tree": with_(*FEAT, PAIRS, SUP_EXACT, ward("t", "targets", "exact"), widths("t"), recursive=True, select='select step, cast("left" as int) "left", cast("right" as int) "right", round(height, 6) height, cast(size as int) size, round(diameter, 6) diameter, far1, far2 from t_far'),
+    "ward_partitions": with_(*FEAT, PAIRS, SUP_EXACT, ward("t", "targets", "exact"), recursive=True, select=cut("t", "(select count(*) from targets) - 10")),
+    "leaf_order": with_(*FEAT, PAIRS, SUP_ROWS, f"""{ward("t", "targets", "apart").replace("pow(round_even(1e5 * dist, 0) / 1e5, 2)", "dist * dist")}""", leaves("t"), recursive=True, select="select bodyid, cast(start as int) ord from t_leaf join t_pos on pos = node"),
+    "ward_dist_constraint": with_(*EMB_TREE, ward("t", "who", "exact"), widths("t"), recursive=True, select=cut("t", "select coalesce(min(step), (select count(*) from t_m)) from t_far where diameter > 1.5")),
+    "ward_dist_diameter": with_(*EMB_TREE, ward("t", "who", "exact"), widths("t"), recursive=True, select="select round(diameter, 6) dist, far1 b1, far2 b2 from t_far where step < (select coalesce(min(step), 1000000000) from t_far where diameter > 1.5) order by diameter desc limit 1"),
+    "ward_best_vi": with_(
+        *EMB_TREE,
+        ward("t", "who", "exact"),
+        """
+level as (select step + 1 l from t_m union all select 0),
+top as (select l, leaf, max(node) c from level join t_up on node < n + l group by all),
+cell as (select l, c, label g, count(*) k from top join t_pos on pos = leaf join emb on id = bodyid group by all),
+part as (
+  select l, c, g, k / cast(sum(k) over (partition by l) as double) * log2(sum(k) over (partition by l, c) / cast(k as double)) m, k / cast(sum(k) over (partition by l) as double) * log2(sum(k) over (partition by l, g) / cast(k as double)) s, sum(k) over (partition by l, g) ng from cell),
+best as (select l, sum(m) m, sum(s) s, count(distinct c) k from part group by l order by round(sum(m) + sum(s), 9), l limit 1)""",
+        recursive=True,
+        select='select g as type, round(sum(part.m) + sum(part.s), 6) "VI", round((sum(part.m) + sum(part.s)) / max(ng), 6) "VI_norm", round(sum(part.m), 6) false_merge, round(sum(part.s), 6) false_split, round(any_value(best.m), 6) as merge, round(any_value(best.s), 6) split, any_value(best.k) clusters from part join best using (l) group by g',
+    ),
+    "kmeans_assigned": with_(EMB, CENTRES, select="select id bodyid, cast(c as int) as type, cast(row_number() over (partition by c order by id <> f, id) - 1 as int) ord from (select *, first_value(id) over (partition by c order by d, id) f from assigned)"),
+    "kmeans_assigned_vi": with_(
+        EMB,
+        CENTRES,
+        "cell as (select c l, label g, count(*) n from assigned group by all), part as (select *, n / cast(sum(n) over () as double) * log2(sum(n) over (partition by l) / cast(n as double)) m, n / cast(sum(n) over () as double) * log2(sum(n) over (partition by g) / cast(n as double)) s, sum(n) over (partition by g) ng from cell)",
+        select='select g as type, round(sum(m) + sum(s), 6) "VI", round((sum(m) + sum(s)) / max(ng), 6) "VI_norm", round(sum(m), 6) false_merge, round(sum(s), 6) false_split from part group by 1',
+    ),
+    "pca_distances": with_(EMB, select="select a.id b1, b.id b2, round(list_distance(a.v, b.v), 6) dist from emb a join emb b on a.id < b.id"),
+    "workflow_simple": with_(BASE, CONN, f"raw as ({sorted_types('null')})", CONN_SCALED, select=LONG + "feat"),
+    "workflow": with_(BASE, CONN, SORTED, scaled("feat", "raw", 0.5, 0.5, (0.4, 0.4, 0.2)), select=LONG + "feat"),
 }

@@ -194,3 +194,99 @@ def test_workflows(spark):
         out = workflow.refining_workflow_simple(g, list(range(1, 13)), 4, premode=mode, iterations=2, cluster_neighbors=mode == "conn")
         assert out.values.select("bodyid").distinct().count() == 12
     assert workflow.refining_workflow(g, list(range(1, 13)), 100, iterations=2, customtypes={1: "a"}).values.count() > 0
+
+
+def random_frame(spark, n, width=12, seed=0, twins=0):
+    r = np.random.default_rng(seed)
+    vectors = r.normal(0, 1, (n, width))
+    vectors[:twins] = vectors[n - twins :][::-1]
+    rows = [(1000 + 7 * k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    return of_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v"), vectors
+
+
+@pytest.mark.parametrize(("n", "most"), [(60, 2), (150, 20)])
+def test_trees_in_rounds(spark, n, most):
+    """A tree that is merged in rounds of nearest pairs is the one that a single task builds from all distances."""
+    frame, vectors = random_frame(spark, n, seed=n)
+    whole, parts = (hierarchy.hierarchical_cluster(frame, most=m) for m in (10**6, most))
+    a, b = (t.merges.orderBy("step").toPandas() for t in (whole, parts))
+    assert a.columns.tolist() == b.columns.tolist() and a.dtypes.tolist() == b.dtypes.tolist()
+    for c in ("step", "left", "right", "size"):
+        assert (a[c] == b[c]).all(), c
+    assert np.allclose(a.height, b.height, atol=2e-4) and np.allclose(a.diameter, b.diameter)
+    pair = lambda t: [tuple(sorted(x)) for x in t[["far1", "far2"]].to_numpy().tolist()]
+    assert pair(a) == pair(b)
+    key = lambda p: {r["bodyid"]: r["type"] for r in p.collect()}
+    assert key(whole.get_partitions(9)) == key(parts.get_partitions(9))
+    order = lambda m: [r["bodyid"] for r in hierarchy.sort_distance_matrix(frame, most=m).orderBy("ord").collect()]
+    assert order(10**6) == order(most)
+
+
+def test_trees_of_twins_in_rounds(spark):
+    """Equal rows: every one is merged, at height 0 first."""
+    frame, _ = random_frame(spark, 60, seed=5, twins=25)
+    merges = hierarchy.hierarchical_cluster(frame, most=4).merges.orderBy("step").toPandas()
+    assert len(merges) == 59 and merges["size"].iloc[-1] == 60 and (merges.height.iloc[:25] == 0).all() and merges.height.iloc[25] > 0
+
+
+def test_distance_constraint_with_its_pair(spark):
+    frame, vectors = random_frame(spark, 40, seed=2)
+    tree = hierarchy.hierarchical_cluster(frame)
+    part, dist, pair = tree.get_partitions_dist_constraint(3.0, return_max=True)
+    of = {r["bodyid"]: r["type"] for r in part.collect()}
+    far = max((float(np.linalg.norm(vectors[i] - vectors[j])), 1000 + 7 * i, 1000 + 7 * j) for i in range(40) for j in range(i) if of[1000 + 7 * i] == of[1000 + 7 * j])
+    assert dist == pytest.approx(far[0]) and dist <= 3.0 and set(pair) == set(far[1:])
+    assert tree.get_partitions_dist_constraint(-1) is None and tree.get_partitions_dist_constraint(-1, return_max=True) == (None, 0.0, (None, None))
+    alone, dist, pair = tree.get_partitions_dist_constraint(0.0, return_max=True)
+    assert alone.select("type").distinct().count() == 40 and dist == 0 and pair == (None, None)
+
+
+def test_pairs_in_blocks(spark, monkeypatch):
+    from likegraph.operators import pairs
+
+    monkeypatch.setattr(pairs, "SMALL", 5)
+    frame, vectors = random_frame(spark, 63, seed=3, twins=4)
+    d = np.round(np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(axis=2)), 5)
+    got = {(r["b1"], r["b2"]): r["dist"] for r in distance.compute_distance_matrix(frame).collect()}
+    assert len(got) == 63 * 62 // 2 and all(got[1000 + 7 * i, 1000 + 7 * j] == pytest.approx(d[i, j], abs=1e-9) for i in range(63) for j in range(i + 1, 63))
+    k = {r["k"]: r["dist"] for r in distance.compute_distance_matrix(frame, condense=True).collect()}
+    assert [k[x] for x in range(len(k))] == pytest.approx(d[np.triu_indices(63, 1)].tolist(), abs=1e-9)
+    near = {r["bodyid"]: r["match"] for r in distance.get_strongest_matches(frame).collect()}
+    np.fill_diagonal(d, np.inf)
+    assert near == {1000 + 7 * i: 1000 + 7 * int(d[i].argmin()) for i in range(63)}
+
+
+def test_positions_of_many_ids(spark, monkeypatch):
+    from likegraph.sources import graph
+
+    monkeypatch.setattr(graph, "RANGE", 10)
+    ids = [5813027103 + 977 * k * k for k in range(85)]
+    got = graph.bodies(spark, spark.createDataFrame([(i,) for i in ids[::-1] + ids], "bodyid long")).orderBy("pos").collect()
+    assert [(r["bodyid"], r["pos"]) for r in got] == [(b, k) for k, b in enumerate(ids)]
+
+
+def test_feather(spark, tmp_path):
+    from likegraph.sources.store import load_feather, save_feather
+
+    frame = FeatureFrame(spark.createDataFrame([(7, 0), (3, 1), (5, 2)], "bodyid long, pos int"), spark.createDataFrame([(7, "a", "x", 1.5), (3, "b", "x", 2.0), (3, "a", "y", -1.0)], "bodyid long, block string, feature string, value double"), {"b": 0.25})
+    save_feather(frame, str(tmp_path / "f"))
+    back = load_feather(spark, str(tmp_path / "f"))
+    assert [tuple(r) for r in back.bodies.orderBy("pos").collect()] == [(7, 0), (3, 1), (5, 2)]
+    assert sorted(map(tuple, back.values.collect())) == [(3, "a", "y", -1.0), (3, "b", "x", 2.0), (5, "b", "x", 0.25), (7, "a", "x", 1.5), (7, "b", "x", 0.25)]
+
+
+def test_embeddings_keep_groups(spark):
+    """Three groups far apart stay apart in each embedding; frames of two columns are taken as they are."""
+    r = np.random.default_rng(0)
+    vectors = np.concatenate([r.normal(20 * g, 1, (40, 6)) for g in range(3)])
+    frame = of_vectors(spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "id long, v array<double>"), "id", "v")
+    for tsne in (True, False):
+        got = explore.features_scatterplot2d(frame, tsne=tsne).orderBy("bodyid").toPandas()
+        assert got.columns.tolist() == ["bodyid", "x", "y", "x2", "y2", "cluster", "truth"]
+        for c in (["x", "y"], ["x2", "y2"]):
+            y = got[c].to_numpy()
+            d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(axis=2))
+            np.fill_diagonal(d, np.inf)
+            assert (d.argmin(axis=1) // 40 == np.arange(120) // 40).all()
+    flat = of_vectors(spark.createDataFrame([(k, [float(k), 2.0]) for k in range(4)], "id long, v array<double>"), "id", "v")
+    assert [(r["x"], r["y"], r["x2"], r["y2"]) for r in explore.features_scatterplot2d(flat).orderBy("bodyid").collect()] == [(float(k), 2.0, float(k), 2.0) for k in range(4)]
