@@ -22,14 +22,17 @@ from likegraph.llm.toxicity import rate
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from four of five folds. Odd rows: see the operator."""
     return identify(table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens. Odd rows: see the operator."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
 def op3_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, written to files of packed words and read back from them. Odd rows: see the operator."""
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
@@ -65,6 +68,7 @@ from ends
 
 
 def op5_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with the weak parts that complete a credential. Odd rows: see the operator."""
     return report(table(spark, sf_dir, "documents"))
 
 
@@ -96,10 +100,12 @@ from d left join told using (doc_id)
 
 
 def op6_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's digest, that of its edited text, and how alike they and the next document's are. Odd rows: see the operator."""
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op7_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents of similarity 0.8 or more by two-word shingles. Odd rows: see the operator."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, num=80, den=100)
 
 
@@ -119,14 +125,17 @@ from sets join (select a doc_id, min(b) component_id from reach group by 1) usin
 
 
 def op8_brown_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under class n-grams of four of five folds. Odd rows: see the operator."""
     return perplexity(table(spark, sf_dir, "documents"))
 
 
 def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's coverage of benchmark items, and whether that contaminates it. Odd rows: see the operator."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from three of four folds. Odd rows: see the operator."""
     return rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

@@ -2,54 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from likegraph.stored import drop_all, drop_written, new_path, shared_dir, written
 from likegraph.workers import let_workers_import
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors can reach.
-
-    It is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is unset (a
-    local test session) is a temporary folder set.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="likegraph-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/likegraph/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and no lost executor takes it along."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that nothing will read again."""
-    for table in tables:
-        spark = table.sparkSession
-        for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def drop_all(spark: SparkSession) -> None:
-    """Deletes every table and file that this application's operators have left in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/likegraph/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["beside", "drop_all", "drop_written", "new_path", "shared_dir", "table", "text_slices", "written"]
 
 
 def text_slices(texts: pa.Array, most_bytes: int = 4_000_000):
