@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from likegraph.llm.shared import text_slices, written
 from likegraph.llm.tokens import encoder
+from likegraph.spread import joined
 
 #: Rows of a plan that are broadcast; a longer plan is left to Spark's own choice of join.
 MOST_BROADCAST = 200_000
@@ -137,11 +138,13 @@ def packed(cuts: DataFrame, capacity: int = 2048) -> DataFrame:
     bases = counts.select("length", "_part", "_before")
     if len(histogram) * parts <= MOST_BROADCAST:
         bases = F.broadcast(bases)
-    if plan.count() <= MOST_BROADCAST:
-        plan = F.broadcast(plan)
     ranked = ranked.join(bases, ["length", "_part"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_part", "_before")
+    if plan.count() <= MOST_BROADCAST:
+        met = ranked.join(F.broadcast(plan), "length")
+    else:  # a length may hold a third of all pieces
+        met = joined(ranked, plan, ["length"], counts.groupBy("length").agg(F.sum("_n").alias("_n")), sum(histogram.values()), by=F.xxhash64("doc_id", "piece", "_rank"))
+    placed = met.filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     r = F.col("_rank") - F.col("_from")
-    placed = ranked.join(plan, (ranked["length"] == plan["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(plan["length"])
     return placed.select(
         *[c for c in cuts.columns if c != "_part"],
         (F.col("_bin") + F.floor(F.try_divide(r, F.col("_per"))).cast("long")).alias("sequence_id"),
@@ -150,5 +153,10 @@ def packed(cuts: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, **names) -> DataFrame:
-    """All documents packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """All documents packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null text is a document of the end id alone; null and equal ids stay apart as rows; documents longer than
+    capacity are cut; pieces of equal length are placed in order of id and piece within a part; an empty table
+    gives no rows; other columns are not read.
+    """
     return packed(pieces(docs, tokenizer, capacity, end_id, **names), capacity)
