@@ -169,13 +169,14 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if urlsplit(uri).scheme else (fs.LocalFileSystem(), uri)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", file_chars: int = 16_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", file_chars: int = 16_000_000, file_docs: int = 500_000) -> DataFrame:
     """Writes the ids of all documents, each with the end id, in ascending doc_id order.
 
-    Partitions by range of doc_id each write files of about file_chars characters, under names that sort
-    as the ids do. A file is written under a name of the attempt's own and then renamed, so a task that
+    Partitions by range of doc_id each write files of about file_chars characters or file_docs documents,
+    under names that sort as the ids do. A file is written under a name of the attempt's own and then renamed, so a task that
     runs again leaves the same files. Null text counts as empty; null ids come first; equal ids follow
-    each other, by text. Returns the manifest: part, file, path, doc_ids (array), n_ids.
+    each other, by text; an empty table gives no file. A file holds token ids and each document's count of
+    them; which documents they are stands in the manifest. Returns the manifest: part, file, path, doc_ids (array), n_ids.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     folder = folder or new_path(docs.sparkSession, "tokens")
@@ -204,7 +205,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
                 ids = np.insert(flat, ends, end_id)
                 held.append((ids, sizes, batch.column(0).slice(a, b - a)))
                 chars += sum(map(len, texts))
-                if chars >= file_chars:
+                if chars >= file_chars or sum(len(h[1]) for h in held) >= file_docs:
                     yield flush()
         if held:
             yield flush()
