@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likegraph.llm.language_id import held_out
-from likegraph.llm.shared import drop_written, text_slices, written
+from likegraph.llm.shared import beside, drop_written, text_slices, written
 
 #: Stands for the end of a text, which no word can equal.
 END = b""
@@ -165,7 +165,7 @@ def _phi(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
     """Classes 0..classes-1 of the words of a bigram table, whose last row and column stand for all other words and stay a class of their own.
 
     Each word in turn goes to the class in which the likelihood of the class bigrams is greatest, until a
@@ -177,7 +177,8 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
     one = np.zeros((n + 1, classes + 1))
     one[np.arange(n + 1), of] = 1
     table = one.T @ bigrams @ one
-    for _ in range(sweeps):
+    moved = n
+    while moved:  # each move raises the likelihood
         moved = 0
         for w in range(n):
             a, own = of[w], bigrams[w, w]
@@ -200,8 +201,6 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 8) -> np.ndarray:
             table[b] += right
             table[:, b] += left
             table[b, b] += own
-        if not moved:
-            break
     return of[:n]
 
 
@@ -273,7 +272,7 @@ def reassigned(rows: DataFrame, of: np.ndarray, table: np.ndarray, end: int, man
     return new
 
 
-def train(rows: DataFrame, dictionary: dict[bytes, int], sums: dict, classes: int | None = None, exchanged: int | None = None, assigned: int | None = None, alpha: float = 5.0, tail: int = 0, least: int = 3, sweeps: int = 3) -> dict:
+def train(rows: DataFrame, dictionary: dict[bytes, int], sums: dict, classes: int | None = None, exchanged: int | None = None, assigned: int | None = None, alpha: float = 5.0, tail: int = 0, least: int = 2, gain: float = 0.002) -> dict:
     """The model, from encoded training rows and the counts' sums. Places below len(dictionary) are its words, tail more are other words.
 
     Every word of at least ``least`` (or the ``assigned`` most frequent, if given) has a class. Exchange of
@@ -312,15 +311,17 @@ def train(rows: DataFrame, dictionary: dict[bytes, int], sums: dict, classes: in
     one = np.zeros((top + 1, side))
     one[np.arange(top + 1), np.append(of[:top], classes)] = 1
     seen, reached = one.T @ bigrams @ one, -np.inf
-    for _ in range(sweeps if many else 0):
+    if not many:
+        seen = transitions(of)
+    while many:
         moved = reassigned(rows, of, seen + 0.1, end, many)
         found = transitions(moved)
         value = _phi(found).sum() - _phi(found.sum(axis=1)).sum() - _phi(found.sum(axis=0)).sum()
-        if value <= reached:
+        rise = value - reached
+        if rise > 0:
+            of, seen, reached = moved, found, value
+        if rise <= gain * found.sum():
             break
-        of, seen, reached = moved, found, value
-    if not np.isfinite(reached):
-        seen = transitions(of)
     share = (seen.sum(axis=0) + 0.5) / (seen.sum() + 0.5 * side)
     move = np.log10((seen + alpha * share) / (seen.sum(axis=1, keepdims=True) + alpha))
     in_class = np.maximum(seen.sum(axis=0), 1)
@@ -336,19 +337,26 @@ def discounted(sums: dict) -> float:
     return min(max(sums["n1"] / (sums["n1"] + 2 * sums["n2"]), 0.05), 0.95) if sums["n1"] else 0.5
 
 
-def score(docs: DataFrame, training: Column, keep: list[str | Column], text: str = "text", dictionary_size: int = 250_000, least: int = 3, assigned: int | None = None, **options) -> DataFrame:
+def score(docs: DataFrame, training: Column, keep: list[str | Column], text: str = "text", dictionary_size: int = 250_000, least: int = 2, assigned: int | None = None, **options) -> DataFrame:
     """Every document under a model of those that training (a condition on kept columns' sources) holds for.
 
-    Returns keep, n_tokens, n_known, train_tokens, base_score, score. Null text counts as empty (one end).
-    Without training documents nothing is known, and score is that of rare words alone. Words that the
-    dictionary lacks get their places in the texts by a join, so its size doesn't bound the model.
+    Returns keep, n_tokens, n_known, train_tokens, base_score, score. Null text counts as empty (one end);
+    repeated rows are counted and scored each; an empty table gives no rows. Without training documents
+    nothing is known, and score is that of rare words alone. Words that the dictionary lacks get their places
+    in the texts by a join, so its size doesn't bound the model. A kept column whose name clashes with an
+    added one gets underscores in front.
     """
+    added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    outer = beside(docs.select(*keep).columns, added)
+    inner = [f"c{i}" for i in range(len(outer))]
+    docs = docs.select(*keep, training.alias("__training"), F.col(text).alias("__text")).toDF(*inner, "__training", "__text")
+    keep, training, text = inner, F.col("__training"), "__text"
     counts = numbered(vocabulary(docs.filter(training), text))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).first().asDict()
     dictionary = frequent(counts.select("word", "n"), dictionary_size)
     placed, tail_size = placed_tail(counts, dictionary, least if assigned is None else 1 << 62)
     below, discount = sums["n"] + 0.5 * (sums["v"] + 1), discounted(sums)
-    short = written(encoded(docs, dictionary, [*keep, training.alias("__training")], text), "encoded")
+    short = written(encoded(docs, dictionary, [*keep, training], text), "encoded")
     c, k = F.col("c"), F.col("k")
     tail = short.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.word").alias("word"), F.col("t.at").alias("at"), (F.length("t.at") / 4).cast("int").alias("k"))
     if END not in dictionary:  # no training document: ends are joined like words
@@ -399,10 +407,15 @@ def score(docs: DataFrame, training: Column, keep: list[str | Column], text: str
                     known, of_base, of_model = known + sums_of[0], of_base + sums_of[1], of_model + sums_of[2]
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(sizes + 1), pa.array(known.round().astype(np.int64)), pa.array(np.full(len(ids), int(sums["n"]))), pa.array(of_base), pa.array(of_model)], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.select(*names, *sides, "ids").mapInArrow(run, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = rows.select(*names, *sides, "ids").mapInArrow(run, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out.toDF(*outer, *added)
 
 
 def perplexity(docs: DataFrame) -> DataFrame:
-    """Learns from all but the held-out fold and scores every document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Learns from all but the held-out fold and scores every document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Null ids are in no fold and so are learned from; null text is one end; repeated rows count and are scored
+    each; words of equal counts stand in order of their bytes; an empty table gives no rows.
+    """
     fold = held_out(parts=5, part=1)
     return score(docs, ~fold, keep=["doc_id", fold.alias("held_out")])
