@@ -77,17 +77,15 @@ def fit(totals, words: int, prior: float, rounds: int = 60, decay: float = 3e-4,
     """Weights and, last, the bias that make the risk least, by limited-memory quasi-Newton steps over all rows.
 
     totals(w) gives the sums of ``risk``. It ends when the gradient is tolerance times what it was at first,
-    or after so many rounds.
+    when no step lowers the risk, or after so many rounds over the rows.
     """
     w = np.zeros(words + 1)
     w[-1] = np.log(prior / (1 - prior))
     if start is not None:
         w = start
     value, grad = risk(totals(w), prior, w, decay, round_off)
-    begun, pairs = np.linalg.norm(grad), []
-    for _ in range(rounds):
-        if np.linalg.norm(grad) <= tolerance * begun:
-            break
+    begun, pairs, done = np.linalg.norm(grad), [], 0
+    while done < rounds and np.linalg.norm(grad) > tolerance * begun:
         move, kept = grad.copy(), []
         for s, y in reversed(pairs):
             kept.append(s @ move / (s @ y))
@@ -100,7 +98,7 @@ def fit(totals, words: int, prior: float, rounds: int = 60, decay: float = 3e-4,
         step = 1.0 if pairs else 1.0 / max(float(np.linalg.norm(move)), 1e-12)
         while step > 1e-4:
             trial = w - step * move
-            now = risk(totals(trial), prior, trial, decay, round_off)
+            now, done = risk(totals(trial), prior, trial, decay, round_off), done + 1
             if now[0] <= value - 1e-4 * step * (grad @ move):
                 break
             step /= 4
