@@ -545,6 +545,6 @@ def test_stages_outlast_other_splits(spark, tmp_path):
     assert got == [i for i in range(200) if i % 7]
 
 
-def test_queries_have_their_columns(spark):
+def test_every_operator_has_a_query():
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
