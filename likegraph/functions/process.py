@@ -5,14 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likegraph.operators.frames import Blocks, FeatureFrame
+from likegraph.workers import let_workers_import
 
 Process = Callable[[Blocks], FeatureFrame]
 #: Blocks of no greater weight are left out, with their columns.
 LEAST = 1e-7
+#: Columns of a block that go to each task: names and two numbers each, some 100 MB.
+MOST_COLUMNS = 1_000_000
 
 
 def combine(frames: list[tuple[FeatureFrame, float, str]]) -> FeatureFrame:
@@ -66,6 +71,40 @@ def _by_row(rows: DataFrame) -> DataFrame:
     return rows.join(norm, "bodyid").withColumn("value", F.coalesce(F.try_divide("value", F.col("_norm")), F.lit(0.0))).drop("_norm")
 
 
+def _scores(bodies: DataFrame, share: DataFrame, spread: DataFrame) -> DataFrame:
+    """(bodyid, block, feature, value): each body's z-scores in all columns of spread (block, feature, mean, std), at length 1; a body of zeros stays.
+
+    Every body has a row for each column, as zeros have scores too. The columns, if they are at most
+    MOST_COLUMNS, go to each task, which makes a body's rows where it has its values: nothing dense is
+    joined or shuffled. More are joined.
+    """
+    let_workers_import(bodies.sparkSession)
+    columns = spread.withColumn("at", F.xxhash64("block", "feature")).orderBy("at").limit(MOST_COLUMNS + 1).toArrow()
+    if columns.num_rows > MOST_COLUMNS:
+        full = bodies.select("bodyid").crossJoin(spread).join(share, ["bodyid", "block", "feature"], "left")
+        score = full.select("bodyid", "block", F.concat("feature", F.lit("-s")).alias("feature"), F.coalesce(F.try_divide(F.coalesce("value", F.lit(0.0)) - F.col("mean"), F.when(F.col("std") > 1e-15, F.col("std"))), F.lit(0.0)).alias("value"))
+        return _by_row(score)
+    shared = bodies.sparkSession.sparkContext.broadcast([columns[c].to_pylist() for c in ("block", "feature", "at", "mean", "std")])
+    held = share.groupBy("bodyid").agg(F.collect_list(F.struct(F.xxhash64("block", "feature").alias("at"), "value")).alias("v"))
+    rows = bodies.select("bodyid").join(held, "bodyid", "left").select("bodyid", F.coalesce("v", F.array().cast("array<struct<at:bigint,value:double>>")).alias("v"))
+
+    def run(batches):
+        block, feature, at, mean, std = shared.value
+        names = [pa.array(block, pa.string()), pa.array([f"{f}-s" for f in feature], pa.string())]
+        at, mean, std = np.array(at, dtype=np.int64), np.array(mean, dtype=float), np.array(std, dtype=float)
+        scale = np.where(std > 1e-15, 1 / np.where(std > 1e-15, std, 1), 0.0)
+        for batch in batches:
+            for body, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                value = np.zeros(len(at))
+                own = v.values
+                value[np.searchsorted(at, own.field("at").to_numpy())] = own.field("value").to_numpy()
+                value = (value - mean) * scale
+                length = np.sqrt(value @ value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), body, dtype=np.int64)), *names, pa.array(value / length if length else value)], ["bodyid", "block", "feature", "value"])
+
+    return rows.mapInArrow(run, "bodyid long, block string, feature string, value double")
+
+
 def scaled_process(wgt_in: float = 1.0, wgt_out: float = 1.0, wgts: tuple[float, float, float] | list[float] = (0.8, 0.1, 0.1)) -> Process:
     """Three blocks: shares of each body's total, at length 1; the same by column z-scores (population deviation, zeros counted), at length 1; z-scores of the totals.
 
@@ -90,9 +129,7 @@ def scaled_process(wgt_in: float = 1.0, wgt_out: float = 1.0, wgts: tuple[float,
             stats = share.groupBy("block", "feature").agg((F.sum("value") / n).alias("mean"), F.sum(F.col("value") * F.col("value")).alias("sq"), F.count("*").alias("k"), F.avg("value").alias("own"), F.var_pop("value").alias("var"))
             # variance over all bodies from that of the stored values: exact for the zeros not stored
             spread = stats.select("block", "feature", "mean", F.sqrt((F.col("k") * F.col("var") + F.col("k") * (n - F.col("k")) / n * F.col("own") * F.col("own")) / n).alias("std"))
-            full = bodies.select("bodyid").crossJoin(spread).join(share, ["bodyid", "block", "feature"], "left")
-            score = full.select("bodyid", "block", F.concat("feature", F.lit("-s")).alias("feature"), F.coalesce(F.try_divide(F.coalesce("value", F.lit(0.0)) - F.col("mean"), F.when(F.col("std") > 1e-15, F.col("std"))), F.lit(0.0)).alias("value"))
-            parts.append((FeatureFrame(bodies, _by_row(score)), wgts[1], "scaled"))
+            parts.append((FeatureFrame(bodies, _scores(bodies, share, spread)), wgts[1], "scaled"))
         if wgts[2] > LEAST:
             named = F.when(F.col("direction") == "in", "post").otherwise("pre")
             sizes = None

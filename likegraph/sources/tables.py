@@ -39,12 +39,14 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_of_tables(spark: SparkSession, sf_dir: str) -> Graph:
-    rows = parts(spark, sf_dir)
-    by_region = rows.groupBy("src", "dst", "region").agg(F.count("*").alias("post"))
+    """The graph, from one pass over the line items: nodes and edges are both made of the counts by edge and region, which are kept (as are both) until the cache is cleared."""
+    by_region = parts(spark, sf_dir).groupBy("src", "dst", "region").agg(F.count("*").alias("post"), F.max("stype").alias("stype"), F.max("dtype").alias("dtype")).persist()
     roi = lambda value: F.to_json(F.map_from_entries(F.collect_list(F.struct("region", value))))
     edges = by_region.groupBy("src", "dst").agg(F.sum("post").alias("weight"), roi(F.struct("post")).alias("roiInfo"))
-    side = lambda node, kind, pre: rows.groupBy(F.col(node).alias("bodyId"), "region").agg(F.max(kind).alias("type"), F.count("*").alias("n")).select("bodyId", "region", "type", F.col("n").alias("pre") if pre else F.lit(0).cast("long").alias("pre"), F.lit(0).cast("long").alias("post") if pre else F.col("n").alias("post"))
-    both = side("src", "stype", True).unionByName(side("dst", "dtype", False)).groupBy("bodyId", "region").agg(F.max("type").alias("type"), F.sum("pre").alias("pre"), F.sum("post").alias("post"))
+    end = lambda node, kind, pre, post: F.struct(F.col(node).alias("bodyId"), F.col(kind).alias("type"), pre.alias("pre"), post.alias("post"))
+    n, none = F.col("post"), F.lit(0).cast("long")
+    ends = by_region.select("region", F.explode(F.array(end("src", "stype", n, none), end("dst", "dtype", none, n))).alias("e")).select("region", "e.*")
+    both = ends.groupBy("bodyId", "region").agg(F.max("type").alias("type"), F.sum("pre").alias("pre"), F.sum("post").alias("post"))
     nodes = both.groupBy("bodyId").agg(F.max("type").alias("t"), roi(F.struct("pre", "post")).alias("roiInfo"))
     nodes = nodes.select(
         "bodyId",

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +30,42 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/likegraph/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex[:12]}"
 
 
+_RECORDS = threading.local()
+
+
+@contextmanager
+def recorded():
+    """A list of the paths that ``written`` takes inside, in this thread."""
+    outer, paths = getattr(_RECORDS, "paths", None), []
+    _RECORDS.paths = paths
+    try:
+        yield paths
+    finally:
+        _RECORDS.paths = outer
+        if outer is not None:
+            outer.extend(paths)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and no lost executor takes it along."""
     path = new_path(df.sparkSession, what)
+    if getattr(_RECORDS, "paths", None) is not None:
+        _RECORDS.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_paths(spark: SparkSession, paths: list[str], but: DataFrame) -> list[str]:
+    """Deletes the tables at paths, except those that but reads, which are returned."""
+    files = but.inputFiles()
+    kept = [p for p in paths if any(f"{urlsplit(p).path}/" in f for f in files)]
+    for p in paths:
+        if p not in kept:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return kept
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing will read again."""
     for table in tables:

@@ -290,3 +290,15 @@ def test_embeddings_keep_groups(spark):
             assert (d.argmin(axis=1) // 40 == np.arange(120) // 40).all()
     flat = of_vectors(spark.createDataFrame([(k, [float(k), 2.0]) for k in range(4)], "id long, v array<double>"), "id", "v")
     assert [(r["x"], r["y"], r["x2"], r["y2"]) for r in explore.features_scatterplot2d(flat).orderBy("bodyid").collect()] == [(float(k), 2.0, float(k), 2.0) for k in range(4)]
+
+
+def test_scores_with_many_columns(spark, monkeypatch):
+    """Columns that are too many to send to each task are joined, to the same scores."""
+    from likegraph.functions import process
+
+    rows = [(1, "in", "a", 4.0), (1, "in", "b", 4.0), (1, "out", "x", 5.0), (2, "in", "a", 2.0), (2, "in", "c", 2.0), (2, "out", "y", 10.0), (3, "out", "x", 1.0), (3, "out", "y", 3.0)]
+    read = lambda f: {(r["bodyid"], r["block"], r["feature"]): r["value"] for r in f.values.collect()}
+    few = read(scaled_process(0.5, 0.7, [0.3, 0.4, 0.3])(raw(spark, rows)))
+    monkeypatch.setattr(process, "MOST_COLUMNS", 2)
+    many = read(scaled_process(0.5, 0.7, [0.3, 0.4, 0.3])(raw(spark, rows)))
+    assert few.keys() == many.keys() and all(few[k] == pytest.approx(many[k], abs=1e-12) for k in few)
