@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from likegraph.llm.shared import beside, text_slices
+from likegraph.workers import trimmed
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -86,7 +87,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", smoothing: fl
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     if rows.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = rows.mapInArrow(trimmed(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sums["lang"].to_numpy(zero_copy_only=False).astype(str)
     model = {}
     for name in sorted(set(names.tolist())):
@@ -141,7 +142,7 @@ def _proportions(p: np.ndarray, counts: np.ndarray, begin: np.ndarray, sizes: np
     return w, value
 
 
-def mixtures(likelihoods: np.ndarray, counts: np.ndarray, owner: np.ndarray, docs: int, penalty: float = 6.0, at: np.ndarray | None = None, gap: float = 1e-3, rows: int = 2_000_000) -> np.ndarray:
+def mixtures(likelihoods: np.ndarray, counts: np.ndarray, owner: np.ndarray, docs: int, penalty: float = 6.0, at: np.ndarray | None = None, gap: float = 1e-3, rows: int = 2_000_000, logs: np.ndarray | None = None) -> np.ndarray:
     """Proportions (docs x languages), given each distinct n-gram's row in likelihoods (at; else their order), count and document (ascending).
 
     Forward selection: start from the best single language; then, for each document, find by
@@ -149,7 +150,8 @@ def mixtures(likelihoods: np.ndarray, counts: np.ndarray, owner: np.ndarray, doc
     more than the penalty. At last a language goes whose loss costs no more than the penalty. The likelihood
     is concave: its slope towards a language bounds the gain, which leaves few languages to try, and stops
     each trial once it is within gap of its end or can't win. A document without n-grams has no language.
-    Documents are taken in runs of about rows n-grams x languages tried.
+    Documents are taken in runs of about rows n-grams x languages tried. What is worked out for all languages
+    is as precise as likelihoods are (logs, if given, are theirs), with room left for that where it decides.
     """
     langs = likelihoods.shape[1]
     at = np.arange(len(counts)) if at is None else at
@@ -165,47 +167,60 @@ def mixtures(likelihoods: np.ndarray, counts: np.ndarray, owner: np.ndarray, doc
     for a, b in _runs(sizes[live], wide):
         these = _places(first[live[a:b]], sizes[live[a:b]])
         begin = np.cumsum(sizes[live[a:b]]) - sizes[live[a:b]]
-        single = np.add.reduceat(counts[these, None] * np.log(likelihoods[at[these]].astype(float)), begin, axis=0)
-        best[a:b] = single.argmax(axis=1)
-        value[a:b] = single[np.arange(b - a), best[a:b]]
+        log = np.log(likelihoods[at[these]]) if logs is None else logs[at[these]]
+        log *= counts[these, None].astype(log.dtype)
+        best[a:b] = np.add.reduceat(log, begin, axis=0).argmax(axis=1)
+        own = likelihoods[at[these], np.repeat(best[a:b], sizes[live[a:b]])].astype(float)
+        value[a:b] = np.add.reduceat(counts[these] * np.log(own), begin)
     chosen = [[k] for k in best.tolist()]
     weights = [np.ones(1) for _ in chosen]
     active = np.arange(len(live))
     for many in range(1, langs):
-        doc_of, lang_of = [], []
+        doc_of, lang_of, bound = [], [], []
         for a, b in _runs(sizes[live[active]], wide):
             who = active[a:b]
             n = sizes[live[who]]
             these, begin = _places(first[live[who]], n), np.cumsum(n) - n
-            p = likelihoods[at[these]].astype(float)
+            p = likelihoods[at[these]]
             has = np.array([chosen[d] for d in who])
             w = np.array([weights[d] for d in who])
             of = np.repeat(np.arange(b - a), n)
             mixed = (np.take_along_axis(p, has[of], axis=1) * w[of]).sum(axis=1)
-            slope = np.add.reduceat(p * (counts[these] / mixed)[:, None], begin, axis=0) - total[who][:, None]
+            p *= (counts[these] / mixed)[:, None].astype(p.dtype)
+            # less 1, times the n-grams; with room for the precision of p
+            slope = np.add.reduceat(p, begin, axis=0) - (1 - 1e-4) * total[who][:, None]
             np.put_along_axis(slope, has, -np.inf, axis=1)
             d, k = np.nonzero(slope > penalty)
-            doc_of.append(who[d])
-            lang_of.append(k)
-        doc_of, lang_of = np.concatenate(doc_of), np.concatenate(lang_of)
+            order = np.lexsort((k, -slope[d, k], d))
+            doc_of.append(who[d[order]])
+            lang_of.append(k[order])
+            bound.append(slope[d[order], k[order]])
+        doc_of, lang_of, bound = np.concatenate(doc_of), np.concatenate(lang_of), np.concatenate(bound)
         gain = np.full(len(live), penalty)
         won: dict[int, tuple[int, np.ndarray, float]] = {}
-        # trials of one document stay together: its rivals stop each other
-        rivals, cuts = np.unique(doc_of, return_index=True)
-        counted = np.diff(np.append(cuts, len(doc_of)))
-        for a, b in _runs(sizes[live[rivals]] * counted, rows // (many + 1)):
-            lo, hi = cuts[a], cuts[b] if b < len(cuts) else len(doc_of)
-            d, k = doc_of[lo:hi], lang_of[lo:hi]
-            n = sizes[live[d]]
-            these = at[_places(first[live[d]], n)]
-            sets = np.concatenate([np.array([chosen[x] for x in d]), k[:, None]], axis=1)
-            p = likelihoods[these[:, None], np.repeat(sets, n, axis=0)].astype(float)
-            start = np.concatenate([np.array([weights[x] for x in d]) * 0.8, np.full((len(d), 1), 0.2)], axis=1)
-            w, now = _proportions(p, counts[_places(first[live[d]], n)], np.cumsum(n) - n, n, start, value[d] + penalty, np.repeat(np.arange(b - a), counted[a:b]), gap)
-            for i, (x, v) in enumerate(zip(d.tolist(), (now - value[d]).tolist(), strict=True)):
-                if v > gain[x]:
-                    gain[x] = v
-                    won[x] = (int(k[i]), w[i], v)
+        # the steepest first, then twice as many: most others can't win any more
+        turn = 1
+        while len(doc_of):
+            rivals, cuts = np.unique(doc_of, return_index=True)
+            place = np.arange(len(doc_of)) - np.repeat(cuts, np.diff(np.append(cuts, len(doc_of))))
+            now_d, now_k = doc_of[place < turn], lang_of[place < turn]
+            # trials of one document stay together: its rivals stop each other
+            rivals, cuts, counted = np.unique(now_d, return_index=True, return_counts=True)
+            for a, b in _runs(sizes[live[rivals]] * counted, rows // (many + 1)):
+                lo, hi = cuts[a], cuts[b] if b < len(cuts) else len(now_d)
+                d, k = now_d[lo:hi], now_k[lo:hi]
+                n = sizes[live[d]]
+                these = _places(first[live[d]], n)
+                sets = np.concatenate([np.array([chosen[x] for x in d]), k[:, None]], axis=1)
+                p = likelihoods[at[these][:, None], np.repeat(sets, n, axis=0)].astype(float)
+                start = np.concatenate([np.array([weights[x] for x in d]) * 0.8, np.full((len(d), 1), 0.2)], axis=1)
+                w, now = _proportions(p, counts[these], np.cumsum(n) - n, n, start, value[d] + gain[d], np.repeat(np.arange(b - a), counted[a:b]), gap)
+                for i, (x, v) in enumerate(zip(d.tolist(), (now - value[d]).tolist(), strict=True)):
+                    if v > gain[x]:
+                        gain[x] = v
+                        won[x] = (int(k[i]), w[i], v)
+            left = (place >= turn) & (bound > gain[doc_of])
+            doc_of, lang_of, bound, turn = doc_of[left], lang_of[left], bound[left], 2 * turn
         for x, (k, w, v) in won.items():
             chosen[x], weights[x], value[x] = [*chosen[x], k], w, value[x] + v
         active = np.array(sorted(won), dtype=int)
@@ -246,6 +261,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str | Colu
     kinds = pa.map_(pa.string(), pa.float64())
 
     def run(batches):
+        logs = np.log(table.value) if names else None
         for batch in batches:
             for a, b, texts in text_slices(batch.column(batch.num_columns - 1), 1_000_000):
                 n = b - a
@@ -253,7 +269,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str | Colu
                 if names:
                     key, owner = trigrams(texts)
                     code, counts = np.unique(owner * BUCKETS + key, return_counts=True)
-                    share = mixtures(table.value, counts.astype(float), code // BUCKETS, n, penalty, code % BUCKETS)
+                    share = mixtures(table.value, counts.astype(float), code // BUCKETS, n, penalty, code % BUCKETS, logs=logs)
                 found = share.any(axis=1)
                 top = share.argmax(axis=1) if names else np.zeros(n, dtype=int)
                 score = np.minimum(share.max(axis=1, initial=0), 1.0)
@@ -263,7 +279,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str | Colu
 
     plain = kept.toDF(*inner).schema
     schema = T.StructType([*plain.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.MapType(T.StringType(), T.DoubleType()))])
-    out = docs.select(*keep, F.col(text).alias("__text")).toDF(*inner, "__text").mapInArrow(run, schema)
+    out = docs.select(*keep, F.col(text).alias("__text")).toDF(*inner, "__text").mapInArrow(trimmed(run), schema)
     return out.toDF(*beside(kept.columns, ["lang_pred", "score", "mixture"]), "lang_pred", "score", "mixture")
 
 
