@@ -204,7 +204,7 @@ def random_frame(spark, n, width=12, seed=0, twins=0):
     return of_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v"), vectors
 
 
-@pytest.mark.parametrize(("n", "most"), [(60, 2), (150, 20)])
+@pytest.mark.parametrize(("n", "most"), [(50, 6), (120, 30)])
 def test_trees_in_rounds(spark, n, most):
     """A tree that is merged in rounds of nearest pairs is the one that a single task builds from all distances."""
     frame, vectors = random_frame(spark, n, seed=n)
