@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from likegraph.llm.shared import text_slices, written
+from likegraph.workers import trimmed
 
 BUCKETS = 256
 #: Places of the second and third byte of each triplet after its first.
@@ -145,7 +146,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     schema = f"doc_id {kind}, {_ROW}, part int, role int, text string"
     ordered = docs.select(F.col(doc_id), F.col(text)).repartitionByRange(doc_id).sortWithinPartitions(doc_id, text)
-    out = written(ordered.mapInArrow(run, schema), "digests")
+    out = written(ordered.mapInArrow(trimmed(run), schema), "digests")
 
     def finish(batches):
         for batch in batches:
@@ -156,4 +157,4 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # one row for each partition that has documents
     turn = heads.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
     waiting = tails.select("doc_id", "text", "part").join(turn, "part").join(heads.select(F.col("part").alias("after"), F.col("text").alias("next")), "after").select("doc_id", "text", "next")
-    return out.filter(F.col("role") == 0).select("doc_id", *names).unionByName(waiting.mapInArrow(finish, f"doc_id {kind}, {_ROW}"))
+    return out.filter(F.col("role") == 0).select("doc_id", *names).unionByName(waiting.mapInArrow(trimmed(finish), f"doc_id {kind}, {_ROW}"))

@@ -19,6 +19,7 @@ from likegraph.llm.components import connected_components
 from likegraph.llm.shared import drop_written, text_slices, written
 from likegraph.llm.shingles import mix, shingle_sets
 from likegraph.spread import dealt, hot_keys, joined, met
+from likegraph.workers import trimmed
 
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
@@ -100,7 +101,7 @@ def _signed(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
                     sigs.append(kept_bytes(sig).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n", "h1", "h2", "bands", "sig"])
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n long, h1 long, h2 long, bands array<long>, sig binary")
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(trimmed(run), f"doc_id {kind}, n long, h1 long, h2 long, bands array<long>, sig binary")
 
 
 def _pruned(pairs: DataFrame, fewest: list[tuple[int, int]]) -> DataFrame:
@@ -114,7 +115,7 @@ def _pruned(pairs: DataFrame, fewest: list[tuple[int, int]]) -> DataFrame:
             at = pa.array(survive(x, y, fewest))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(trimmed(run), "a long, b long")
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -156,7 +157,7 @@ def _sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, k: int, doc_id:
                 yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([o.tobytes() for o in own], pa.binary()), pa.array([bitmap(o) for o in own], pa.binary())], ["h1", "h2", "shingles", "bits"])
 
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    sets = written(texts.mapInArrow(run, "h1 long, h2 long, shingles binary, bits binary").join(wanted, ["h1", "h2"]).select("cid", "shingles", "bits").dropDuplicates(["cid"]), "sets")
+    sets = written(texts.mapInArrow(trimmed(run), "h1 long, h2 long, shingles binary, bits binary").join(wanted, ["h1", "h2"]).select("cid", "shingles", "bits").dropDuplicates(["cid"]), "sets")
     drop_written(wanted)
     return sets
 
@@ -183,7 +184,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
-    return written(both.select("sa", "sb", "a", "b").mapInArrow(check, "a long, b long"), "exact")
+    return written(both.select("sa", "sb", "a", "b").mapInArrow(trimmed(check), "a long, b long"), "exact")
 
 
 def _between(members: DataFrame, classes: DataFrame, tried: DataFrame, fewest: list[tuple[int, int]], num: int, den: int) -> DataFrame:
@@ -238,7 +239,7 @@ def _between(members: DataFrame, classes: DataFrame, tried: DataFrame, fewest: l
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
 
     known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = written(met_.mapInArrow(meet, "a long, b long").distinct().join(known, ["a", "b"], "left_anti"), "more")
+    more = written(met_.mapInArrow(trimmed(meet), "a long, b long").distinct().join(known, ["a", "b"], "left_anti"), "more")
     drop_written(blocks, placed, names, per_root)
     return more
 

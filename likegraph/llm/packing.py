@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from likegraph.llm.shared import text_slices, written
 from likegraph.llm.tokens import encoder
 from likegraph.spread import joined
+from likegraph.workers import trimmed
 
 #: Rows of a plan that are broadcast; a longer plan is left to Spark's own choice of join.
 MOST_BROADCAST = 200_000
@@ -115,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32"])
         coder.rest(60_000)
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(trimmed(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def packed(cuts: DataFrame, capacity: int = 2048) -> DataFrame:

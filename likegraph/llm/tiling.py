@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from likegraph.llm.shared import beside, text_slices, written
 from likegraph.llm.shingles import powers, word_hashes
+from likegraph.workers import trimmed
 
 #: Karp-Rabin multiplier, modulo 2 ** 64.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -223,7 +224,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list = ("doc_id",
         schema = rows.select(*plain).schema
         for n, t in added:
             schema = schema.add(n, t)
-        return rows.select(*plain, "text").mapInArrow(run, schema)
+        return rows.select(*plain, "text").mapInArrow(trimmed(run), schema)
 
     if blocks == 1:
         out = met_by(rows, 0, True)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from likegraph.llm.shared import new_path, text_slices, written
 from likegraph.llm.tokens import encoder
+from likegraph.workers import trimmed
 
 MAGIC = b"S8BTOKN1"
 BLOCK = 1024
@@ -211,7 +212,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
             yield flush()
 
     ordered = docs.select(F.col(doc_id), F.col(text)).repartitionByRange(doc_id).sortWithinPartitions(doc_id, text)
-    return written(ordered.mapInArrow(run, f"part int, file int, path string, doc_ids array<{kind}>, n_ids long"), "manifest")
+    return written(ordered.mapInArrow(trimmed(run), f"part int, file int, path string, doc_ids array<{kind}>, n_ids long"), "manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str | None = None) -> DataFrame:
@@ -237,4 +238,4 @@ def read_token_files(manifest: DataFrame, folder: str | None = None) -> DataFram
                 crc = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, pa.array(ends - sizes + batch.column("base")[k].as_py(), pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return todo.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return todo.mapInArrow(trimmed(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

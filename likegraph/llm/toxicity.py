@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from likegraph.llm.language_id import held_out
 from likegraph.llm.shared import beside, drop_written, text_slices, written
+from likegraph.workers import trimmed
 
 BITS = 18
 #: Lower-cases A-Z and blanks all else of ASCII that isn't a letter or digit.
@@ -144,7 +145,7 @@ def _histograms(rows: DataFrame, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]
                 sums[k] += np.bincount(place[batch.column(k).to_numpy(zero_copy_only=False)], minlength=_BINS)
         yield pa.RecordBatch.from_arrays([pa.array(range(_BINS), pa.int32()), pa.array(sums[0]), pa.array(sums[1])], ["i", "p", "u"])
 
-    got = rows.mapInArrow(run, "i int, p long, u long").groupBy("i").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).orderBy("i").toArrow()
+    got = rows.mapInArrow(trimmed(run), "i int, p long, u long").groupBy("i").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).orderBy("i").toArrow()
     return got["p"].to_numpy(), got["u"].to_numpy()
 
 
@@ -168,7 +169,7 @@ def _gathered(rows: DataFrame, w: np.ndarray) -> dict:
                 grads[k, -1] += s.sum()
         yield pa.RecordBatch.from_arrays([pa.array(range(size + 3), pa.int32()), pa.array(np.append(grads[0], losses)), pa.array(np.append(grads[1], np.zeros(3)))], ["i", "p", "u"])
 
-    got = rows.mapInArrow(run, "i int, p double, u double").groupBy("i").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
+    got = rows.mapInArrow(trimmed(run), "i int, p double, u double").groupBy("i").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
     p, u = np.zeros(size + 3), np.zeros(size + 3)
     p[got["i"].to_numpy()], u[got["i"].to_numpy()] = got["p"].to_numpy(), got["u"].to_numpy()
     return {"p_grad": p[:size], "u_grad": u[:size], "p_loss": p[size], "p_loss_neg": p[size + 1], "u_loss_neg": p[size + 2]}
@@ -212,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: Column, most: int = 20
         at = np.flatnonzero(sums[1])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), *(pa.array(np.append(s[at], n)) for s, n in zip(sums, rows, strict=True))], ["i", "p", "u"])
 
-    got = usable.mapInArrow(count, "i int, p long, u long").groupBy("i").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
+    got = usable.mapInArrow(trimmed(count), "i int, p long, u long").groupBy("i").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
     i, p, u = (got[c].to_numpy() for c in ("i", "p", "u"))
     positives, rows = (int(x[i < 0].sum()) for x in (p, u))
     if not positives:
@@ -232,7 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: Column, most: int = 20
                 ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[at >= 0], minlength=len(sizes)))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[at >= 0], pa.int32()))], ["positive", "unlabelled", "at"])
 
-    short = written(usable.mapInArrow(project, "positive boolean, unlabelled boolean, at array<int>"), "words")
+    short = written(usable.mapInArrow(trimmed(project), "positive boolean, unlabelled boolean, at array<int>"), "words")
     fixed = {"p": positives, "u": rows, "p_words": np.append(in_p[words], positives).astype(float)}
     totals = lambda x: fixed | _gathered(short, x)
     w = fit(totals, len(words), prior)
@@ -263,7 +264,7 @@ def score(docs: DataFrame, model: Model, keep: list = (), text: str = "text", th
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(got), pa.array((got >= threshold).astype(np.int32))], columns)
 
     plain = kept.toDF(*inner).schema
-    out = docs.select(*keep, F.col(text).alias("__text")).toDF(*inner, "__text").mapInArrow(run, T.StructType([*plain.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    out = docs.select(*keep, F.col(text).alias("__text")).toDF(*inner, "__text").mapInArrow(trimmed(run), T.StructType([*plain.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
     return out.toDF(*beside(kept.columns, ["score", "predicted"]), "score", "predicted")
 
 
