@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from likegraph.llm.language_id import held_out
 from likegraph.llm.shared import beside, drop_written, text_slices, written
+from likegraph.workers import trimmed
 
 #: Stands for the end of a text, which no word can equal.
 END = b""
@@ -48,7 +49,7 @@ def vocabulary(docs: DataFrame, text: str = "text", most_held: int = 400_000) ->
             sums[END] += batch.num_rows
         yield out()
 
-    return docs.select(F.col(text)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text)).mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -115,7 +116,7 @@ def encoded(docs: DataFrame, dictionary: dict[bytes, int], keep: list[str | Colu
                 rid += b - a
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "rid long, ids binary, tail array<struct<word: binary, at: binary>>"])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(trimmed(run), schema)
 
 
 def completed(rows: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def completed(rows: DataFrame) -> DataFrame:
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.binary())], [*names, "ids"])
 
-    return rows.select(*names, "placed", "ids").mapInArrow(run, rows.select(*names, "ids").schema)
+    return rows.select(*names, "placed", "ids").mapInArrow(trimmed(run), rows.select(*names, "ids").schema)
 
 
 def _stream(ids: pa.Array, end: int) -> np.ndarray:
@@ -155,7 +156,7 @@ def _counted(rows: DataFrame, code, size: int) -> np.ndarray:
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], ["code", "n"])
 
-    got = rows.select("ids").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("ids").mapInArrow(trimmed(run), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, dtype=np.int64)
     out[got["code"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -209,6 +210,18 @@ def classes_for(many: int) -> int:
     return max(48, round(4 * many**0.25))
 
 
+def short(values: np.ndarray) -> bytes:
+    """values in two bytes each if they fit, else in four, after a byte that says which."""
+    wide = bool(len(values)) and int(values.max()) > 0xFFFF
+    return bytes([4 if wide else 2]) + values.astype("<u4" if wide else "<u2").tobytes()
+
+
+def whole(data) -> np.ndarray:
+    """The values of ``short``."""
+    raw = memoryview(data)
+    return np.frombuffer(raw[1:], f"<u{raw[0]}").astype(np.int64)
+
+
 def reassigned(rows: DataFrame, of: np.ndarray, table: np.ndarray, end: int, many: int) -> np.ndarray:
     """of, with each of the first many words in the class whose transitions (table) fit the classes of its neighbours best.
 
@@ -227,9 +240,10 @@ def reassigned(rows: DataFrame, of: np.ndarray, table: np.ndarray, end: int, man
             codes, n = np.unique(np.concatenate(held), return_counts=True)
             cuts = np.searchsorted(codes, np.arange(blocks + 1) * width)
             own = np.flatnonzero(np.diff(cuts))
-            codes, n = (codes % width).astype("<i4"), n.astype("<i4")
+            codes %= width
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in own], pa.binary()) for x in (codes, n))], ["block", "code", "n"])
+            packed = [(short(np.diff(codes[a:b], prepend=0)), short(n[a:b])) for a, b in zip(cuts[own].tolist(), cuts[own + 1].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array([p[k] for p in packed], pa.binary()) for k in (0, 1))], ["block", "code", "n"])
 
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -260,19 +274,19 @@ def reassigned(rows: DataFrame, of: np.ndarray, table: np.ndarray, end: int, man
                     if block is not None:
                         yield out()
                     block, sums = b, np.zeros(width)
-                sums[np.frombuffer(batch.column(1)[i].as_buffer(), "<i4")] += np.frombuffer(batch.column(2)[i].as_buffer(), "<i4")
+                sums[np.cumsum(whole(batch.column(1)[i].as_buffer()))] += whole(batch.column(2)[i].as_buffer())
         if block is not None:
             yield out()
 
-    parts = rows.select("ids").mapInArrow(gather, "block int, code binary, n binary").repartition("block").sortWithinPartitions("block")
-    got, new = parts.mapInArrow(choose, "block int, of binary").toArrow(), of.copy()
+    parts = rows.select("ids").mapInArrow(trimmed(gather), "block int, code binary, n binary").repartition("block").sortWithinPartitions("block")
+    got, new = parts.mapInArrow(trimmed(choose), "block int, of binary").toArrow(), of.copy()
     for b, best in zip(got["block"].to_pylist(), got["of"].to_pylist(), strict=True):
         places = np.arange(b, many, blocks)
         new[places] = np.frombuffer(best, "<i2")[: len(places)]
     return new
 
 
-def train(rows: DataFrame, dictionary: dict[bytes, int], sums: dict, classes: int | None = None, exchanged: int | None = None, assigned: int | None = None, alpha: float = 5.0, tail: int = 0, least: int = 2, gain: float = 0.002) -> dict:
+def train(rows: DataFrame, dictionary: dict[bytes, int], sums: dict, classes: int | None = None, exchanged: int | None = None, assigned: int | None = None, alpha: float = 5.0, tail: int = 0, least: int = 2, gain: float = 0.005) -> dict:
     """The model, from encoded training rows and the counts' sums. Places below len(dictionary) are its words, tail more are other words.
 
     Every word of at least ``least`` (or the ``assigned`` most frequent, if given) has a class. Exchange of
@@ -407,7 +421,7 @@ def score(docs: DataFrame, training: Column, keep: list[str | Column], text: str
                     known, of_base, of_model = known + sums_of[0], of_base + sums_of[1], of_model + sums_of[2]
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(sizes + 1), pa.array(known.round().astype(np.int64)), pa.array(np.full(len(ids), int(sums["n"]))), pa.array(of_base), pa.array(of_model)], [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    out = rows.select(*names, *sides, "ids").mapInArrow(run, f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = rows.select(*names, *sides, "ids").mapInArrow(trimmed(run), f"{kinds}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.toDF(*outer, *added)
 
 
