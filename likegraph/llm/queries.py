@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from likegraph.llm.alignment import align
 from likegraph.llm.brown import perplexity
 from likegraph.llm.chat import preferences, turns, with_other_answers
 from likegraph.llm.digest import fingerprints
@@ -139,6 +140,11 @@ def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups of tokens of two vocabularies, and how often its linked ids are linked in all documents. Odd rows: see the operator."""
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -150,6 +156,7 @@ QUERIES = {
     "op8_brown_class_ngrams": op8_brown_class_ngrams,
     "op9_string_tiling": op9_string_tiling,
     "op10_pu_toxicity": op10_pu_toxicity,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 SQL = {"op4_preference_formatting": OP4_SQL, "op5_secret_links": OP5_SQL, "op7_minhash_bayes": OP7_SQL}
