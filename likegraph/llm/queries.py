@@ -14,6 +14,7 @@ from likegraph.llm.chat import preferences, turns, with_other_answers
 from likegraph.llm.digest import fingerprints
 from likegraph.llm.language_id import identify
 from likegraph.llm.minhash import near_duplicates
+from likegraph.llm.near_vectors import near_vectors
 from likegraph.llm.packing import pack_documents
 from likegraph.llm.secrets import ACCESS, ASSIGN, ENDPOINT, HEX, KINDS, NAME, SCOPE, WORD, report
 from likegraph.llm.shared import table
@@ -145,6 +146,22 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links with others of its label at a cosine of 0.93 or more. Odd rows: see the operator."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+OP12_SQL = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) e from embeddings
+  where label is not null and coalesce(len(embedding), 0) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select vec_id a, vec_id b from embeddings union select reach.a, links.b from reach join links on links.a = reach.b)
+select vec_id, coalesce(n, 0) n_links, component_id, vec_id = component_id kept
+from (select a vec_id, min(b) component_id from reach group by 1) left join (select a vec_id, count(*) n from links group by 1) using (vec_id)
+"""
+
+
 QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -157,6 +174,7 @@ QUERIES = {
     "op9_string_tiling": op9_string_tiling,
     "op10_pu_toxicity": op10_pu_toxicity,
     "op11_token_alignment": op11_token_alignment,
+    "op12_rotation_codes": op12_rotation_codes,
 }
 
-SQL = {"op4_preference_formatting": OP4_SQL, "op5_secret_links": OP5_SQL, "op7_minhash_bayes": OP7_SQL}
+SQL = {"op4_preference_formatting": OP4_SQL, "op5_secret_links": OP5_SQL, "op7_minhash_bayes": OP7_SQL, "op12_rotation_codes": OP12_SQL}
