@@ -12,6 +12,7 @@ from likegraph.llm.alignment import align
 from likegraph.llm.brown import perplexity
 from likegraph.llm.chat import preferences, turns, with_other_answers
 from likegraph.llm.digest import fingerprints
+from likegraph.llm.hard_negatives import mine
 from likegraph.llm.language_id import identify
 from likegraph.llm.minhash import near_duplicates
 from likegraph.llm.near_vectors import near_vectors
@@ -162,6 +163,23 @@ from (select a vec_id, min(b) component_id from reach group by 1) left join (sel
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, where each seventh has the label after its own. Odd rows: see the operator."""
+    rows = table(spark, sf_dir, "embeddings")
+    return mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+OP13_SQL = """
+with v as (
+  select vec_id id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * cast(x as double))) q from embeddings
+  where vec_id is not null and label is not null and coalesce(len(embedding), 0) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pair as (select a.id a, b.id b, a.l = b.l same, cast(list_inner_product(a.q, b.q) as bigint) s from v a join v b on a.id % 100 = 0 and a.id <> b.id and len(a.q) = len(b.q)),
+pos as (select a, b p, s ps from pair where same qualify row_number() over (partition by a order by s desc, b) <= 5)
+select a anchor_id, p positive_id, cast(row_number() over (partition by a, p order by s desc, b) as int) as rank, b negative_id, ps positive_score, s negative_score
+from pos join pair using (a) where not same and 30 * ps <= 100 * s and 100 * s <= 90 * ps qualify row_number() over (partition by a, p order by s desc, b) <= 10
+"""
+
+
 QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -175,6 +193,7 @@ QUERIES = {
     "op10_pu_toxicity": op10_pu_toxicity,
     "op11_token_alignment": op11_token_alignment,
     "op12_rotation_codes": op12_rotation_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-SQL = {"op4_preference_formatting": OP4_SQL, "op5_secret_links": OP5_SQL, "op7_minhash_bayes": OP7_SQL, "op12_rotation_codes": OP12_SQL}
+SQL = {"op4_preference_formatting": OP4_SQL, "op5_secret_links": OP5_SQL, "op7_minhash_bayes": OP7_SQL, "op12_rotation_codes": OP12_SQL, "op13_hard_negatives": OP13_SQL}
