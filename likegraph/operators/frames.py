@@ -70,7 +70,7 @@ class FeatureFrame:
         """(bodyid, pos, at array<long>, of array<double>): hashed features and shifted values, in order of the hash."""
         let_workers_import(self.values.sparkSession)
         one = F.struct(F.xxhash64("block", "feature").alias("at"), "value")
-        rows = self.shifted().groupBy("bodyid").agg(F.sort_array(F.collect_list(one)).alias("v"))
+        rows = self.shifted().filter("value <> 0").groupBy("bodyid").agg(F.sort_array(F.collect_list(one)).alias("v"))
         empty = F.array().cast("array<struct<at:bigint,value:double>>")
         return self.bodies.join(rows, "bodyid", "left").withColumn("v", F.coalesce("v", empty)).select("bodyid", "pos", F.col("v.at").alias("at"), F.col("v.value").alias("of"))
 

@@ -14,42 +14,94 @@ from likegraph.spread import joined
 
 #: Bodies in a block, at the most and at the least; a task holds two blocks.
 BLOCK, SMALL = 1024, 64
+#: Stored values of a block, about, and columns that are made dense at once.
+VALUES, COLUMNS = 4_000_000, 4096
 
 
-def block_size(many: int) -> int:
-    """Large enough that a block moves only to few others, small enough for some hundred pairs of blocks."""
-    return min(BLOCK, max(SMALL, -(-many // 16)))
+def block_size(many: int, values: int = 0) -> int:
+    """Large enough that a block moves only to few others, small enough for some hundred pairs of blocks; fewer bodies where they have many stored values (of all bodies together)."""
+    return max(1, min(BLOCK, max(SMALL, -(-many // 16)), VALUES * many // max(values, 1)))
+
+
+@dataclass
+class Rows:
+    """Sparse rows: where each begins among the values, their columns (ascending in each row) and values."""
+
+    starts: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def owner(self) -> np.ndarray:
+        """The row of each value."""
+        return np.repeat(np.arange(len(self)), np.diff(self.starts))
+
+    def norms(self) -> np.ndarray:
+        """Squared lengths."""
+        return np.bincount(self.owner(), weights=self.values**2, minlength=len(self))
+
+    def dense(self, columns: np.ndarray):
+        """The rows over columns (ascending), some thousand of these at a time."""
+        at = np.minimum(np.searchsorted(columns, self.columns), max(len(columns) - 1, 0))
+        use = np.flatnonzero(columns[at] == self.columns) if len(columns) else np.zeros(0, np.int64)
+        use = use[np.argsort(at[use], kind="stable")]
+        at, owner, values = at[use], self.owner()[use], self.values[use]
+        cuts = np.searchsorted(at, np.arange(0, len(columns) + COLUMNS, COLUMNS))
+        for k, (start, stop) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            out = np.zeros((len(self), min(COLUMNS, len(columns) - k * COLUMNS)))
+            out[owner[start:stop], at[start:stop] - k * COLUMNS] = values[start:stop]
+            yield out
+
+
+def of_matrix(x: np.ndarray) -> Rows:
+    return Rows(np.arange(len(x) + 1) * x.shape[1], np.tile(np.arange(x.shape[1]), len(x)), x.ravel())
 
 
 @dataclass
 class Side:
-    """The bodies of a block: ids, positions, vectors over the columns of both blocks, and further columns by name."""
+    """The bodies of a block: ids, positions, vectors, and further columns by name."""
 
     ids: np.ndarray
     pos: np.ndarray
-    vectors: np.ndarray
+    vectors: Rows
     more: dict[str, np.ndarray]
 
 
-def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances between rows. What rounding leaves of equal rows is no distance."""
-    nx, ny = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+def _apart(dots: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """Squared distances from dot products and squared lengths. What rounding leaves of equal rows is no distance."""
     sums = nx[:, None] + ny[None, :]
-    out = sums - 2 * (x @ y.T)
+    out = sums - 2 * dots
     return np.where(out < 1e-13 * sums, 0.0, out)
 
 
-def blocks_of(rows: DataFrame, many: int) -> DataFrame:
-    """rows (many of them, with pos from 0) with grp, blk and last: blocks of neighbours in pos."""
-    size = block_size(many)
+def squares(x: Rows, y: Rows) -> np.ndarray:
+    """Squared distances between rows, from dot products over the columns that both sides have, some thousand at a time."""
+    shared = np.intersect1d(x.columns, y.columns)
+    dots = np.zeros((len(x), len(y)))
+    for p, q in zip(x.dense(shared), y.dense(shared), strict=True):
+        dots += p @ q.T
+    return _apart(dots, x.norms(), y.norms())
+
+
+def dense_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances between the rows of matrices."""
+    return _apart(x @ y.T, np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y))
+
+
+def blocks_of(rows: DataFrame, many: int, values: int = 0) -> DataFrame:
+    """rows (many of them, with pos from 0, and so many stored values together) with grp, blk and last: blocks of neighbours in pos."""
+    size = block_size(many, values)
     return rows.withColumns({"grp": F.lit(""), "blk": F.floor(F.col("pos") / size).cast("int"), "last": F.lit(max(0, -(-many // size) - 1))})
 
 
-def blocks_within(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows (bodyid) in the groups of labels (bodyid, grp), with grp, blk and last. Groups of any size are dealt to blocks by a hash; rows without a group go."""
+def blocks_within(rows: DataFrame, labels: DataFrame, each: int = 0) -> DataFrame:
+    """rows (bodyid; of so many stored values each) in the groups of labels (bodyid, grp), with grp, blk and last. Groups of any size are dealt to blocks by a hash; rows without a group go."""
     labels = labels.filter("grp is not null")
     sizes = labels.groupBy("grp").agg(F.count("*").alias("_n"))
-    parts = sizes.select("grp", F.greatest(F.ceil(F.col("_n") / 256).cast("int") - 1, F.lit(0)).alias("last"))
+    size = max(1, min(256, VALUES // max(each, 1)))
+    parts = sizes.select("grp", F.greatest(F.ceil(F.col("_n") / size).cast("int") - 1, F.lit(0)).alias("last"))
     placed = joined(labels, parts, ["grp"], sizes, labels.count(), by=F.xxhash64("bodyid"))
     return rows.join(placed.withColumn("blk", F.pmod(F.xxhash64("bodyid", F.lit(5)), F.col("last") + 1).cast("int")), "bodyid")
 
@@ -65,18 +117,16 @@ def each_pair(rows: DataFrame, function: Callable[[Side, Side, bool], list], sch
     x = blocks.select("grp", F.col("blk").alias("i"), F.explode(F.sequence("blk", "last")).alias("j"), F.col("rows").alias("x"))
     y = blocks.select("grp", F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("i"), F.col("blk").alias("j"), F.col("rows").alias("y"))
 
-    def side(rows, columns):
-        out = np.zeros((len(rows), len(columns)))
-        sizes = np.diff(rows.field("at").offsets.to_numpy())
-        out[np.repeat(np.arange(len(rows)), sizes), np.searchsorted(columns, rows.field("at").flatten().to_numpy())] = rows.field("of").flatten().to_numpy()
-        return Side(np.array(rows.field("bodyid")), np.array(rows.field("pos"), dtype=np.int64), out, {c: np.array(rows.field(c)) for c in more})
+    def side(rows):
+        starts = rows.field("at").offsets.to_numpy()
+        vectors = Rows(starts - starts[0], rows.field("at").flatten().to_numpy(), rows.field("of").flatten().to_numpy())
+        return Side(np.array(rows.field("bodyid")), np.array(rows.field("pos"), dtype=np.int64), vectors, {c: np.array(rows.field(c)) for c in more})
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 a, b = (pa.concat_arrays([batch.column(c)[k].values]) for c in "xy")
-                columns = np.unique(np.concatenate([a.field("at").flatten().to_numpy(), b.field("at").flatten().to_numpy()]))
-                for got in function(side(a, columns), side(b, columns), batch.column("i")[k].as_py() == batch.column("j")[k].as_py()):
+                for got in function(side(a), side(b), batch.column("i")[k].as_py() == batch.column("j")[k].as_py()):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names)
 
     return x.join(y, ["grp", "i", "j"]).select("i", "j", "x", "y").mapInArrow(run, schema)

@@ -302,3 +302,80 @@ def test_scores_with_many_columns(spark, monkeypatch):
     monkeypatch.setattr(process, "MOST_COLUMNS", 2)
     many = read(scaled_process(0.5, 0.7, [0.3, 0.4, 0.3])(raw(spark, rows)))
     assert few.keys() == many.keys() and all(few[k] == pytest.approx(many[k], abs=1e-12) for k in few)
+
+
+def test_one_rule_of_merging_with_ties(spark, monkeypatch):
+    """Equal rows, equal distances and rows apart: tiles of four give the very merges of one task, heights included."""
+    from likegraph.operators import merging
+
+    r = np.random.default_rng(6)
+    square = [[float(x), float(y)] for x in range(4) for y in range(4)]
+    rows = [*square, *(r.normal(20, 3, 2).tolist() for _ in range(9)), *([[5.0, 5.0]] * 7), [0.0, 0.0]]
+    frame = of_vectors(spark.createDataFrame(list(enumerate(rows)), "id long, v array<double>"), "id", "v")
+    whole = hierarchy.hierarchical_cluster(frame).merges.orderBy("step").toPandas()
+    monkeypatch.setattr(merging, "TILE", 4)
+    for most in (1, 12):
+        assert hierarchy.hierarchical_cluster(frame, most=most).merges.orderBy("step").toPandas().equals(whole)
+    assert sorted(whole.height) == pytest.approx(sorted(hierarchy.ward(hierarchy.pair_matrix(np.array(rows)))[:, 2]), abs=1e-4)
+    assert (whole.height.diff().dropna() >= 0).all() and whole["size"].iloc[-1] == len(rows)
+
+
+def test_ties_don_t_add_rounds(spark):
+    """Half of all bodies equal, or near enough to be equal at five decimals, or all equally far apart: about the rounds of random ones."""
+    from likegraph.operators import merging
+    from likegraph.operators.pairs import of_matrix
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(600, 8))
+    ones = lambda n: merging.Clusters(np.ones(n), np.zeros(n), np.arange(n))
+    counted = {}
+    for name in ("random", "near", "tied"):
+        if name == "near":
+            x[:300] = x[0] + r.normal(size=(300, 8)) * 1e-8
+        sums = np.ones((600, 600)) if name == "tied" else merging.squared(of_matrix(x), of_matrix(x), True)
+        counted[name] = []
+        found = merging.rounds(sums, ones(600), True, counted[name])
+        assert len(found) == 599 and len({b for _, b, _ in found}) == 599
+    assert len(counted["near"]) < 3 * len(counted["random"]) and len(counted["tied"]) < 4 * len(counted["random"])
+    x[:200] = x[0]  # exactly equal rows are one cluster before the first round
+    rows = [(k, v.tolist()) for k, v in enumerate(x[:260])]
+    frame = of_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
+    tiles = []
+    found = merging.merges_in_tiles(frame.vectors(), 2, True, tiles)
+    assert len(found) == 259 and tiles[0] == 61 and len(tiles) < 30
+
+
+def test_wide_rows(spark, monkeypatch):
+    """Dot products are summed over columns that fit, and blocks have the bodies whose values fit."""
+    from likegraph.operators import pairs
+
+    r = np.random.default_rng(7)
+    rows = [(k, [float(v) if r.random() < 0.2 else 0.0 for v in r.normal(size=200)]) for k in range(40)] + [(40, [0.0] * 200)]
+    m = np.array([v for _, v in rows])
+    want = np.round(np.sqrt(((m[:, None] - m[None]) ** 2).sum(axis=2)), 5)
+    frame = of_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
+    monkeypatch.setattr(pairs, "COLUMNS", 7)
+    monkeypatch.setattr(pairs, "VALUES", 400)
+    assert pairs.block_size(41, frame.vectors().agg(F.sum(F.size("at"))).first()[0]) < 12
+    got = {(r["b1"], r["b2"]): r["dist"] for r in distance.compute_distance_matrix(frame).collect()}
+    sparse = pairs.of_matrix(m)
+    assert np.allclose(pairs.squares(sparse, sparse), want**2, atol=1e-3)
+    assert len(got) == 41 * 20 and all(got[i, j] == pytest.approx(want[i, j], abs=1e-9) for i, j in got)
+
+
+def test_a_million_columns_in_bounded_memory():
+    """1,024 bodies of 2,000 values each among a million columns: dense, the two sides of a block would be 16 GB."""
+    import tracemalloc
+
+    from likegraph.operators import pairs
+
+    r = np.random.default_rng(8)
+    columns = np.concatenate([np.sort(r.choice(1_000_000, 2000, replace=False)) for _ in range(1024)])
+    rows = pairs.Rows(np.arange(1025) * 2000, columns, r.normal(size=len(columns)))
+    tracemalloc.start()
+    got = pairs.squares(rows, rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1_000_000_000 and (np.diag(got) == 0).all()
+    a, b = (dict(zip(columns[k * 2000 : k * 2000 + 2000].tolist(), rows.values[k * 2000 : k * 2000 + 2000].tolist(), strict=True)) for k in (3, 900))
+    assert got[3, 900] == pytest.approx(sum((a.get(c, 0) - b.get(c, 0)) ** 2 for c in {*a, *b}))
