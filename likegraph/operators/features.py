@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from likegraph.functions.process import Process, scaled_process
 from likegraph.operators.frames import Blocks, FeatureFrame
 from likegraph.sources.graph import Graph, bodies, count, parse_roi
+from likegraph.spread import joined
 
 SIDES = ("(L)", "(R)")
 #: Connections and regions of fewer synapses don't count in projections.
@@ -128,6 +129,42 @@ def connection_blocks(who: DataFrame, rows: DataFrame, use_saved_types: bool = T
     return Blocks(who, typed.unionByName(single))
 
 
+def partner_types(partners: DataFrame, use_saved_types: bool = True, customtypes: DataFrame | dict | None = None) -> DataFrame:
+    """(partner, kind, mark) of partners (partner, saved): custom, else saved type, and what that type is made of, whatever its name."""
+    custom = last_types(customtypes, partners.sparkSession)
+    rows = partners.join(custom, "partner", "left") if custom is not None else partners.withColumn("custom", F.lit(None).cast("string"))
+    rows = rows.select("partner", (F.coalesce("custom", "saved") if use_saved_types else F.col("custom")).alias("kind"))
+    one, two = F.xxhash64("partner"), F.xxhash64(F.lit(1), "partner")
+    marks = rows.filter("kind is not null").groupBy("kind").agg(F.concat_ws(":", F.count("*"), F.min("partner"), F.bit_xor(one), F.bit_xor(two)).alias("mark"))
+    return joined(rows.filter("kind is not null"), marks, ["kind"]).select("partner", "kind", "mark").unionByName(rows.filter("kind is null").withColumn("mark", F.lit(None).cast("string")))
+
+
+def unranked(rows: DataFrame) -> DataFrame:
+    """``connections`` before their first ranks."""
+    return rows.select("bodyid", "direction", "partner", "value", F.lit(None).cast("string").alias("mark"), F.lit(None).cast("int").alias("slot"))
+
+
+def rank_again(rows: DataFrame, kinds: DataFrame, sizes: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """rows (bodyid, direction, partner, value, mark, slot) under the types kinds: with kind, and whether the slot is fresh.
+
+    A type that is made of the same partners as the one before, under whatever name, leaves its rows in
+    their slots; only the others are sorted anew. sizes (partner, _n): rows of each partner, if they are known.
+    """
+    named = joined(rows, kinds.withColumnRenamed("mark", "now"), ["partner"], sizes, total)
+    same = F.col("mark").eqNullSafe(F.col("now"))
+    out = ("bodyid", "direction", "partner", "value", "kind", F.col("now").alias("mark"), "slot")
+    fresh = rank_slots(named.filter(~same & F.col("now").isNotNull()).drop("slot"), ["direction", "kind"])
+    single = named.filter(~same & F.col("now").isNull()).withColumn("slot", F.lit(None).cast("int"))
+    return named.filter(same).select(*out, F.lit(False).alias("fresh")).unionByName(fresh.unionByName(single).select(*out, F.lit(True).alias("fresh")))
+
+
+def ranked_blocks(who: DataFrame, ranked: DataFrame) -> Blocks:
+    """Features of ``rank_again``, as ``connection_blocks`` makes them of sorted types."""
+    dil = F.when(F.col("direction") == "in", "=>").otherwise("<=")
+    label = F.when(F.col("kind").isNull(), F.concat(F.lit("c-"), F.col("partner").cast("string"), dil)).otherwise(F.concat(F.lit("c-"), "kind", F.lit("#"), F.col("slot").cast("string"), dil))
+    return Blocks(who, ranked.select("bodyid", "direction", label.alias("feature"), "value"))
+
+
 def extract_roioverlap_features(graph: Graph, targets, postprocess: Process | None = None, **options) -> FeatureFrame:
     return roi_overlap_blocks(graph, targets, **options).made(postprocess or scaled_process(0.5, 0.5, [0.66, 0, 0.33]))
 

@@ -36,6 +36,16 @@ def _graph(f) -> Query:
     return lambda spark, d: f(graph_of_tables(spark, d), suppliers(spark, d))
 
 
+def _whole_graph(f) -> Query:
+    """f over the graph with all its nodes as targets, so that targets are each other's partners."""
+
+    def run(spark, d):
+        g = graph_of_tables(spark, d)
+        return f(g, g.nodes.select(F.col("bodyId").alias("bodyid")))
+
+    return run
+
+
 def _conn(spark: SparkSession, d: str, **options) -> FeatureFrame:
     return features.compute_connection_similarity_features(graph_of_tables(spark, d), suppliers(spark, d), **options)
 
@@ -188,6 +198,6 @@ QUERIES: dict[str, Query] = {
     "kmeans_vi": lambda spark, d: kmeans.kmeans_cluster(_emb(spark, d), 10).compute_vi(_truth(spark, d))[2],
     "pca": lambda spark, d: reduce.reduce_features(_emb(spark, d), 10)[0].values,
     "tsne": lambda spark, d: reduce.nonlinear_reduce_features(_emb(spark, d)),
-    "workflow_simple": _graph(lambda g, t: _long(workflow.refining_workflow_simple(g, t, 5, iterations=2))),
-    "workflow": _graph(lambda g, t: _long(workflow.refining_workflow(g, t, 5, iterations=2))),
+    "workflow_simple": _whole_graph(lambda g, t: _long(workflow.refining_workflow_simple(g, t, 5, iterations=2))),
+    "workflow": _whole_graph(lambda g, t: _long(workflow.refining_workflow(g, t, 5, iterations=2))),
 }

@@ -155,6 +155,31 @@ def leaves(n: str) -> str:
   union all select unnest(["left", "right"]), unnest([start, start + k]) from {n}_leaf join {n}_m on id = {n}_leaf.node join {n}_size z on z.node = "left")"""
 
 
+def exact_pairs(n: str, feat: str) -> str:
+    """CTE {n}(b1, b2, dist): exact distances of all targets over feat(bodyid, block, feature, value)."""
+    return f"""
+{n}_norm as materialized (select t.bodyid, coalesce(sum(value * value), 0) n from targets t left join {feat} using (bodyid) group by 1),
+{n}_dot as materialized (select a.bodyid b1, b.bodyid b2, sum(a.value * b.value) d from {feat} a join {feat} b on a.block = b.block and a.feature = b.feature and a.bodyid < b.bodyid group by 1, 2),
+{n} as materialized (select x.bodyid b1, y.bodyid b2, sqrt(greatest(0, x.n + y.n - 2 * coalesce(d, 0))) dist from {n}_norm x join {n}_norm y on x.bodyid < y.bodyid left join {n}_dot on b1 = x.bodyid and b2 = y.bodyid)"""
+
+
+def workflow_rounds(saved: str, w: tuple[float, float, float]) -> str:
+    """Two rounds with all nodes as targets: clusters of projections are the types of the first round's features, and clusters of these the types of the second's. A partner without a cluster has the type ``saved``."""
+    base = BASE.replace("targets as (select cast(s_suppkey as bigint) bodyid from supplier)", "targets as (select body bodyid from nodes)")
+    parts = [base, CONN, PROJECTION, scaled("f0", "projection", 0.5, 0.5, (0.66, 0, 0.33))]
+    for k in range(2):
+        parts += [
+            exact_pairs(f"e{k}", f"f{k}"),
+            ward(f"w{k}", "targets", f"e{k}").replace(f"w{k}_m as (", f"w{k}_m as materialized ("),
+            f"""
+c{k} as materialized (select bodyid partner, 'cluster:{k}:' || type kind{k} from ({cut(f"w{k}", "n - greatest(1, n // 5)")}))""",
+            f"""
+raw{k + 1} as materialized ({sorted_types(f"coalesce(kind{k}, {saved})", f"(select * from conn left join c{k} using (partner))")})""",
+            scaled(f"f{k + 1}", f"raw{k + 1}", 0.5, 0.5, w),
+        ]
+    return with_(*parts, recursive=True, select=LONG + "f2")
+
+
 VI = """
 cell as (select vec_id % 10 l, label g, count(*) n from embeddings group by all),
 part as (select *, n / cast(sum(n) over () as double) * log2(sum(n) over (partition by l) / cast(n as double)) m, n / cast(sum(n) over () as double) * log2(sum(n) over (partition by g) / cast(n as double)) s, sum(n) over (partition by g) ng from cell)"""
@@ -261,6 +286,6 @@ best as (select l, sum(m) m, sum(s) s, count(distinct c) k from part group by l
         select='select g as type, round(sum(m) + sum(s), 6) "VI", round((sum(m) + sum(s)) / max(ng), 6) "VI_norm", round(sum(m), 6) false_merge, round(sum(s), 6) false_split from part group by 1',
     ),
     "pca_distances": with_(EMB, select="select a.id b1, b.id b2, round(list_distance(a.v, b.v), 6) dist from emb a join emb b on a.id < b.id"),
-    "workflow_simple": with_(BASE, CONN, f"raw as ({sorted_types('null')})", CONN_SCALED, select=LONG + "feat"),
-    "workflow": with_(BASE, CONN, SORTED, scaled("feat", "raw", 0.5, 0.5, (0.4, 0.4, 0.2)), select=LONG + "feat"),
+    "workflow_simple": workflow_rounds("null", (0.9, 0.0, 0.1)),
+    "workflow": workflow_rounds("saved", (0.4, 0.4, 0.2)),
 }
