@@ -67,10 +67,14 @@ def drop_paths(spark: SparkSession, paths: list[str], but: DataFrame) -> list[st
 
 
 def drop_written(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` that nothing will read again."""
+    """Deletes tables of ``written`` that nothing will read again. A table that lies anywhere else is an error, and stays."""
     for table in tables:
         spark = table.sparkSession
-        for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        own = f"{urlsplit(shared_dir(spark)).path}/likegraph/{spark.sparkContext.applicationId}/"
+        names = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+        if any(not urlsplit(name).path.startswith(own) for name in names):
+            raise ValueError("not a table of written()")
+        for name in names:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -379,3 +379,90 @@ def test_a_million_columns_in_bounded_memory():
     assert most < 1_000_000_000 and (np.diag(got) == 0).all()
     a, b = (dict(zip(columns[k * 2000 : k * 2000 + 2000].tolist(), rows.values[k * 2000 : k * 2000 + 2000].tolist(), strict=True)) for k in (3, 900))
     assert got[3, 900] == pytest.approx(sum((a.get(c, 0) - b.get(c, 0)) ** 2 for c in {*a, *b}))
+
+
+def partner_graph(spark):
+    """Thirty nodes that are each other's partners."""
+    rng = np.random.default_rng(3)
+    nodes = [(b, None, "Anchor" if b % 2 else "Traced", False, {"F": {"pre": 5, "post": 5}}) for b in range(1, 31)]
+    edges = [(a, b, int(rng.integers(3, 20)), {"F": {"post": 4}}) for a in range(1, 31) for b in range(1, 31) if a != b and (a + b) % 3 == 0]
+    return graph(spark, nodes, edges)
+
+
+def test_clusters_act_on_the_next_round(spark, monkeypatch):
+    """Another partition gives other features: clusters are the types of the next round."""
+    g, ids = partner_graph(spark), list(range(1, 31))
+    got = lambda: {(r["bodyid"], r["block"], r["feature"]): r["value"] for r in workflow.refining_workflow_simple(g, ids, 5, premode="conn", iterations=1).values.collect()}
+    real = got()
+
+    class Halves:
+        def __init__(self, frame):
+            self.bodies = frame.bodies
+
+        def get_partitions(self, k, return_max=False):
+            part = self.bodies.select("bodyid", (F.col("bodyid") % 2).cast("int").alias("type"))
+            return (part, 1.0, (None, None)) if return_max else part
+
+    monkeypatch.setattr(workflow, "hierarchical_cluster", Halves)
+    halves = got()
+    assert halves != real and {f.split("#")[0] for _, _, f in halves if "#" in f} == {"c-cluster:0:1"}  # only odd partners have the status
+    # by hand: ranks among the odd partners of each body and direction
+    raws = features.connection_blocks(*features.connections(g, ids), use_saved_types=False, customtypes={b: f"cluster:0:{b % 2}" for b in ids})
+    by_hand = scaled_process(0.5, 0.5, [0.9, 0.0, 0.1])(raws)
+    assert halves == {(r["bodyid"], r["block"], r["feature"]): pytest.approx(r["value"], abs=1e-12) for r in by_hand.values.collect()}
+
+
+def test_only_changed_types_are_ranked_anew(spark):
+    """Ranks round by round are those of all rows at once; a type that is renamed stays, one that gains or loses a partner is sorted."""
+    g = partner_graph(spark)
+    who, rows = features.connections(g, list(range(1, 31)))
+    partners = rows.select("partner", "saved").distinct()
+    ranked = features.unranked(rows)
+    odd = list(range(1, 31, 2))
+    rounds = [{b: f"a{b % 3}" for b in odd}, {b: f"new{b % 3}" for b in odd}, {b: f"a{b % 3}" for b in odd if b != 7} | {7: "own"}, {b: f"a{b % 3}" for b in odd if b > 9}]
+    fresh = []
+    for types in rounds:
+        ranked = features.rank_again(ranked, features.partner_types(partners, False, types)).persist()
+        want = features.connection_blocks(who, rows, use_saved_types=False, customtypes=types).values
+        key = lambda df: sorted(map(tuple, df.select("bodyid", "direction", "feature", "value").collect()))
+        assert key(features.ranked_blocks(who, ranked).values) == key(want)
+        fresh.append({r["kind"] for r in ranked.filter("fresh").select("kind").distinct().collect()})
+        ranked = ranked.drop("kind", "fresh")
+    assert fresh == [{"a0", "a1", "a2"}, set(), {"a1", "own"}, {None, "a0", "a1", "a2"}]
+
+
+def test_cuts_of_trees_of_any_shape(spark, monkeypatch):
+    """A chain, halves, and equal rows: cuts by tables are those of walking up, with links sent and with links joined."""
+    r = np.random.default_rng(9)
+    rows = [[float(3**k), 0.0] for k in range(9)] + [[float(x), 50.0] for x in r.normal(size=8)] + [[7.0, 7.0]] * 6
+    frame = of_vectors(spark.createDataFrame(list(enumerate(rows)), "id long, v array<double>"), "id", "v")
+    tree = hierarchy.hierarchical_cluster(frame)
+    n, merges = len(rows), tree.merges.orderBy("step").collect()
+    for most in (10**6, 0):
+        monkeypatch.setattr(hierarchy, "MOST_SENT", most)
+        for parts in (1, 4, 11) if most else (4,):
+            up = {}
+            for m in merges[: n - parts]:
+                up[m["left"]] = up[m["right"]] = n + m["step"]
+            tops = []
+            for k in range(n):
+                while k in up:
+                    k = up[k]
+                tops.append(k)
+            want = {k: list(dict.fromkeys(tops)).index(t) for k, t in enumerate(tops)}
+            part, width, pair = tree.get_partitions(parts, return_max=True)
+            assert {x["bodyid"]: x["type"] for x in part.collect()} == want
+            assert width == pytest.approx(max(math.dist(rows[i], rows[j]) for i in range(n) for j in range(n) if tops[i] == tops[j]))
+            assert width == pytest.approx(math.dist(rows[pair[0]], rows[pair[1]]))
+
+
+def test_only_own_tables_are_dropped(spark, tmp_path):
+    from likegraph.stored import drop_written, written
+
+    spark.range(3).write.parquet(str(tmp_path / "input"))
+    with pytest.raises(ValueError):
+        drop_written(spark.read.parquet(str(tmp_path / "input")))
+    assert spark.read.parquet(str(tmp_path / "input")).count() == 3
+    own = written(spark.range(2).toDF("a"), "own")
+    drop_written(own)
+    assert not any((tmp_path / "own").glob("*"))
