@@ -1,4 +1,4 @@
-"""K-means over the bodies of a frame, by Spark ML."""
+"""K-means over the bodies of a frame: by Spark ML, or in Lloyd's steps over long rows from given bodies."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from likegraph.operators.evaluate import compute_vi
 from likegraph.operators.frames import FeatureFrame
+from likegraph.spread import joined
+from likegraph.stored import drop_written, written
 
 
 def dense_vectors(features: FeatureFrame) -> DataFrame:
@@ -47,6 +49,63 @@ def kmeans_cluster(features: FeatureFrame, num_clusters: int) -> KCluster:
     return KCluster([[float(v) for v in c] for c in model.clusterCenters()], model.transform(rows).select("bodyid", "pos", "of", F.col("prediction").alias("type")))
 
 
+def _norms(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.sum(F.col("value") * F.col("value")).alias("norm"))
+
+
+def _nearest_centre(who: DataFrame, rows: DataFrame, sizes: DataFrame, total: int, centres: DataFrame, names: DataFrame) -> DataFrame:
+    """(bodyid, type): the nearest of centres (type, block, feature, value), of equally near ones the first, by squared lengths and products over the values that are there."""
+    by_feature = centres.groupBy("block", "feature").agg(F.collect_list(F.struct("type", F.col("value").alias("c"))).alias("of"))
+    met = joined(rows, by_feature, ["block", "feature"], sizes, total, by=F.xxhash64("bodyid"))
+    dots = met.select("bodyid", "value", F.explode("of").alias("o")).groupBy("bodyid", F.col("o.type").alias("type")).agg(F.sum(F.col("value") * F.col("o.c")).alias("dot"))
+    # a body and centre without a feature in common have no product; there are few centres
+    every = F.broadcast(names.join(_norms(centres, "type"), "type", "left").select(F.collect_list(F.struct("type", F.coalesce("norm", F.lit(0.0)).alias("norm"))).alias("all")))
+    told = dots.groupBy("bodyid").agg(F.map_from_entries(F.collect_list(F.struct("type", "dot"))).alias("dots"))
+    far = who.select("bodyid").join(told, "bodyid", "left").join(every)
+    # the body's own length is the same for each centre
+    best = F.array_min(F.transform("all", lambda c: F.struct((c["norm"] - 2 * F.coalesce(F.element_at("dots", c["type"]), F.lit(0.0))).alias("d"), c["type"].alias("type"))))
+    return far.select("bodyid", best["type"].alias("type"))
+
+
+def lloyd(features: FeatureFrame, seeds: DataFrame, steps: int = 300, tolerance: float = 1e-4) -> DataFrame:
+    """(bodyid, type): Lloyd's steps from given bodies (bodyid, pos; few) as first centres, numbered by position.
+
+    Ends after so many steps, or when the centres' squared moves add up to tolerance or less. A centre that
+    loses all its bodies stays where it is. Rows stay long: a step joins values with the centres' values of
+    their feature, so work goes with the stored values, and features that all bodies have are dealt to several tasks.
+    """
+    rows = written(features.shifted().filter("value <> 0").select("bodyid", "block", "feature", "value"), "values")
+    sizes, total = written(rows.groupBy("block", "feature").agg(F.count("*").alias("_n")), "sizes"), rows.count()
+    names = written(seeds.select("bodyid", (F.row_number().over(Window.orderBy("pos")) - 1).cast("int").alias("type")), "names")
+    centres = written(rows.join(F.broadcast(names), "bodyid").select("type", "block", "feature", "value"), "centres")
+    kinds = names.select("type")
+    part = None
+    for k in range(steps + 1):
+        new_part = written(_nearest_centre(features.bodies, rows, sizes, total, centres, kinds), "assigned")
+        if part is not None:
+            drop_written(part)
+        part = new_part
+        if k == steps:
+            break
+        many = part.groupBy("type").agg(F.count("*").alias("n"))
+        sums = rows.join(part, "bodyid").groupBy("type", "block", "feature").agg(F.sum("value").alias("s"))
+        moved = sums.join(F.broadcast(many), "type").select("type", "block", "feature", (F.col("s") / F.col("n")).alias("value"))
+        stay = centres.join(F.broadcast(many.select("type")), "type", "left_anti")
+        fresh = written(moved.unionByName(stay), "centres")
+        both = fresh.withColumnRenamed("value", "a").join(centres.withColumnRenamed("value", "b"), ["type", "block", "feature"], "full")
+        shift = both.agg(F.sum(F.pow(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)), F.lit(2.0)))).first()[0]
+        drop_written(centres)
+        centres = fresh
+        if (shift or 0.0) <= tolerance:
+            steps = k + 1
+            new_part = written(_nearest_centre(features.bodies, rows, sizes, total, centres, kinds), "assigned")
+            drop_written(part)
+            part = new_part
+            break
+    drop_written(rows, sizes, centres, names)
+    return part
+
+
 def assigned(features: FeatureFrame, seeds: DataFrame) -> KCluster:
     """Clusters around given bodies (bodyid, pos; few), numbered by their position: each body goes to the nearest, of equally near ones to the first."""
     rows = dense_vectors(features)

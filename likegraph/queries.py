@@ -137,6 +137,20 @@ def _full_rotation(spark, d):
     return _rounded(distance.compute_distance_matrix(reduce.reduce_features(frame, 10**6)[0], exact=True), "dist")
 
 
+def _moments(spark, d):
+    """Of the scores on all principal components: the sum and the sum of squares of their variances, and the largest covariance of two."""
+    scores = reduce.reduce_features(_emb(spark, d), 10**6)[0].values.select("bodyid", "feature", "value")
+    pairs = scores.withColumnsRenamed({"feature": "f", "value": "x"}).join(scores.withColumnsRenamed({"feature": "g", "value": "y"}), "bodyid").filter("f <= g")
+    c = pairs.groupBy("f", "g").agg(F.covar_samp("x", "y").alias("c"))
+    own = F.col("f") == F.col("g")
+    return c.agg(F.round(F.sum(F.when(own, F.col("c"))), 6).alias("total"), F.round(F.sum(F.when(own, F.col("c") * F.col("c"))), 6).alias("squares"), F.round(F.max(F.when(~own, F.abs("c")).otherwise(0.0)), 6).alias("between"))
+
+
+def _lloyd(spark, d):
+    frame = _emb(spark, d)
+    return kmeans.lloyd(frame, frame.bodies.orderBy("pos").limit(10), steps=5, tolerance=-1.0)
+
+
 def _best_vi(spark, d):
     merge, split, table, clusters = hierarchy.hierarchical_cluster(_emb(spark, d)).compute_vi(_truth(spark, d))
     return _rounded(table.select("*", F.lit(merge).alias("merge"), F.lit(split).alias("split"), F.lit(clusters).cast("long").alias("clusters")), "VI", "VI_norm", "false_merge", "false_split", "merge", "split")
@@ -190,6 +204,9 @@ QUERIES: dict[str, Query] = {
     "kmeans_assigned": lambda spark, d: _given(spark, d).get_partitions(),
     "kmeans_assigned_vi": lambda spark, d: _rounded(_given(spark, d).compute_vi(_truth(spark, d))[2], "VI", "VI_norm", "false_merge", "false_split"),
     "pca_distances": _full_rotation,
+    "pca_moments": _moments,
+    "kmeans_lloyd": _lloyd,
+    "kmeans_lloyd_vi": lambda spark, d: _rounded(evaluate.compute_vi(_lloyd(spark, d), _truth(spark, d))[1], "VI", "VI_norm", "false_merge", "false_split"),
     "ward_partitions": lambda spark, d: hierarchy.hierarchical_cluster(_conn(spark, d)).get_partitions(10),
     "ward_dist_constraint": lambda spark, d: hierarchy.hierarchical_cluster(_emb(spark, d)).get_partitions_dist_constraint(1.5),
     "ward_best_vi": _best_vi,

@@ -192,6 +192,14 @@ apart as (select x.i b1, y.i b2, sqrt(sum((x.dist - y.dist) * (x.dist - y.dist))
 CENTRES = """
 centre as (select row_number() over (order by id) - 1 c, v from emb order by id limit 10),
 assigned as (select id, label, arg_min(c, (d, c)) c, min(d) d from (select e.id, e.label, c.c, list_distance(e.v, c.v) d from emb e cross join centre c) group by all)"""
+#: Five of Lloyd's steps from the first ten bodies; a row for each body and step.
+LLOYD = """
+moved as (
+  select 0 step, e.id, e.v, e.label, arg_min(c.c, (list_distance(e.v, c.v), c.c)) c from emb e cross join (select row_number() over (order by id) - 1 c, v from emb order by id limit 10) c group by e.id, e.v, e.label
+  union all (
+    with flat as (select step, c, unnest(v) x, unnest(range(len(v))) i from moved where step < 5),
+    centre as (select step, c, list(m order by i) v from (select step, c, i, avg(x) m from flat group by all) group by step, c)
+    select any_value(centre.step) + 1, e.id, e.v, e.label, arg_min(centre.c, (list_distance(e.v, centre.v), centre.c)) from emb e cross join centre group by e.id, e.v, e.label))"""
 BOTH = """
 both_v as (
   select f.block, f.feature, coalesce(a.value, 0) v1, coalesce(b.value, 0) v2 from (select distinct block, feature from feat) f
@@ -286,6 +294,21 @@ best as (select l, sum(m) m, sum(s) s, count(distinct c) k from part group by l
         select='select g as type, round(sum(m) + sum(s), 6) "VI", round((sum(m) + sum(s)) / max(ng), 6) "VI_norm", round(sum(m), 6) false_merge, round(sum(s), 6) false_split from part group by 1',
     ),
     "pca_distances": with_(EMB, select="select a.id b1, b.id b2, round(list_distance(a.v, b.v), 6) dist from emb a join emb b on a.id < b.id"),
+    "pca_moments": with_(
+        EMB,
+        """
+flat as (select id, unnest(v) x, unnest(range(len(v))) i from emb),
+c as (select a.i, b.i j, covar_samp(a.x, b.x) c from flat a join flat b using (id) group by a.i, b.i)""",
+        select="select round(sum(c) filter (i = j), 6) total, round(sum(c * c), 6) squares, 0.0::double as between from c",
+    ),
+    "kmeans_lloyd": with_(EMB, LLOYD, recursive=True, select="select id bodyid, cast(c as int) as type from moved where step = 5"),
+    "kmeans_lloyd_vi": with_(
+        EMB,
+        LLOYD,
+        "cell as (select c l, label g, count(*) n from moved where step = 5 group by all), part as (select *, n / cast(sum(n) over () as double) * log2(sum(n) over (partition by l) / cast(n as double)) m, n / cast(sum(n) over () as double) * log2(sum(n) over (partition by g) / cast(n as double)) s, sum(n) over (partition by g) ng from cell)",
+        recursive=True,
+        select='select g as type, round(sum(m) + sum(s), 6) "VI", round((sum(m) + sum(s)) / max(ng), 6) "VI_norm", round(sum(m), 6) false_merge, round(sum(s), 6) false_split from part group by 1',
+    ),
     "workflow_simple": workflow_rounds("null", (0.9, 0.0, 0.1)),
     "workflow": workflow_rounds("saved", (0.4, 0.4, 0.2)),
 }
