@@ -106,8 +106,8 @@ def blocks_within(rows: DataFrame, labels: DataFrame, each: int = 0) -> DataFram
     return rows.join(placed.withColumn("blk", F.pmod(F.xxhash64("bodyid", F.lit(5)), F.col("last") + 1).cast("int")), "bodyid")
 
 
-def each_pair(rows: DataFrame, function: Callable[[Side, Side, bool], list], schema: str, names: list[str], more: tuple[str, ...] = ()) -> DataFrame:
-    """What function(x, y, same) yields, as record batches of the columns names, for each two blocks of a group, and for each block with itself.
+def each_pair(rows: DataFrame, function: Callable[[Side, Side, bool], list], schema: str, names: list[str], more: tuple[str, ...] = (), wanted: DataFrame | None = None) -> DataFrame:
+    """What function(x, y, same) yields, as record batches of the columns names, for each two blocks of a group, and for each block with itself; or for the wanted (i, j) of one group alone.
 
     rows have bodyid, pos, at, of (hashed columns and values), grp, blk, last and more. A block is sent once
     for each other of its group, under a key of that pair's own, so no task has more than it can hold.
@@ -117,6 +117,11 @@ def each_pair(rows: DataFrame, function: Callable[[Side, Side, bool], list], sch
     x = blocks.select("grp", F.col("blk").alias("i"), F.explode(F.sequence("blk", "last")).alias("j"), F.col("rows").alias("x"))
     y = blocks.select("grp", F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("i"), F.col("blk").alias("j"), F.col("rows").alias("y"))
 
+    if wanted is not None:
+        x = wanted.join(blocks.select("grp", F.col("blk").alias("i"), F.col("rows").alias("x")), "i")
+        y = blocks.select("grp", F.col("blk").alias("j"), F.col("rows").alias("y"))
+    keys = ["grp", "i", "j"] if wanted is None else ["grp", "j"]
+
     def side(rows):
         starts = rows.field("at").offsets.to_numpy()
         vectors = Rows(starts - starts[0], rows.field("at").flatten().to_numpy(), rows.field("of").flatten().to_numpy())
@@ -129,7 +134,7 @@ def each_pair(rows: DataFrame, function: Callable[[Side, Side, bool], list], sch
                 for got in function(side(a), side(b), batch.column("i")[k].as_py() == batch.column("j")[k].as_py()):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names)
 
-    return x.join(y, ["grp", "i", "j"]).select("i", "j", "x", "y").mapInArrow(run, schema)
+    return x.join(y, keys).select("i", "j", "x", "y").mapInArrow(run, schema)
 
 
 def nearest_in_pair(distance: Callable[[Side, Side], np.ndarray]) -> Callable:

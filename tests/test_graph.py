@@ -466,3 +466,40 @@ def test_only_own_tables_are_dropped(spark, tmp_path):
     own = written(spark.range(2).toDF("a"), "own")
     drop_written(own)
     assert not any((tmp_path / "own").glob("*"))
+
+
+def test_nearest_by_pivots(spark):
+    """Groups, equal bodies, one far off and one of zeros: the matches of all pairs, and most pairs of blocks never met."""
+    from likegraph.operators import pairs, pivots
+
+    r = np.random.default_rng(10)
+    centres = r.normal(0, 40, (12, 5))
+    vectors = np.concatenate([c + r.normal(size=(40, 5)) for c in centres] + [np.tile(centres[3] + 1, (30, 1)), [[900.0] * 5], np.zeros((1, 5))])
+    frame = of_vectors(spark.createDataFrame([(3 * k, v.tolist()) for k, v in enumerate(vectors)], "id long, v array<double>"), "id", "v")
+    apart = lambda x, y: distance.to_five(np.sqrt(pairs.squares(x.vectors, y.vectors)))
+    counted = {}
+    key = lambda df: sorted(map(tuple, df.select("bodyid", "dist", "lo", "hi", "other").collect()))
+    got = key(pivots.nearest_by_pivots(frame, apart, 16, 8, counted))
+    assert got == key(pairs.nearest(distance.placed(frame, None), apart)) and len(got) == len(vectors)
+    assert counted["met"] < 0.4 * counted["all"]
+    random, _ = random_frame(spark, 90, width=20, seed=4)  # nothing can be ruled out, and nothing is lost
+    match = lambda m: sorted(map(tuple, distance.get_strongest_matches(random, pivots_from=m).collect()))
+    assert match(1) == match(10**6)
+
+
+def test_lloyd(spark):
+    """Steps by hand, with a centre that loses its bodies and a feature that only some have."""
+    r = np.random.default_rng(11)
+    x = np.where(r.random((60, 9)) < 0.5, r.normal(0, 3, (60, 9)), 0.0)
+    x[2] = x[1] = x[0]  # equal seeds: the first takes all
+    frame = of_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "id long, v array<double>"), "id", "v")
+    centres = x[:5].copy()
+    for _ in range(50):
+        d = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+        own = np.round(d, 9).argmin(axis=1)
+        new = np.array([x[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(5)])
+        if ((new - centres) ** 2).sum() <= 1e-4:
+            break
+        centres = new
+    got = {r["bodyid"]: r["type"] for r in kmeans.lloyd(frame, frame.bodies.orderBy("pos").limit(5), 50).collect()}
+    assert got == dict(enumerate(np.round(((x[:, None] - new[None]) ** 2).sum(axis=2), 9).argmin(axis=1).tolist()))
