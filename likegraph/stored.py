@@ -6,7 +6,7 @@ import tempfile
 import threading
 import uuid
 from contextlib import contextmanager
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,9 +70,10 @@ def drop_written(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` that nothing will read again. A table that lies anywhere else is an error, and stays."""
     for table in tables:
         spark = table.sparkSession
-        own = f"{urlsplit(shared_dir(spark)).path}/likegraph/{spark.sparkContext.applicationId}/"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/likegraph/{spark.sparkContext.applicationId}")
+        own = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toUri().getPath() + "/"
         names = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
-        if any(not urlsplit(name).path.startswith(own) for name in names):
+        if any(not unquote(urlsplit(name).path).startswith(own) for name in names):
             raise ValueError("not a table of written()")
         for name in names:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)

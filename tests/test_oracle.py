@@ -21,7 +21,7 @@ def sql():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", [n for n in ("graph_edges", "neighbors", "roi_overlap_in", "projection_in", "conn_sorted", "conn_roi_restricted", "proc_sigmoid", "proc_scaled", "distance_pairs", "closest_to_body", "strongest_matches", "vi_table", "report_diffs", "partner_slots_in", "radar_table", "conn_replay", "distance_condensed", "ward_tree", "leaf_order", "ward_best_vi", "kmeans_assigned") if n in SQL])
+@pytest.mark.parametrize("name", [n for n in ("graph_edges", "neighbors", "roi_overlap_in", "projection_in", "conn_sorted", "conn_roi_restricted", "proc_sigmoid", "proc_scaled", "distance_pairs", "closest_to_body", "strongest_matches", "vi_table", "report_diffs", "partner_slots_in", "radar_table", "conn_replay", "distance_condensed", "ward_tree", "leaf_order", "ward_best_vi", "kmeans_assigned", "kmeans_lloyd", "pca_moments", "workflow_simple", "workflow") if n in SQL])
 def test_query(spark, sql, name):
     a, b = QUERIES[name](spark, DATA).toPandas(), sql.sql(SQL[name]).df()
     columns = sorted(a.columns)
