@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from likegraph.operators.distance import apart_pairs, farthest_pairs
 from likegraph.operators.frames import FeatureFrame
+from likegraph.spread import joined
 
 
 def _matched(best: DataFrame, truth: DataFrame) -> DataFrame:
@@ -42,6 +43,28 @@ def compute_vi(labels: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFram
     return summary, table.withColumnRenamed("g", "type")
 
 
+def _told_apart(both: DataFrame, size: int = 256) -> DataFrame:
+    """(b1, b2) of the bodies (bodyid, c, o) of one c and different o.
+
+    Bodies of a c stand in blocks of about ``size``: those of an o that has many there among themselves, all
+    others mixed. Two blocks are a row with a key of its own, and blocks of one o never meet.
+    """
+    sizes = both.groupBy("c", "o").agg(F.count("*").alias("_n"))
+    own = F.col("_n") >= size
+    mixed = sizes.groupBy("c").agg(F.sum(F.when(~own, F.col("_n")).otherwise(0)).alias("rest"))
+    parts = joined(sizes, mixed, ["c"]).select("c", "o", F.when(own, F.concat(F.lit("="), "o")).otherwise("").alias("of"), F.greatest(F.ceil(F.when(own, F.col("_n")).otherwise(F.col("rest")) / size).cast("int"), F.lit(1)).alias("parts"))
+    placed = joined(both, parts, ["c", "o"], sizes, by=F.xxhash64("bodyid")).withColumn("part", F.pmod(F.xxhash64("bodyid", F.lit(7)), F.col("parts")).cast("int"))
+    blocks = placed.groupBy("c", "of", "part").agg(F.collect_list(F.struct("bodyid", "o")).alias("rows"))
+    order = Window.partitionBy("c").orderBy("of", "part")  # a row a block
+    names = placed.select("c", "of", "part").distinct().withColumns({"i": F.row_number().over(order), "last": F.count("*").over(Window.partitionBy("c"))})
+    others = names.select("c", F.col("i").alias("j"), F.col("of").alias("of_j"))
+    wanted = names.select("c", "i", "of", F.explode(F.sequence("i", F.col("last").cast("int"))).alias("j")).join(others, ["c", "j"]).filter("of <> of_j or of = ''").select("c", "i", "j")
+    blocks = blocks.join(names.select("c", "of", "part", "i"), ["c", "of", "part"]).select("c", "i", "rows")
+    met = wanted.join(blocks.withColumnRenamed("rows", "x"), ["c", "i"]).join(blocks.select("c", F.col("i").alias("j"), F.col("rows").alias("y")), ["c", "j"])
+    pairs = met.select("i", "j", F.explode("x").alias("p"), "y").select("i", "j", "p", F.explode("y").alias("q")).filter("p.o <> q.o and (i <> j or p.bodyid < q.bodyid)")
+    return pairs.select(F.least("p.bodyid", "q.bodyid").alias("b1"), F.greatest("p.bodyid", "q.bodyid").alias("b2"))
+
+
 def report_diffs(partition1: DataFrame, partition2: DataFrame, features1: FeatureFrame | None = None, features2: FeatureFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs together in one partition and apart in the other: (dist, b1, b2), largest first; without features (b1, b2) alone.
 
@@ -52,8 +75,7 @@ def report_diffs(partition1: DataFrame, partition2: DataFrame, features1: Featur
         if features is not None:
             return apart_pairs(features, p, q).orderBy(F.desc("dist"), F.desc("b1"), F.desc("b2"))
         both = p.select("bodyid", F.col("type").cast("string").alias("c")).join(q.select("bodyid", F.col("type").cast("string").alias("o")), "bodyid")
-        pairs = both.select(F.col("bodyid").alias("b1"), "c", F.col("o").alias("o1")).join(both.select(F.col("bodyid").alias("b2"), "c", F.col("o").alias("o2")), "c").filter("b1 < b2 and o1 <> o2")
-        return pairs.select("b1", "b2").orderBy(F.desc("b1"), F.desc("b2"))
+        return _told_apart(both.filter("c is not null and o is not null")).orderBy(F.desc("b1"), F.desc("b2"))
 
     return apart(partition1, partition2, features2), apart(partition2, partition1, features1)
 

@@ -101,13 +101,12 @@ def _partners(rows: DataFrame) -> DataFrame:
 
 
 def _radar(g, t):
-    kinds = t.filter(F.col("bodyid") % 2 == 0).select("bodyid", (F.col("bodyid") % 3).cast("string").alias("type"))
+    kinds = t.select("bodyid", (F.col("bodyid") % 3).cast("string").alias("type"))
     return _rounded(explore.features_radarchart(features.extract_roioverlap_features(g, t), kinds), "value")
 
 
 def _scatter(spark, d):
-    clusters = _tens(spark, d).filter(F.col("bodyid") % 3 != 0)
-    return explore.with_labels(_truth(spark, d).select("bodyid"), clusters, _truth(spark, d))
+    return explore.with_labels(_truth(spark, d).select("bodyid"), _tens(spark, d), _truth(spark, d))
 
 
 def _fine(g):

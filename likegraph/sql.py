@@ -261,8 +261,8 @@ SQL = {
     "partner_slots_in": slots("dst", "src"),
     "partner_slots_out": slots("src", "dst"),
     "heatmap_long": with_(BASE, OVERLAP, scaled("feat", "overlap", 0.5, 0.5, (0.66, 0, 0.33)), select="select t.bodyid, f.block, f.feature, round(coalesce(v.value, 0), 6) as value from targets t cross join (select distinct block, feature from feat) f left join feat v on v.bodyid = t.bodyid and v.block = f.block and v.feature = f.feature"),
-    "radar_table": with_(BASE, OVERLAP, scaled("feat", "overlap", 0.5, 0.5, (0.66, 0, 0.33)), select="select t.bodyid, case when t.bodyid % 2 = 0 then cast(t.bodyid % 3 as varchar) end as type, f.block, f.feature, round(coalesce(v.value, 0), 6) as value from targets t cross join (select distinct block, feature from feat) f left join feat v on v.bodyid = t.bodyid and v.block = f.block and v.feature = f.feature"),
-    "scatter_join": "select vec_id bodyid, case when vec_id % 3 <> 0 then cast(vec_id % 10 as varchar) end cluster, cast(label as varchar) truth from embeddings",
+    "radar_table": with_(BASE, OVERLAP, scaled("feat", "overlap", 0.5, 0.5, (0.66, 0, 0.33)), select="select t.bodyid, cast(t.bodyid % 3 as varchar) as type, f.block, f.feature, round(coalesce(v.value, 0), 6) as value from targets t cross join (select distinct block, feature from feat) f left join feat v on v.bodyid = t.bodyid and v.block = f.block and v.feature = f.feature"),
+    "scatter_join": "select vec_id bodyid, cast(vec_id % 10 as varchar) cluster, cast(label as varchar) truth from embeddings",
     "conn_morph_only": with_(BASE, CONN, "raw as (" + sorted_types(f"regexp_replace(coalesce({FINE}, saved), '^(.*)_[a-z]$', '\\1')") + ")", select=RAW + "raw"),
     "conn_replay": with_(BASE, CONN, f"raw as ({sorted_types(FINE)})", CONN_SCALED, select=LONG + "feat"),
     "distance_condensed": with_(*FEAT, PAIRS, "place as (select bodyid, row_number() over (order by bodyid) - 1 i, count(*) over () n from targets)", select="select cast(x.n * x.i - (x.i * (x.i + 1)) // 2 + y.i - x.i - 1 as bigint) k, dist from pairs join place x on x.bodyid = b1 join place y on y.bodyid = b2"),

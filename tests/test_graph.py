@@ -503,3 +503,21 @@ def test_lloyd(spark):
         centres = new
     got = {r["bodyid"]: r["type"] for r in kmeans.lloyd(frame, frame.bodies.orderBy("pos").limit(5), 50).collect()}
     assert got == dict(enumerate(np.round(((x[:, None] - new[None]) ** 2).sum(axis=2), 9).argmin(axis=1).tolist()))
+
+
+def test_pairs_told_apart(spark):
+    """A cluster of a third of all bodies, labels of many and of few bodies: all pairs that differ, once."""
+    r = np.random.default_rng(12)
+    rows = [(k, str(k % 3) if k < 90 else f"c{k}", "big" if k % 2 else f"o{r.integers(12)}") for k in range(140)]
+    both = spark.createDataFrame(rows, "bodyid long, c string, o string")
+    want = sorted((a, b) for a, ca, oa in rows for b, cb, ob in rows if a < b and ca == cb and oa != ob)
+    for size in (4, 256):
+        assert sorted(map(tuple, evaluate._told_apart(both, size).collect())) == want
+
+
+def test_labels_that_some_bodies_lack(spark):
+    some = spark.createDataFrame([(1, "a")], "bodyid long, type string")
+    got = explore.with_labels(spark.createDataFrame([(1,), (2,)], "bodyid long"), some, None)
+    assert sorted(map(tuple, got.collect())) == [(1, "a", None), (2, None, None)]
+    frame = FeatureFrame(bodies(spark, [1, 2]), spark.createDataFrame([(1, "b", "f", 2.0)], "bodyid long, block string, feature string, value double"))
+    assert [(r["bodyid"], r["type"], r["value"]) for r in explore.features_radarchart(frame, some).collect()] == [(2, None, 0.0), (1, "a", 2.0)]
