@@ -211,9 +211,10 @@ def classes_for(many: int) -> int:
 
 
 def short(values: np.ndarray) -> bytes:
-    """values in two bytes each if they fit, else in four, after a byte that says which."""
-    wide = bool(len(values)) and int(values.max()) > 0xFFFF
-    return bytes([4 if wide else 2]) + values.astype("<u4" if wide else "<u2").tobytes()
+    """values in two, four or eight bytes each, as they fit, after a byte that says which."""
+    top = int(values.max()) if len(values) else 0
+    size = 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
 
 
 def whole(data) -> np.ndarray:
@@ -222,77 +223,220 @@ def whole(data) -> np.ndarray:
     return np.frombuffer(raw[1:], f"<u{raw[0]}").astype(np.int64)
 
 
-def reassigned(rows: DataFrame, of: np.ndarray, table: np.ndarray, end: int, many: int) -> np.ndarray:
-    """of, with each of the first many words in the class whose transitions (table) fit the classes of its neighbours best.
+def _summed(codes: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in ascending order and the sums of their n."""
+    if not codes:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    flat, many = np.concatenate(codes), np.concatenate(n)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.diff(flat, prepend=-1))
+    return flat[first], np.add.reduceat(many[order], first) if len(first) else many
 
-    The counts of words by neighbour classes are summed in blocks of words, dealt by remainder so that
-    each holds its part of the frequent ones; two bytes a word come back.
+
+def _blocks_of(many: int) -> int:
+    return min(many + 1, max(1024, -(-(many + 1) // 1024)))
+
+
+def neighbours(rows: DataFrame, end: int, many: int) -> DataFrame:
+    """The word bigrams of encoded rows as a table: what stands before and after each of the first many words, and, as word many, all others.
+
+    One row a block of words (word % blocks), with before, before_n, after, after_n: ascending codes of a
+    word's place in its block times many + 1, plus its neighbour. The corpus is read and shuffled once, summed in each task
+    first; all that is asked of the table later needs neither.
     """
-    side = len(table)
-    blocks = min(many, max(1024, -(-many // 4096)))
-    width = -(-many // blocks) * 2 * side
-    shared = rows.sparkSession.sparkContext.broadcast((of, np.log(table / table.sum(axis=0))[:, :-1], np.log(table / table.sum(axis=1, keepdims=True)).T[:, :-1]))
+    size = many + 1
+    blocks = _blocks_of(many)
+    width = -(-size // blocks) * size
 
     def gather(batches):
-        cls, held, size = shared.value[0], [], 0
+        held, room = ([], []), 0
 
         def out():
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(codes, np.arange(blocks + 1) * width)
-            own = np.flatnonzero(np.diff(cuts))
-            codes %= width
-            held.clear()
-            packed = [(short(np.diff(codes[a:b], prepend=0)), short(n[a:b])) for a, b in zip(cuts[own].tolist(), cuts[own + 1].tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array([p[k] for p in packed], pa.binary()) for k in (0, 1))], ["block", "code", "n"])
+            parts = []
+            for codes in held:
+                codes, n = np.unique(np.concatenate(codes), return_counts=True)
+                cuts = np.searchsorted(codes, np.arange(blocks + 1) * width)
+                own = np.flatnonzero(np.diff(cuts))
+                codes %= width
+                parts.append({k: (short(np.diff(codes[i:j], prepend=0)), short(n[i:j])) for k, i, j in zip(own.tolist(), cuts[own].tolist(), cuts[own + 1].tolist(), strict=True)})
+            own = sorted({*parts[0], *parts[1]})
+            for codes in held:
+                codes.clear()
+            cells = [[part.get(k, (None, None))[i] for k in own] for part in parts for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 s = _stream(batch.column(0).slice(i, 512), end)
-                c = cls[s].astype(np.int64)
-                at = (s % blocks) * width + s // blocks * 2 * side
-                moves = (s >= 0) & (s < many)
-                held += [(at[1:] + c[:-1])[moves[1:]], (at[:-1] + side + c[1:])[moves[:-1]]]
-                size += 2 * len(s)
-                if size > 4_000_000:
+                s = np.where((s < 0) | (s >= many), many, s)
+                at = (s % blocks) * width + s // blocks * size
+                held[0].append(at[1:] + s[:-1])
+                held[1].append(at[:-1] + s[1:])
+                room += len(s)
+                if room > 2_000_000:
                     yield out()
-                    size = 0
-        if held:
+                    room = 0
+        if room:
             yield out()
 
-    def choose(batches):
-        _, into, outof = shared.value
-        block, sums = None, np.zeros(width)
+    def merge(batches):
+        block, sums = None, {}
 
         def out():
-            near = sums.reshape(-1, 2, side)
-            best = (near[:, 0] @ into + near[:, 1] @ outof).argmax(axis=1).astype("<i2")
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([best.tobytes()], pa.binary())], ["block", "of"])
+            got = [_summed(sums.get(k, []), sums.get(k + 1, [])) for k in (1, 3)]
+            packed = [short(x) for codes, n in got for x in (np.diff(codes, prepend=0), n)]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names)
 
         for batch in batches:
             for i, b in enumerate(batch.column(0).to_pylist()):
                 if b != block:
                     if block is not None:
                         yield out()
-                    block, sums = b, np.zeros(width)
-                sums[np.cumsum(whole(batch.column(1)[i].as_buffer()))] += whole(batch.column(2)[i].as_buffer())
+                    block, sums = b, {}
+                for k in (1, 3):
+                    if batch.column(k)[i].is_valid:
+                        sums.setdefault(k, []).append(np.cumsum(whole(batch.column(k)[i].as_buffer())))
+                        sums.setdefault(k + 1, []).append(whole(batch.column(k + 1)[i].as_buffer()))
         if block is not None:
             yield out()
 
-    parts = rows.select("ids").mapInArrow(trimmed(gather), "block int, code binary, n binary").repartition("block").sortWithinPartitions("block")
-    got, new = parts.mapInArrow(trimmed(choose), "block int, of binary").toArrow(), of.copy()
-    for b, best in zip(got["block"].to_pylist(), got["of"].to_pylist(), strict=True):
-        places = np.arange(b, many, blocks)
-        new[places] = np.frombuffer(best, "<i2")[: len(places)]
-    return new
+    names = ["block", "before", "before_n", "after", "after_n"]
+    schema = "block int, before binary, before_n binary, after binary, after_n binary"
+    parts = rows.select("ids").mapInArrow(trimmed(gather), schema).repartition("block").sortWithinPartitions("block")
+    return written(parts.mapInArrow(trimmed(merge), schema), "neighbours")
+
+
+def transitions(table: DataFrame, of: np.ndarray, many: int) -> np.ndarray:
+    """How often a word of each class is followed by one of each, under the classes of (many words, then all others)."""
+    side, blocks = int(of.max()) + 1, _blocks_of(many)
+    shared = table.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches):
+        cls, sums = shared.value, np.zeros(side * side)
+        for batch in batches:
+            for i, b in enumerate(batch.column(0).to_pylist()):
+                place, near = np.divmod(np.cumsum(whole(batch.column(1)[i].as_buffer())), many + 1)
+                sums += np.bincount(cls[place * blocks + b].astype(np.int64) * side + cls[near], weights=whole(batch.column(2)[i].as_buffer()), minlength=side * side)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], ["code", "n"])
+
+    got = table.select("block", "after", "after_n").mapInArrow(trimmed(run), "code int, n double").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(side * side)
+    out[got["code"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(side, side)
 
 
-def train(rows: DataFrame, dictionary: dict[bytes, int], sums: dict, classes: int | None = None, exchanged: int | None = None, assigned: int | None = None, alpha: float = 5.0, tail: int = 0, least: int = 2, gain: float = 0.005) -> dict:
+def likelihood(table: np.ndarray) -> float:
+    """What of the log likelihood of class bigrams depends on the classes."""
+    return float(_phi(table).sum() - _phi(table.sum(axis=1)).sum() - _phi(table.sum(axis=0)).sum())
+
+
+def gains(table: np.ndarray, a: np.ndarray, b: np.ndarray, before: np.ndarray, after: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """By how much the likelihood rises when one word, and no other, goes from class a to another class b: exactly, for each of several words.
+
+    before and after are the counts of classes beside each word, without the own bigrams of the word with itself.
+    """
+    at, rows, cols = np.arange(len(a)), table.sum(axis=1), table.sum(axis=0)
+    n_row, n_col = after.sum(axis=1) + own, before.sum(axis=1) + own
+    total = np.zeros(len(a))
+    for x, sign in ((a, -1.0), (b, 1.0)):
+        row, col, mine = table[x].copy(), table[:, x].T.copy(), x == a
+        # the word is taken out of its class first
+        row -= np.where(mine[:, None], after, 0)
+        col -= np.where(mine[:, None], before, 0)
+        row[at, a] -= np.where(mine, before[at, a] + own, before[at, x])
+        col[at, a] -= np.where(mine, after[at, a] + own, after[at, x])
+        gain = (_phi(row + after) - _phi(row)).sum(axis=1) + (_phi(col + before) - _phi(col)).sum(axis=1)
+        d, r, c = row[at, x], after[at, x], before[at, x]
+        gain += _phi(d + r + c + own) + _phi(d) - _phi(d + r) - _phi(d + c)
+        in_row, in_col = rows[x] - mine * n_row, cols[x] - mine * n_col
+        gain -= _phi(in_row + n_row) - _phi(in_row) + _phi(in_col + n_col) - _phi(in_col)
+        total += sign * gain
+    return total
+
+
+def proposals(table: DataFrame, of: np.ndarray, seen: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the classes that their neighbours fit best, and what each one's move there adds to the likelihood: all above nothing, but for words in the last class, where none is to stay."""
+    side, blocks, soft = len(seen), _blocks_of(many), seen + 0.1
+    shared = table.sparkSession.sparkContext.broadcast((of, seen, np.log(soft / soft.sum(axis=0))[:, :-1], np.log(soft / soft.sum(axis=1, keepdims=True)).T[:, :-1]))
+
+    def run(batches):
+        cls, seen, into, outof = shared.value
+        for batch in batches:
+            for i, b in enumerate(batch.column(0).to_pylist()):
+                words = np.arange(b, many, blocks)
+                if not len(words):
+                    continue
+                near, own = [], np.zeros(len(words))
+                for k in (1, 3):
+                    place, other = np.divmod(np.cumsum(whole(batch.column(k)[i].as_buffer())), many + 1)
+                    n, held = whole(batch.column(k + 1)[i].as_buffer()), place < len(words)
+                    place, other, n = place[held], other[held], n[held]
+                    self = other == place * blocks + b
+                    if k == 3:
+                        own = np.bincount(place[self], weights=n[self], minlength=len(words))
+                    near.append(np.bincount(place * side + cls[other], weights=n, minlength=len(words) * side).reshape(-1, side))
+                new, now = (near[0] @ into + near[1] @ outof).argmax(axis=1), cls[words].astype(np.int64)
+                at = np.flatnonzero(new != now)
+                before, after = (x[at].copy() for x in near)
+                for x in (before, after):
+                    x[np.arange(len(at)), now[at]] -= own[at]
+                gain = gains(seen, now[at], new[at], before, after, own[at])
+                up = (gain > 1e-6) | (now[at] == side - 1)
+                if up.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (words[at][up].astype("<i8"), new[at][up].astype("<i2"), gain[up].astype("<f4"))], ["word", "of", "gain"])
+
+    got = table.mapInArrow(trimmed(run), "word binary, of binary, gain binary").toArrow()
+    words, into, gain = (np.frombuffer(b"".join(got[c].to_pylist()), t) for c, t in (("word", "<i8"), ("of", "<i2"), ("gain", "<f4")))
+    order = np.argsort(words)
+    return words[order], into[order], gain[order]
+
+
+def settled(table: DataFrame, of: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and transitions from those of of on, when no word is left whose move to the class its neighbours fit best would raise the likelihood.
+
+    Words that are in the last class, that of all others, first go where their neighbours fit best. In each sweep all words whose own move does so are moved at once. Words that are each other's neighbours
+    can spoil each other's gain: where the likelihood falls, half as many move, taken at random, down to
+    the one that gains most, and fewer in the next sweep where little of the gain was kept. So it rises in
+    every sweep, and the sweeps end.
+    """
+    seen, share, sweep = transitions(table, of, many), 1.0, 0
+    if (of[:many] == len(seen) - 1).any():
+        words, into, _ = proposals(table, of, seen, many)
+        new = of[words] == len(seen) - 1
+        of = of.copy()
+        of[words[new]] = into[new]
+        seen = transitions(table, of, many)
+    while True:
+        words, into, gain = proposals(table, of, seen, many)
+        if not len(words):
+            return of, seen
+        order = np.random.default_rng(sweep).permutation(len(words))
+        best = int(gain.argmax())
+        order = np.concatenate([[best], order[order != best]])
+        while True:
+            take = order[: max(1, int(share * len(order)))]
+            moved = of.copy()
+            moved[words[take]] = into[take]
+            found = transitions(table, moved, many)
+            if likelihood(found) > likelihood(seen) or len(take) == 1:
+                break
+            share = len(take) / len(order) / 2
+        if likelihood(found) <= likelihood(seen):  # a gain below what numbers of this size can tell apart
+            return of, seen
+        kept = (likelihood(found) - likelihood(seen)) / gain[take].sum()
+        share *= 0.5 if kept < 0.3 else 1.0 if kept < 0.7 else 1.5
+        of, seen, share, sweep = moved, found, min(share, 1.0), sweep + 1
+
+
+def train(rows: DataFrame, dictionary: dict[bytes, int], sums: dict, classes: int | None = None, exchanged: int | None = None, assigned: int | None = None, alpha: float = 5.0, tail: int = 0, least: int = 2) -> dict:
     """The model, from encoded training rows and the counts' sums. Places below len(dictionary) are its words, tail more are other words.
 
     Every word of at least ``least`` (or the ``assigned`` most frequent, if given) has a class. Exchange of
-    the ``exchanged`` most frequent words gives the first classes; then sweeps over all words that have a
-    class, themselves included, move each to where its neighbours fit best, as long as that raises the
-    likelihood. All further words are the class of rare ones, whose emissions are discounted for words
+    the ``exchanged`` most frequent words gives the first classes; then all words that have a class,
+    themselves included, are exchanged over the table of their neighbours until none moves (``settled``).
+    All further words are the class of rare ones, whose emissions are discounted for words
     not seen (as one kind of token, as in the base score).
     """
     n = np.fromiter(dictionary.values(), dtype=float, count=len(dictionary))
@@ -312,30 +456,13 @@ def train(rows: DataFrame, dictionary: dict[bytes, int], sums: dict, classes: in
         s = np.where((s < 0) | (s >= top), top, s)
         return s[:-1] * (top + 1) + s[1:]
 
-    def transitions(of):
-        def moves(ids):
-            c = of[_stream(ids, end)].astype(np.int64)
-            return c[:-1] * side + c[1:]
-
-        return _counted(rows, moves, side * side).reshape(side, side).astype(float)
-
     bigrams = _counted(rows, pairs, (top + 1) ** 2).reshape(top + 1, top + 1)
     of = np.full(len(n) + tail + 1, classes, dtype=np.int16)  # the last, place -1: rare
     of[:top] = exchange(bigrams, classes)
-    one = np.zeros((top + 1, side))
-    one[np.arange(top + 1), np.append(of[:top], classes)] = 1
-    seen, reached = one.T @ bigrams @ one, -np.inf
-    if not many:
-        seen = transitions(of)
-    while many:
-        moved = reassigned(rows, of, seen + 0.1, end, many)
-        found = transitions(moved)
-        value = _phi(found).sum() - _phi(found.sum(axis=1)).sum() - _phi(found.sum(axis=0)).sum()
-        rise = value - reached
-        if rise > 0:
-            of, seen, reached = moved, found, value
-        if rise <= gain * found.sum():
-            break
+    table = neighbours(rows, end, many)
+    all_of, seen = settled(table, np.append(of[:many], np.int16(classes)), many)
+    of[:many] = all_of[:many]
+    drop_written(table)
     share = (seen.sum(axis=0) + 0.5) / (seen.sum() + 0.5 * side)
     move = np.log10((seen + alpha * share) / (seen.sum(axis=1, keepdims=True) + alpha))
     in_class = np.maximum(seen.sum(axis=0), 1)

@@ -437,6 +437,46 @@ def test_exchange_raises_likelihood():
             assert value(other) <= value(of) + 1e-6
 
 
+def test_gains_of_moves(spark):
+    """A move's gain against the likelihood counted anew; settled classes: no word that fits another class better would gain there."""
+    r = np.random.default_rng(5)
+    texts = [r.integers(0, 40, r.integers(0, 30)) * (r.random() < 0.9) for _ in range(300)]
+    stream = [39]
+    for t in texts:
+        stream += [*t.tolist(), 39]
+    many, classes = 35, 4  # words 35 to 39 are others
+    low = np.minimum(stream, many)
+    of = np.append(r.integers(0, classes, many), classes).astype(np.int16)
+
+    def counted(of):
+        out = np.zeros((classes + 1, classes + 1))
+        np.add.at(out, (of[low[:-1]], of[low[1:]]), 1)
+        return out
+
+    rows = spark.createDataFrame([(t.astype("<i4").tobytes(),) for t in texts], "ids binary").repartition(3)
+    table = brown.neighbours(rows, 39, many)
+    seen = brown.transitions(table, of, many)
+    assert (seen == counted(of)).all()
+    big = np.zeros((many + 1, many + 1))
+    np.add.at(big, (low[:-1], low[1:]), 1)
+    one = np.eye(classes + 1)[of]
+    before, after = (big.T @ one)[:many], (big @ one)[:many]
+    words, own = np.arange(many), big.diagonal()[:many]
+    for x in (before, after):
+        x[words, of[:many]] -= own
+    for c in range(classes):
+        got = brown.gains(seen, of[:many].astype(int), np.full(many, c), before, after, own)
+        for w in words:
+            other = of.copy()
+            other[w] = c
+            assert got[w] == pytest.approx(brown.likelihood(counted(other)) - brown.likelihood(seen), abs=1e-6)
+    of[:10] = classes
+    found, seen = brown.settled(table, of, many)
+    assert (seen == counted(found)).all() and (found[:many] < classes).all() and found[many] == classes
+    assert not len(brown.proposals(table, found, seen, many)[0])
+    assert brown.likelihood(seen) > brown.likelihood(counted(of))
+
+
 def brute_tiles(doc, item, least):
     used_d, used_i, total = [False] * len(doc), [False] * len(item), 0
     while True:
