@@ -234,6 +234,9 @@ def _summed(codes: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, n
     return flat[first], np.add.reduceat(many[order], first) if len(first) else many
 
 
+_NEIGHBOURS = ["before_sizes", "before", "before_n", "after_sizes", "after", "after_n"]
+
+
 def _blocks_of(many: int) -> int:
     return min(many + 1, max(1024, -(-(many + 1) // 1024)))
 
@@ -241,9 +244,10 @@ def _blocks_of(many: int) -> int:
 def neighbours(rows: DataFrame, end: int, many: int) -> DataFrame:
     """The word bigrams of encoded rows as a table: what stands before and after each of the first many words, and, as word many, all others.
 
-    One row a block of words (word % blocks), with before, before_n, after, after_n: ascending codes of a
-    word's place in its block times many + 1, plus its neighbour. The corpus is read and shuffled once, summed in each task
-    first; all that is asked of the table later needs neither.
+    One row a block of words (word % blocks), with, for before and after, how many different neighbours each
+    word of the block has (_sizes), these in ascending order, and how often they stand there (_n): as they are
+    used, so that a sweep needn't decode them. The corpus is read and shuffled once, summed in each task first;
+    all that is asked of the table later needs neither.
     """
     size = many + 1
     blocks = _blocks_of(many)
@@ -284,9 +288,13 @@ def neighbours(rows: DataFrame, end: int, many: int) -> DataFrame:
         block, sums = None, {}
 
         def out():
-            got = [_summed(sums.get(k, []), sums.get(k + 1, [])) for k in (1, 3)]
-            packed = [short(x) for codes, n in got for x in (np.diff(codes, prepend=0), n)]
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], names)
+            packed = []
+            for k in (1, 3):
+                codes, n = _summed(sums.pop(k, []), sums.pop(k + 1, []))
+                place, other = np.divmod(codes, size)
+                sizes = np.bincount(place, minlength=len(range(block, size, blocks)))
+                packed += [sizes.astype("<u4").tobytes(), other.astype("<u4").tobytes(), short(n)]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["block", *_NEIGHBOURS])
 
         for batch in batches:
             for i, b in enumerate(batch.column(0).to_pylist()):
@@ -304,7 +312,14 @@ def neighbours(rows: DataFrame, end: int, many: int) -> DataFrame:
     names = ["block", "before", "before_n", "after", "after_n"]
     schema = "block int, before binary, before_n binary, after binary, after_n binary"
     parts = rows.select("ids").mapInArrow(trimmed(gather), schema).repartition("block").sortWithinPartitions("block")
-    return written(parts.mapInArrow(trimmed(merge), schema), "neighbours")
+    return written(parts.mapInArrow(trimmed(merge), "block int, " + ", ".join(f"{c} binary" for c in _NEIGHBOURS)), "neighbours")
+
+
+def _told(batch: pa.RecordBatch, i: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many neighbours each word has, these, and their counts, from row i of a batch and its columns from k on."""
+    sizes, other = (np.frombuffer(batch.column(j)[i].as_buffer(), "<u4") for j in (k, k + 1))
+    raw = memoryview(batch.column(k + 2)[i].as_buffer())
+    return sizes, other, np.frombuffer(raw[1:], f"<u{raw[0]}")
 
 
 def transitions(table: DataFrame, of: np.ndarray, many: int) -> np.ndarray:
@@ -316,12 +331,12 @@ def transitions(table: DataFrame, of: np.ndarray, many: int) -> np.ndarray:
         cls, sums = shared.value, np.zeros(side * side)
         for batch in batches:
             for i, b in enumerate(batch.column(0).to_pylist()):
-                place, near = np.divmod(np.cumsum(whole(batch.column(1)[i].as_buffer())), many + 1)
-                sums += np.bincount(cls[place * blocks + b].astype(np.int64) * side + cls[near], weights=whole(batch.column(2)[i].as_buffer()), minlength=side * side)
+                sizes, other, n = _told(batch, i, 1)
+                sums += np.bincount(np.repeat(cls[b : many + 1 : blocks].astype(np.int32) * side, sizes) + cls[other], weights=n, minlength=side * side)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], ["code", "n"])
 
-    got = table.select("block", "after", "after_n").mapInArrow(trimmed(run), "code int, n double").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    got = table.select("block", "after_sizes", "after", "after_n").mapInArrow(trimmed(run), "code int, n double").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(side * side)
     out[got["code"].to_numpy()] = got["n"].to_numpy()
     return out.reshape(side, side)
@@ -368,15 +383,13 @@ def proposals(table: DataFrame, of: np.ndarray, seen: np.ndarray, many: int) ->
                 words = np.arange(b, many, blocks)
                 if not len(words):
                     continue
-                near, own = [], np.zeros(len(words))
-                for k in (1, 3):
-                    place, other = np.divmod(np.cumsum(whole(batch.column(k)[i].as_buffer())), many + 1)
-                    n, held = whole(batch.column(k + 1)[i].as_buffer()), place < len(words)
-                    place, other, n = place[held], other[held], n[held]
-                    self = other == place * blocks + b
-                    if k == 3:
-                        own = np.bincount(place[self], weights=n[self], minlength=len(words))
-                    near.append(np.bincount(place * side + cls[other], weights=n, minlength=len(words) * side).reshape(-1, side))
+                near = []
+                for k in (1, 4):
+                    sizes, other, n = _told(batch, i, k)
+                    place = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+                    near.append(np.bincount(place * np.int32(side) + cls[other], weights=n, minlength=len(sizes) * side).reshape(-1, side)[: len(words)])
+                self = np.flatnonzero(other == np.repeat(np.arange(b, many + 1, blocks, dtype=np.uint32), sizes))
+                own = np.bincount(place[self], weights=n[self], minlength=len(sizes))[: len(words)]
                 new, now = (near[0] @ into + near[1] @ outof).argmax(axis=1), cls[words].astype(np.int64)
                 at = np.flatnonzero(new != now)
                 before, after = (x[at].copy() for x in near)
