@@ -521,3 +521,11 @@ def test_labels_that_some_bodies_lack(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "a", None), (2, None, None)]
     frame = FeatureFrame(bodies(spark, [1, 2]), spark.createDataFrame([(1, "b", "f", 2.0)], "bodyid long, block string, feature string, value double"))
     assert [(r["bodyid"], r["type"], r["value"]) for r in explore.features_radarchart(frame, some).collect()] == [(2, None, 0.0), (1, "a", 2.0)]
+
+
+def test_kmeans_fits_over_a_table(spark):
+    """Spark ML samples and ends early: below it there is no Python and no join whose sorted rows may be gone by then."""
+    frame = of_vectors(spark.createDataFrame([(k, [float(k % 3), float(k)]) for k in range(30)], "id long, v array<double>"), "id", "v")
+    rows = kmeans.kmeans_cluster(frame, 3).rows
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Join" not in plan and rows.count() == 30
