@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from likegraph.operators.frames import FeatureFrame
-from likegraph.operators.pairs import Rows, each_pair, nearest_in_pair, squares
+from likegraph.operators.pairs import NEAREST, PARTS, VALUES, Rows, each_pair, nearest_in_pair, squares
 from likegraph.spread import joined
 from likegraph.stored import drop_written, written
 
@@ -79,5 +79,8 @@ def nearest_by_pivots(features: FeatureFrame, distance, size: int, pivots: int =
     wanted = written(both.filter(apart - OFF <= F.greatest("most", "most_j")).select("i", "j"), "wanted")
     if counted is not None:
         counted |= {"met": wanted.count() + many, "all": many * (many + 1) // 2}
-    met = each_pair(rows, find, schema, names, wanted=wanted)
+    # blocks are sent several at a time: a twelfth of all, fewer where their values are many
+    values = placed.agg(F.sum(F.size("at"))).first()[0] or 0
+    per = max(1, min(-(-many // PARTS), VALUES * many // max(values, 1)))
+    met = each_pair(rows, find, schema, names, wanted=wanted, per=per, whole=NEAREST)
     return met.unionByName(own).groupBy("bodyid").agg(best).select("bodyid", "b.*")

@@ -529,3 +529,20 @@ def test_kmeans_fits_over_a_table(spark):
     rows = kmeans.kmeans_cluster(frame, 3).rows
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "Join" not in plan and rows.count() == 30
+
+
+def test_blocks_are_sent_a_few_times(spark, monkeypatch):
+    """However many bodies there are, a block goes to about a dozen others, and pieces meet inside: the same pairs, nearest and tree."""
+    from likegraph.operators import pairs
+
+    assert -(-10**6 // pairs.part_size(10**6)) <= 12 and -(-(10**6) // pairs.part_size(10**6, 64 * 10**6)) <= 64
+    r = np.random.default_rng(3)
+    x = r.normal(size=(150, 4))
+    frame = of_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>"), "id", "v")
+    monkeypatch.setattr(pairs, "BLOCK", 7)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert {(r["b1"], r["b2"]): r["dist"] for r in distance.compute_distance_matrix(frame).collect()} == {(i, j): pytest.approx(d[i, j], abs=1e-5) for i in range(150) for j in range(i + 1, 150)}
+    np.fill_diagonal(d, np.inf)
+    assert {r["bodyid"]: r["match"] for r in distance.get_strongest_matches(frame).collect()} == dict(enumerate(d.argmin(axis=1).tolist()))
+    whole, tiled = (hierarchy.hierarchical_cluster(frame, most=m).merges.drop("height").orderBy("step").collect() for m in (4096, 20))
+    assert [(*r[:4], round(r[4], 9), *r[5:]) for r in whole] == [(*r[:4], round(r[4], 9), *r[5:]) for r in tiled]
