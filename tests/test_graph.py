@@ -1,5 +1,6 @@
 """Operators on a small graph and on numbers worked out by hand."""
 
+import os
 import json
 import math
 
@@ -546,3 +547,29 @@ def test_blocks_are_sent_a_few_times(spark, monkeypatch):
     assert {r["bodyid"]: r["match"] for r in distance.get_strongest_matches(frame).collect()} == dict(enumerate(d.argmin(axis=1).tolist()))
     whole, tiled = (hierarchy.hierarchical_cluster(frame, most=m).merges.drop("height").orderBy("step").collect() for m in (4096, 20))
     assert [(*r[:4], round(r[4], 9), *r[5:]) for r in whole] == [(*r[:4], round(r[4], 9), *r[5:]) for r in tiled]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_graph_of_colliding_numbers(spark, tmp_path):
+    """Line items move to their supplier once; suppliers that have numbers of products and customers, and types beyond the known ones, give the SQL's edges and nodes."""
+    import duckdb
+
+    from likegraph.queries import QUERIES
+    from likegraph.sources.tables import graph_of_tables
+    from likegraph.sql import SQL
+
+    source, con = "/root/testdata/sf0.001", duckdb.connect()
+    change = {
+        "lineitem": "select * replace (case l_suppkey % 3 when 0 then 1000110 + l_suppkey % 40 when 1 then 2000010 + l_suppkey % 40 else l_suppkey end as l_suppkey, case when l_orderkey % 7 > 0 then l_linestatus end as l_linestatus)",
+        "customer": "select * replace (case when c_custkey % 4 > 0 then c_mktsegment when c_custkey % 8 > 0 then 'OTHER' end as c_mktsegment)",
+    }
+    for name in ("supplier", "customer", "part", "orders", "lineitem", "nation", "region"):
+        con.sql(f"copy ({change.get(name, 'select *')} from '{source}/{name}.parquet') to '{tmp_path}/{name}.parquet' (format parquet)")
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    for query in ("graph_edges", "graph_nodes_roi"):
+        rows = QUERIES[query](spark, str(tmp_path))
+        columns = ", ".join(rows.columns)
+        assert sorted(map(tuple, rows.collect())) == sorted(con.sql(f"select {columns} from ({SQL[query]})").fetchall())
+    edges = graph_of_tables(spark, str(tmp_path)).edges
+    assert "hashpartitioning(s#" in edges._jdf.queryExecution().executedPlan().toString()
+    spark.catalog.clearCache()
