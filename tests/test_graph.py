@@ -321,6 +321,26 @@ def test_one_rule_of_merging_with_ties(spark, monkeypatch):
     assert (whole.height.diff().dropna() >= 0).all() and whole["size"].iloc[-1] == len(rows)
 
 
+def test_no_sums_of_all_pairs_are_stored(spark, monkeypatch):
+    """More bodies than one task holds: what is written grows with the bodies, and rounding that makes many distances equal gives the tree of one task."""
+    from likegraph.operators import merging
+
+    sizes, kept = [], merging.written
+
+    def measured(df, what):
+        table = kept(df, what)
+        sizes.append(sum(os.path.getsize(f.removeprefix("file:")) for f in table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(merging, "written", measured)
+    x = np.random.default_rng(12).normal(size=(400, 3)) * 3e-4
+    frame = of_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>"), "id", "v")
+    tiled = hierarchy.tree(merging.merges_in_tiles(frame.vectors(), 250, True), 400)
+    whole = hierarchy.hierarchical_cluster(frame).merges.orderBy("step").toPandas()
+    assert (tiled[:, :4] == whole[["left", "right", "height", "size"]].to_numpy()).all()
+    assert sizes and max(sizes) < 400 * 400 / 2  # sums of all pairs were eight times that
+
+
 def test_ties_don_t_add_rounds(spark):
     """Half of all bodies equal, or near enough to be equal at five decimals, or all equally far apart: about the rounds of random ones."""
     from likegraph.operators import merging
