@@ -593,3 +593,38 @@ def test_graph_of_colliding_numbers(spark, tmp_path):
     edges = graph_of_tables(spark, str(tmp_path)).edges
     assert "hashpartitioning(s#" in edges._jdf.queryExecution().executedPlan().toString()
     spark.catalog.clearCache()
+
+
+def test_embeddings_in_parts(spark):
+    """Neighbours of many blocks and pieces are those of all distances, ties and equal rows included; every pair pushes; groups stay apart, and t-SNE ends near where one task ends."""
+    from likegraph.operators import layout
+
+    r = np.random.default_rng(3)
+    vectors = np.concatenate([r.normal(6 * g, 1, (100, 5)) for g in range(3)])
+    vectors[120:140] = vectors[100]
+    frame = of_vectors(spark.createDataFrame([(1000 - k, [float(x) for x in v]) for k, v in enumerate(vectors[::-1])], "id long, v array<double>"), "id", "v")
+    order = np.array([701 + k for k in range(300)])
+    assert [x["bodyid"] for x in frame.bodies.orderBy("pos").collect()] == order.tolist()
+    near = layout.nearest_table(frame.vectors(), 300, 1500, 20)
+    at, far = reduce.neighbours(vectors, 20)
+    rows = near.orderBy("piece").collect()
+    assert len(rows) == 5
+    got = np.concatenate([np.frombuffer(x["far"], "<f8").reshape(-1, 20) for x in rows])
+    assert np.abs(got - far).max() < 1e-6
+    assert (np.concatenate([np.frombuffer(x["at"], "<i4").reshape(-1, 20) for x in rows]) == at)[100:].mean() > 0.99
+
+    y = r.normal(0, 12, (500, 2))
+    d = y[:, None] - y[None]
+    q = 1 / (1 + (d**2).sum(axis=2))
+    push, total = layout.repulsion(y)
+    exact = (q[..., None] ** 2 * d).sum(axis=1)
+    assert abs(total / (q.sum() - 500) - 1) < 0.01 and np.linalg.norm(push - exact) < 0.04 * np.linalg.norm(exact)
+
+    for methods in ([("tsne", {"perplexity": 12.0, "rounds": 300})], [("fuzzy", {"seed": 0, "rounds": 60}), ("fuzzy", {"seed": 1, "rounds": 60})]):
+        got = reduce.embedding(frame, methods, most=100).orderBy("bodyid").collect()
+        assert [x["bodyid"] for x in got] == order.tolist()
+        for m in range(len(methods)):
+            y = np.array([x["coords"][m] for x in got])
+            d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(axis=2))
+            np.fill_diagonal(d, np.inf)
+            assert np.isfinite(y).all() and (d.argmin(axis=1) // 100 == np.arange(300) // 100).all()
