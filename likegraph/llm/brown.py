@@ -89,8 +89,23 @@ def placed_tail(counts: DataFrame, dictionary: dict[bytes, int], least: int) ->
     return counts.withColumn("part", part).join(first, "part").select("word", "n", place.alias("place")), total
 
 
-def encoded(docs: DataFrame, dictionary: dict[bytes, int], keep: list[str | Column], text: str = "text") -> DataFrame:
-    """docs as places of their words in dictionary (-1 for others, which tail has with where they stand): rid, keep, ids binary, tail."""
+def planes(values: np.ndarray) -> bytes:
+    """Values of no sign in as many bytes each as they need, after a byte that says how many: all lowest bytes first, then all next ones, as what moves is compressed."""
+    size = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def of_planes(data) -> np.ndarray:
+    """The values of ``planes``."""
+    raw = np.frombuffer(data, np.uint8)
+    size = int(raw[0])
+    out = np.zeros(((len(raw) - 1) // size, 8), np.uint8)
+    out[:, :size] = raw[1:].reshape(size, -1).T
+    return out.view("<i8").ravel()
+
+
+def encoded(docs: DataFrame, dictionary: dict[bytes, int], keep: list[str | Column], text: str = "text", planar: bool = False) -> DataFrame:
+    """docs as places of their words in dictionary (-1 for others, which tail has with where they stand): rid, keep, ids binary, tail. planar: ids are the ``planes`` of places + 1, until ``completed``."""
     shared = docs.sparkSession.sparkContext.broadcast(list(dictionary))
     kept = docs.select(*keep)
     names = [*kept.columns, "rid", "ids", "tail"]
@@ -107,7 +122,7 @@ def encoded(docs: DataFrame, dictionary: dict[bytes, int], keep: list[str | Colu
                 for t in texts:
                     own = words(t)
                     got = np.array([at.get(w, -1) for w in own], dtype="<i4")
-                    ids.append(got.tobytes())
+                    ids.append(planes(got + 1) if planar else got.tobytes())
                     rest: dict[bytes, list[int]] = {}
                     for i in np.flatnonzero(got < 0).tolist():
                         rest.setdefault(own[i], []).append(i)
@@ -120,19 +135,18 @@ def encoded(docs: DataFrame, dictionary: dict[bytes, int], keep: list[str | Colu
 
 
 def completed(rows: DataFrame) -> DataFrame:
-    """rows (ids, placed: array of place and at) with the places of placed in ids, and without placed."""
+    """Planar rows (ids, placed: array of place and at) with the places of placed in ids, which are no longer planar, and without placed."""
     names = [c for c in rows.columns if c not in ("ids", "placed")]
 
     def run(batches):
         for batch in batches:
             out = []
             for ids, placed in zip(batch.column("ids").to_pylist(), batch.column("placed").to_pylist(), strict=True):
+                own = (of_planes(ids) - 1).astype("<i4")
                 if placed:
-                    own = np.frombuffer(ids, dtype="<i4").copy()
                     at = [x["at"] for x in placed]
                     own[np.frombuffer(b"".join(at), dtype="<i4")] = np.repeat([x["place"] for x in placed], [len(x) // 4 for x in at])
-                    ids = own.tobytes()
-                out.append(ids)
+                out.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.binary())], [*names, "ids"])
 
     return rows.select(*names, "placed", "ids").mapInArrow(trimmed(run), rows.select(*names, "ids").schema)
@@ -217,12 +231,6 @@ def short(values: np.ndarray) -> bytes:
     return bytes([size]) + values.astype(f"<u{size}").tobytes()
 
 
-def whole(data) -> np.ndarray:
-    """The values of ``short``."""
-    raw = memoryview(data)
-    return np.frombuffer(raw[1:], f"<u{raw[0]}").astype(np.int64)
-
-
 def _summed(codes: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct codes in ascending order and the sums of their n."""
     if not codes:
@@ -263,7 +271,7 @@ def neighbours(rows: DataFrame, end: int, many: int) -> DataFrame:
                 cuts = np.searchsorted(codes, np.arange(blocks + 1) * width)
                 own = np.flatnonzero(np.diff(cuts))
                 codes %= width
-                parts.append({k: (short(np.diff(codes[i:j], prepend=0)), short(n[i:j])) for k, i, j in zip(own.tolist(), cuts[own].tolist(), cuts[own + 1].tolist(), strict=True)})
+                parts.append({k: (planes(np.diff(codes[i:j], prepend=0)), planes(n[i:j])) for k, i, j in zip(own.tolist(), cuts[own].tolist(), cuts[own + 1].tolist(), strict=True)})
             own = sorted({*parts[0], *parts[1]})
             for codes in held:
                 codes.clear()
@@ -304,8 +312,8 @@ def neighbours(rows: DataFrame, end: int, many: int) -> DataFrame:
                     block, sums = b, {}
                 for k in (1, 3):
                     if batch.column(k)[i].is_valid:
-                        sums.setdefault(k, []).append(np.cumsum(whole(batch.column(k)[i].as_buffer())))
-                        sums.setdefault(k + 1, []).append(whole(batch.column(k + 1)[i].as_buffer()))
+                        sums.setdefault(k, []).append(np.cumsum(of_planes(batch.column(k)[i].as_buffer())))
+                        sums.setdefault(k + 1, []).append(of_planes(batch.column(k + 1)[i].as_buffer()))
         if block is not None:
             yield out()
 
@@ -355,48 +363,71 @@ def gains(table: np.ndarray, a: np.ndarray, b: np.ndarray, before: np.ndarray, a
     at, rows, cols = np.arange(len(a)), table.sum(axis=1), table.sum(axis=0)
     n_row, n_col = after.sum(axis=1) + own, before.sum(axis=1) + own
     total = np.zeros(len(a))
+    # most words stand beside few classes, and only what is beside them changes; the word is taken out of its class first
+    for near, turned, row in ((after, before, True), (before, after, False)):
+        w, c = np.nonzero(near)
+        n = near[w, c]
+        for x, sign in ((a, -1.0), (b, 1.0)):
+            was = table[x[w], c] if row else table[c, x[w]]
+            was = was - np.where(x[w] == a[w], n, 0) - np.where(c == a[w], turned[w, x[w]] + np.where(x[w] == a[w], own[w], 0), 0)
+            total += sign * np.bincount(w, weights=_phi(was + n) - _phi(was), minlength=len(a))
     for x, sign in ((a, -1.0), (b, 1.0)):
-        row, col, mine = table[x].copy(), table[:, x].T.copy(), x == a
-        # the word is taken out of its class first
-        row -= np.where(mine[:, None], after, 0)
-        col -= np.where(mine[:, None], before, 0)
-        row[at, a] -= np.where(mine, before[at, a] + own, before[at, x])
-        col[at, a] -= np.where(mine, after[at, a] + own, after[at, x])
-        gain = (_phi(row + after) - _phi(row)).sum(axis=1) + (_phi(col + before) - _phi(col)).sum(axis=1)
-        d, r, c = row[at, x], after[at, x], before[at, x]
-        gain += _phi(d + r + c + own) + _phi(d) - _phi(d + r) - _phi(d + c)
+        mine, r, c = x == a, after[at, x], before[at, x]
+        d = table[x, x] - np.where(mine, r + c + own, 0)
+        gain = _phi(d + r + c + own) + _phi(d) - _phi(d + r) - _phi(d + c)
         in_row, in_col = rows[x] - mine * n_row, cols[x] - mine * n_col
-        gain -= _phi(in_row + n_row) - _phi(in_row) + _phi(in_col + n_col) - _phi(in_col)
-        total += sign * gain
+        total += sign * (gain - (_phi(in_row + n_row) - _phi(in_row) + _phi(in_col + n_col) - _phi(in_col)))
     return total
 
 
+def _fits(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the classes before, and those after, a word say for each class but the last."""
+    soft = seen + 0.1
+    return np.log(soft / soft.sum(axis=0))[:, :-1].astype(np.float32), np.log(soft / soft.sum(axis=1, keepdims=True)).T[:, :-1].astype(np.float32)
+
+
+def _best_fit(fits: tuple[np.ndarray, np.ndarray], before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return (before.astype(np.float32) @ fits[0] + after.astype(np.float32) @ fits[1]).argmax(axis=1)
+
+
+def _told_apart(seen: np.ndarray) -> float:
+    """The least gain that is no rounding of sums of this size."""
+    return max(1e-6, 1e-15 * float(_phi(seen.sum())))
+
+
+def _beside(batch: pa.RecordBatch, i: int, cls: np.ndarray, side: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Counts of the classes before and after each word of row i of a batch, and how often each stands beside itself."""
+    near = []
+    for k in (1, 4):
+        sizes, other, n = _told(batch, i, k)
+        place = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        near.append(np.bincount(place * np.int32(side) + cls[other], weights=n, minlength=len(sizes) * side).reshape(-1, side))
+    word = np.arange(len(sizes), dtype=np.uint32) * np.uint32(_blocks_of(len(cls) - 1)) + np.uint32(batch.column(0)[i].as_py())
+    self = np.flatnonzero(other == np.repeat(word, sizes))
+    return near, np.bincount(place[self], weights=n[self], minlength=len(sizes))
+
+
 def proposals(table: DataFrame, of: np.ndarray, seen: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, the classes that their neighbours fit best, and what each one's move there adds to the likelihood: all above nothing, but for words in the last class, where none is to stay."""
-    side, blocks, soft = len(seen), _blocks_of(many), seen + 0.1
-    shared = table.sparkSession.sparkContext.broadcast((of, seen, np.log(soft / soft.sum(axis=0))[:, :-1], np.log(soft / soft.sum(axis=1, keepdims=True)).T[:, :-1]))
+    side, blocks = len(seen), _blocks_of(many)
+    shared = table.sparkSession.sparkContext.broadcast((of, seen, _fits(seen), _told_apart(seen)))
 
     def run(batches):
-        cls, seen, into, outof = shared.value
+        cls, seen, fits, least = shared.value
         for batch in batches:
             for i, b in enumerate(batch.column(0).to_pylist()):
                 words = np.arange(b, many, blocks)
                 if not len(words):
                     continue
-                near = []
-                for k in (1, 4):
-                    sizes, other, n = _told(batch, i, k)
-                    place = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-                    near.append(np.bincount(place * np.int32(side) + cls[other], weights=n, minlength=len(sizes) * side).reshape(-1, side)[: len(words)])
-                self = np.flatnonzero(other == np.repeat(np.arange(b, many + 1, blocks, dtype=np.uint32), sizes))
-                own = np.bincount(place[self], weights=n[self], minlength=len(sizes))[: len(words)]
-                new, now = (near[0] @ into + near[1] @ outof).argmax(axis=1), cls[words].astype(np.int64)
+                near, own = _beside(batch, i, cls, side)
+                near, own = [x[: len(words)] for x in near], own[: len(words)]
+                new, now = _best_fit(fits, *near), cls[words].astype(np.int64)
                 at = np.flatnonzero(new != now)
-                before, after = (x[at].copy() for x in near)
+                before, after = (x[at] for x in near)
                 for x in (before, after):
                     x[np.arange(len(at)), now[at]] -= own[at]
                 gain = gains(seen, now[at], new[at], before, after, own[at])
-                up = (gain > 1e-6) | (now[at] == side - 1)
+                up = (gain > least) | (now[at] == side - 1)
                 if up.any():
                     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (words[at][up].astype("<i8"), new[at][up].astype("<i2"), gain[up].astype("<f4"))], ["word", "of", "gain"])
 
@@ -406,15 +437,92 @@ def proposals(table: DataFrame, of: np.ndarray, seen: np.ndarray, many: int) ->
     return words[order], into[order], gain[order]
 
 
-def settled(table: DataFrame, of: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+def _surroundings(table: DataFrame, of: np.ndarray, words: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of few words in ascending order: counts of classes before and after each, without itself; how often each stands beside itself; and how often one of them (place, place, n) is followed by another."""
+    blocks = _blocks_of(len(of) - 1)
+    shared = table.sparkSession.sparkContext.broadcast((of, words))
+
+    def run(batches):
+        cls, words = shared.value
+        for batch in batches:
+            found = [(np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0))]
+            for i, b in enumerate(batch.column(0).to_pylist()):
+                here = np.flatnonzero(words % blocks == b)
+                if not len(here):
+                    continue
+                of_block = words[here] // blocks
+                for kind, k in ((0, 1), (1, 4)):
+                    sizes, other, n = _told(batch, i, k)
+                    ends = np.cumsum(sizes)
+                    for at, w in zip(here.tolist(), of_block.tolist(), strict=True):
+                        near, many = other[ends[w] - sizes[w] : ends[w]], n[ends[w] - sizes[w] : ends[w]].astype(np.int64)
+                        apart = near != words[at]
+                        sums = np.bincount(cls[near[apart]], weights=many[apart], minlength=side)
+                        c = np.flatnonzero(sums)
+                        found.append((np.full(len(c), kind), np.full(len(c), at), c, sums[c]))
+                        if kind:
+                            met = np.minimum(np.searchsorted(words, near), len(words) - 1)
+                            two = np.flatnonzero(words[met] == near)
+                            found.append((np.full(len(two), 2), np.full(len(two), at), met[two], many[two]))
+            columns = (np.concatenate(c).astype(t) for c, t in zip(zip(*found, strict=True), ("i1", "i4", "i4", "i8"), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["what", "at", "c", "n"])
+
+    got = table.mapInArrow(trimmed(run), "what tinyint, at int, c int, n long").toArrow()
+    what, at, c, n = (got[x].to_numpy() for x in ("what", "at", "c", "n"))
+    near = []
+    for k in (0, 1):
+        out = np.zeros((len(words), side))
+        out[at[what == k], c[what == k]] = n[what == k]
+        near.append(out)
+    own = np.zeros(len(words))
+    self = (what == 2) & (at == c)
+    own[at[self]] = n[self]
+    pairs = (what == 2) & (at != c)
+    return *near, own, np.array([at[pairs], c[pairs], n[pairs]])
+
+
+def _one_by_one(seen: np.ndarray, now: np.ndarray, into: np.ndarray, before: np.ndarray, after: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of few words and transitions after exchange among them, one word at a time, each by its exact gain, until none moves; into: where they are to go first."""
+    seen, now, least = seen.copy(), now.copy(), _told_apart(seen)
+    order = np.argsort(pairs[0], kind="stable"), np.argsort(pairs[1], kind="stable")
+    ends = [np.searchsorted(pairs[k][order[k]], np.arange(len(now) + 1)) for k in (0, 1)]
+    while True:
+        at = np.flatnonzero(into != now)
+        gain = gains(seen, now[at], into[at], before[at], after[at], own[at])
+        moved = 0
+        for w in at[np.argsort(-gain, kind="stable")][: int((gain > least).sum())].tolist():
+            one, a, b = slice(w, w + 1), now[w], into[w]
+            if gains(seen, now[one], into[one], before[one], after[one], own[one])[0] <= least:
+                continue
+            for x, sign in ((a, -1), (b, 1)):
+                seen[x] += sign * after[w]
+                seen[:, x] += sign * before[w]
+                seen[x, x] += sign * own[w]
+            now[w] = b
+            moved += 1
+            for k, sums in ((0, before), (1, after)):  # those after it have it before them
+                mine = order[k][ends[k][w] : ends[k][w + 1]]
+                np.add.at(sums, (pairs[1 - k][mine], a), -pairs[2][mine])
+                np.add.at(sums, (pairs[1 - k][mine], b), pairs[2][mine])
+        if not moved:
+            return now, seen
+        fits = _fits(seen)
+        self = np.zeros_like(before)
+        self[np.arange(len(now)), now] = own
+        into = _best_fit(fits, before + self, after + self)
+
+
+def settled(table: DataFrame, of: np.ndarray, many: int, few: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """Classes and transitions from those of of on, when no word is left whose move to the class its neighbours fit best would raise the likelihood.
 
     Words that are in the last class, that of all others, first go where their neighbours fit best. In each sweep all words whose own move does so are moved at once. Words that are each other's neighbours
     can spoil each other's gain: where the likelihood falls, half as many move, taken at random, down to
-    the one that gains most, and fewer in the next sweep where little of the gain was kept. So it rises in
-    every sweep, and the sweeps end.
+    the one that gains most, and fewer in the next sweep where little of the gain was kept. Where no more than
+    ``few`` are left, they don't move at once but one by one on the driver, by the counts of classes beside
+    them and of their bigrams, until none of them moves. So the likelihood rises in every sweep, and the sweeps end.
     """
     seen, share, sweep = transitions(table, of, many), 1.0, 0
+    recent = np.zeros(0, np.int64)
     if (of[:many] == len(seen) - 1).any():
         words, into, _ = proposals(table, of, seen, many)
         new = of[words] == len(seen) - 1
@@ -425,6 +533,18 @@ def settled(table: DataFrame, of: np.ndarray, many: int) -> tuple[np.ndarray, np
         words, into, gain = proposals(table, of, seen, many)
         if not len(words):
             return of, seen
+        if len(words) <= few:
+            # those of the last sweeps are there to move again, as what they stand beside moves
+            recent = np.concatenate([words, recent[~np.isin(recent, words)]])[:few]
+            here = np.sort(recent)
+            first = of[here].astype(np.int64)
+            first[np.searchsorted(here, words)] = into
+            now, found = _one_by_one(seen, of[here].astype(np.int64), first, *_surroundings(table, of, here, len(seen)))
+            if likelihood(found) <= likelihood(seen):
+                return of, seen
+            of = of.copy()
+            of[here], seen, sweep = now, found, sweep + 1
+            continue
         order = np.random.default_rng(sweep).permutation(len(words))
         best = int(gain.argmax())
         order = np.concatenate([[best], order[order != best]])
@@ -510,7 +630,7 @@ def score(docs: DataFrame, training: Column, keep: list[str | Column], text: str
     dictionary = frequent(counts.select("word", "n"), dictionary_size)
     placed, tail_size = placed_tail(counts, dictionary, least if assigned is None else 1 << 62)
     below, discount = sums["n"] + 0.5 * (sums["v"] + 1), discounted(sums)
-    short = written(encoded(docs, dictionary, [*keep, training], text), "encoded")
+    short = written(encoded(docs, dictionary, [*keep, training], text, planar=True), "encoded")
     c, k = F.col("c"), F.col("k")
     tail = short.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.word").alias("word"), F.col("t.at").alias("at"), (F.length("t.at") / 4).cast("int").alias("k"))
     if END not in dictionary:  # no training document: ends are joined like words
@@ -532,7 +652,7 @@ def score(docs: DataFrame, training: Column, keep: list[str | Column], text: str
     sides = ("__known", "__base", "__said", "__rare", "__unseen")
     whole = short.drop("tail").join(rest, "rid", "left").drop("rid")
     whole = whole.withColumns({x: F.coalesce(x, F.lit(0)).cast("double") for x in sides})
-    rows = written(completed(whole), "coded")
+    rows = written(completed(whole), "coded", compression="zstd")
     drop_written(short)
     model = train(rows.filter("__training"), dictionary, sums, assigned=assigned, tail=tail_size, least=least, **options)
     base = np.log10((np.fromiter(dictionary.values(), dtype=float, count=len(dictionary)) + 0.5) / below)
