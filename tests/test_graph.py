@@ -628,3 +628,18 @@ def test_embeddings_in_parts(spark):
             d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(axis=2))
             np.fill_diagonal(d, np.inf)
             assert np.isfinite(y).all() and (d.argmin(axis=1) // 100 == np.arange(300) // 100).all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_plans_stay_small(spark):
+    """What reads a frame of the tables' graph has no plan of that graph or of raw features in its own, nor anything cached; a frame that is released leaves no files."""
+    from likegraph.queries import QUERIES, _conn
+
+    frame = _conn(spark, "/root/testdata/sf0.001")
+    for rows in (explore.find_max_differences(frame, 1, 2), distance.find_closest_neurons(1, frame), QUERIES["non_iterative"](spark, "/root/testdata/sf0.001")):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" not in plan and "lineitem" not in plan and len(plan) < 200_000
+    files = [f.removeprefix("file://") for f in frame.values.inputFiles()]
+    assert files and all(map(os.path.exists, files))
+    frame.release()
+    assert not any(map(os.path.exists, files))
