@@ -643,3 +643,18 @@ def test_plans_stay_small(spark):
     assert files and all(map(os.path.exists, files))
     frame.release()
     assert not any(map(os.path.exists, files))
+
+
+def test_dense_scores_apart(spark):
+    """Distances between bodies with scores in all columns come from the few values that are stored, and are those of the dense rows; equal bodies, empty ones and constant columns included."""
+    r = np.random.default_rng(5)
+    rows = [(b, d, f"f{c}", float(r.integers(1, 9))) for b in range(1, 31) for d in ("in", "out") for c in r.choice(300, 6, replace=False)]
+    rows += [(32, d, f, v) for b, d, f, v in rows if b == 7] + [(b, "in", "all", 2.0) for b in range(1, 33) if b != 31]
+    frame = scaled_process(0.5, 0.5, [0.4, 0.4, 0.2])(raw(spark, rows, 33))
+    dense = FeatureFrame(frame.bodies, frame.values)
+    assert frame.stored() < dense.stored() / 10
+    got, want = ({(x["b1"], x["b2"]): x["dist"] for x in distance.compute_distance_matrix(f, exact=True).collect()} for f in (frame, dense))
+    assert got.keys() == want.keys() and len(want) == 33 * 32 // 2 and got[31, 33] == got[7, 32] == 0
+    assert max(abs(got[k] ** 2 - want[k] ** 2) for k in want) < 1e-12
+    first, second = (hierarchy.hierarchical_cluster(f).merges.select("left", "right", "height").orderBy("step").collect() for f in (frame, dense))
+    assert first == second
